@@ -66,7 +66,11 @@ def _in_ranges(n: Column, ranges) -> Column:
 
 def icd_coarse(c) -> Column:
     """Nine coarse diagnosis groups (Circulatory ... Other)."""
-    n = icd_root(c)
+    return icd_coarse_from_root(icd_root(c))
+
+
+def icd_coarse_from_root(n: Column) -> Column:
+    """Coarse group from an integer root code (NULL -> Other)."""
     expr = None
     for name, ranges in ICD_GROUPS:
         cond = _in_ranges(n, ranges)
@@ -77,7 +81,11 @@ def icd_coarse(c) -> Column:
 def icd_fine(c) -> Column:
     """Fine grouping: circulatory/respiratory/digestive/diabetes codes kept as
     ``icd_<n>``; other groups by name; the rest ``Other``."""
-    n = icd_root(c)
+    return icd_fine_from_root(icd_root(c))
+
+
+def icd_fine_from_root(n: Column) -> Column:
+    """Fine group from an integer root code (NULL -> Other)."""
     keep = None
     for name, ranges in ICD_GROUPS:
         if name in ICD_FINE_KEEP:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.codes import dose_ordinal, icd_coarse, icd_fine
+from wardline.functions.codes import (
+    dose_ordinal, icd_coarse_from_root, icd_fine_from_root, icd_root, sanitize_name,
+)
 from wardline.operators.joins import hot_key_join
 
 # Share from which a level counts as heavy for join salting: at most
@@ -28,8 +30,11 @@ def encode_ordinal(df: DataFrame, cols: list[str]) -> DataFrame:
 def group_codes(df: DataFrame, cols: list[str], fine: bool = False,
                 suffix: str = "_cat", drop_source: bool = True) -> DataFrame:
     """ICD-9 grouping of diagnosis columns into ``<col><suffix>``."""
-    f = icd_fine if fine else icd_coarse
-    out = df.withColumns({c + suffix: f(_q(c)) for c in cols})
+    f = icd_fine_from_root if fine else icd_coarse_from_root
+    # the integer root is computed once per column, then grouped
+    roots = {f"_wl_root_{i}": icd_root(_q(c)) for i, c in enumerate(cols)}
+    out = df.withColumns(roots).withColumns(
+        {c + suffix: f(F.col(f"_wl_root_{i}")) for i, c in enumerate(cols)}).drop(*roots)
     return out.drop(*cols) if drop_source else out
 
 
@@ -190,17 +195,46 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def ml_encoder(cat_cols: list[str], num_cols: list[str], out: str = "features"):
-    """Fitted-in-pipeline encoder (baseline = alphabetically first level gets
-    all zeros; unseen levels must be replaced by the baseline beforehand)."""
+def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str],
+                       out: str = "features", drop_first: bool = True):
+    """Fitted-in-pipeline encoder producing one sparse vector per row: numeric
+    columns followed by one-hot blocks (levels in ascending order).
+
+    Spark's OneHotEncoder drops the *last* slot; with ``alphabetDesc`` order
+    and ``handleInvalid='keep'`` that slot collects unseen and missing
+    levels.  For drop-first, the baseline (alphabetically first training
+    level) is turned into a missing value before indexing, so baseline,
+    unseen and missing rows all get zeros.  Returns (transform function,
+    feature names)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    base = {}
+    if drop_first and cat_cols:
+        row = train.agg(*[F.min(_q(c).cast("string")).alias(c) for c in cat_cols]).first()
+        base = {c: row[c] for c in cat_cols}
+
+    def pre(df: DataFrame) -> DataFrame:
+        if not base:
+            return df.withColumns({c: _q(c).cast("string") for c in cat_cols})
+        return df.withColumns({c: F.when(_q(c).cast("string") == F.lit(base[c]), F.lit(None))
+                                   .otherwise(_q(c).cast("string")) for c in cat_cols})
+
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetDesc",
-                         handleInvalid="error") for c in cat_cols]
+                         handleInvalid="keep") for c in cat_cols]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat_cols],
                         outputCols=[f"{c}__vec" for c in cat_cols], dropLast=True)
-    asm = VectorAssembler(inputCols=num_cols + [f"{c}__vec" for c in cat_cols], outputCol=out)
-    return Pipeline(stages=[*idx, ohe, asm])
+    asm = VectorAssembler(inputCols=num_cols + [f"{c}__vec" for c in cat_cols], outputCol=out,
+                          handleInvalid="keep")
+    model = Pipeline(stages=[*idx, ohe, asm]).fit(pre(train))
+    names = list(num_cols)
+    for c, st in zip(cat_cols, model.stages[:len(cat_cols)]):
+        # slots follow index order: descending levels; reported ascending here
+        names += [sanitize_name(f"{c}_{lv}") for lv in st.labels]
+    drop = [f"{c}__idx" for c in cat_cols] + [f"{c}__vec" for c in cat_cols]
+
+    def transform(df: DataFrame) -> DataFrame:
+        return model.transform(pre(df)).drop(*drop)
+    return transform, names
 
 
 def cast_doubles(df: DataFrame, cols: list[str]) -> DataFrame:

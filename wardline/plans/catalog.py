@@ -718,3 +718,237 @@ SELECT encounter_id, patient_nbr, label FROM base ORDER BY encounter_id LIMIT 10
 def q_first_n(spark, sf):
     return report.first_n(base(spark, sf).select("encounter_id", "patient_nbr", "label"), 100,
                           "encounter_id")
+
+
+# ------------------------------------------------------------------ 8. models
+
+def _prepared(spark, sf):
+    from wardline.plans.pipeline import prepare
+    return prepare(spark, sf, SEED)
+
+
+def _fit_eval(spark, sf, name: str, make, balance: str):
+    from wardline.operators import models
+    p = _prepared(spark, sf)
+    est = make(p)
+    m = models.fit_balanced(p.train, est, balance, "label", "encounter_id", SEED)
+    sc = models.score(m, p.test, "encounter_id")
+    return r6(metrics.evaluate(sc, "label", "p", 0.5).select(F.lit(name).alias("model"), "*"))
+
+
+@register("fit_logistic")
+def q_fit_logistic(spark, sf):
+    """Logistic regression on the oversampled train split; test metrics."""
+    from wardline.operators import models
+    return _fit_eval(spark, sf, "logistic",
+                     lambda p: models.logistic(n_train=p.train.count()), "resample")
+
+
+@register("fit_forest")
+def q_fit_forest(spark, sf):
+    """Random forest, 100 trees of depth 10, oversampled train; test metrics."""
+    from wardline.operators import models
+    return _fit_eval(spark, sf, "forest", lambda p: models.forest(100, 10, seed=SEED), "resample")
+
+
+@register("fit_gbt")
+def q_fit_gbt(spark, sf):
+    """Boosted trees (100 rounds, depth 6, step 0.3) with balanced class weights."""
+    from wardline.operators import models
+    return _fit_eval(spark, sf, "gbt", lambda p: models.gbt(100, 6, 0.3, seed=SEED,
+                                                             weight_col="weight"), "weights")
+
+
+@register("fit_mlp")
+def q_fit_mlp(spark, sf):
+    """Feed-forward network 128-64-32 on the oversampled train split."""
+    from wardline.operators import models
+    return _fit_eval(spark, sf, "mlp", lambda p: models.mlp(len(p.feature_names), (128, 64, 32),
+                                                             max_iter=100, seed=SEED), "resample")
+
+
+# ------------------------------------------------------------------ 9. tuning
+
+@register("cv_scores")
+def q_cv_scores(spark, sf):
+    """Seeded random search: 4 forest configurations x 4 stratified folds on
+    the train split, oversampling inside each training fold; score F1."""
+    from pyspark import StorageLevel
+
+    from wardline.operators import models, tune
+    p = _prepared(spark, sf)
+    folded = sample.folds_stratified(p.train, 4, "label", "encounter_id", SEED).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    space = {"num_trees": ("int", 10, 60), "max_depth": ("int", 3, 10),
+             "min_leaf": ("int", 1, 5)}
+    configs = tune.draw_configs(spark, space, 4, SEED)
+    scores = tune.cv_scores(folded, configs, lambda c: models.forest(
+        c["num_trees"], c["max_depth"], c["min_leaf"], seed=SEED), "f1", "resample",
+        "encounter_id", "fold", 4, SEED)
+    return configs.join(tune.summarize(scores), "config")
+
+
+_TRIALS_SQL = """SELECT CAST(user_id % 20 AS INTEGER) AS config, CAST(event_id % 4 AS INTEGER) AS fold,
+       value / (value + 100.0) AS score FROM events"""
+
+
+@register("best_config", "WITH t AS (" + _TRIALS_SQL + """)
+SELECT config, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score,
+       CAST(count(*) AS BIGINT) AS n_folds
+FROM t GROUP BY config ORDER BY avg(score) DESC, config LIMIT 1""")
+def q_best_config(spark, sf):
+    """Best configuration of a trial score table (config, fold, score)."""
+    from wardline.operators import tune
+    trials = S.run(spark, sf, _TRIALS_SQL.replace("FROM events", "FROM {events}"))
+    return r6(tune.best_config(trials))
+
+
+# ------------------------------------------------------------------ 10. attribution
+
+_RAW = ["time_in_hospital", "num_medications", "number_inpatient", "number_emergency",
+        "number_diagnoses", "change"]
+_RAW_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _RAW[:-1]) + \
+    ", CAST(CASE WHEN change IS NOT DISTINCT FROM 'Ch' THEN 1 ELSE 0 END AS DOUBLE) AS change"
+_LINEAR_SQL = "WITH " + SPLIT + """,
+x AS (SELECT encounter_id, label, is_test, """ + _RAW_SQL + """ FROM split),
+cf AS (SELECT """ + ", ".join(f"regr_slope(CAST(label AS DOUBLE), {c}) AS w_{c}, avg({c}) AS m_{c}"
+                              for c in _RAW) + """ FROM x WHERE is_test = 0),
+phi AS (SELECT encounter_id, """ + ", ".join(
+    f"coalesce(w_{c}, 0) * ({c} - m_{c}) AS phi_{c}" for c in _RAW) + """
+        FROM x, cf WHERE is_test = 1)"""
+
+
+def _raw(spark, sf):
+    from wardline.plans.pipeline import raw_features
+    return raw_features(spark, sf, SEED)
+
+
+def _linear_phi(spark, sf):
+    from wardline.operators import explain
+    raw, cols = _raw(spark, sf)
+    coefs = explain.linear_coefficients(raw.where(F.col("is_test") == 0), cols)
+    return explain.shapley_linear(raw.where(F.col("is_test") == 1), coefs, "encounter_id")
+
+
+@register("shapley_linear", _LINEAR_SQL + "\nSELECT encounter_id, " + ", ".join(
+    f"round(phi_{c}, 6) AS phi_{c}" for c in _RAW) + " FROM phi")
+def q_shapley_linear(spark, sf):
+    """Exact Shapley values of a linear scorer fitted on train, for test rows."""
+    return r6(_linear_phi(spark, sf))
+
+
+@register("importance_linear", _LINEAR_SQL + """,
+l AS (""" + "\nUNION ALL ".join(f"SELECT '{c}' AS feature, abs(phi_{c}) AS v FROM phi" for c in _RAW)
+    + """)
+SELECT feature, round(avg(v), 6) AS importance FROM l GROUP BY feature
+ORDER BY avg(v) DESC, feature LIMIT 15""")
+def q_importance_linear(spark, sf):
+    """Global importance: mean |Shapley value| per feature, top 15."""
+    from wardline.operators import explain
+    long = explain.to_long(_linear_phi(spark, sf), "encounter_id")
+    return r6(report.top_k(report.mean_abs(long, "feature", "value"), 15))
+
+
+def _lr_scorer(spark, sf):
+    """Logistic regression on the raw columns (train split) and a scorer for any
+    frame holding those columns."""
+    from pyspark.ml.functions import vector_to_array
+
+    from wardline.operators import models
+    raw, cols = _raw(spark, sf)
+    train = encode.assemble(raw.where(F.col("is_test") == 0), cols)
+    model = models.logistic(n_train=None).fit(train)
+
+    def scorer(df):
+        return model.transform(encode.assemble(df, cols)).withColumn(
+            "p", vector_to_array("probability").getItem(1)).drop(
+            "features", "rawPrediction", "probability", "prediction")
+    return raw, cols, scorer
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """Accuracy drop per shuffled column, 5 repeats, on a 2,000-row test sample."""
+    from wardline.operators import explain
+    raw, cols, scorer = _lr_scorer(spark, sf)
+    test = sample.sample_n(raw.where(F.col("is_test") == 1), 2000, "encounter_id", SEED)
+    return r6(explain.permutation_importance(test, cols, scorer, "encounter_id", "label", 5, SEED))
+
+
+@register("shapley_sampled")
+def q_shapley_sampled(spark, sf):
+    """Sampled-permutation Shapley values of the logistic model for 200 test
+    rows against 100 background train rows, 8 orders each; mean |phi|."""
+    from wardline.operators import explain
+    raw, cols, scorer = _lr_scorer(spark, sf)
+    ex = sample.sample_n(raw.where(F.col("is_test") == 1), 200, "encounter_id", SEED)
+    bg = sample.sample_n(raw.where(F.col("is_test") == 0), 100, "encounter_id", SEED + 1)
+    phi = explain.shapley_sampled(ex, bg, cols, scorer, "encounter_id", 8, SEED)
+    return r6(report.top_k(report.mean_abs(phi, "feature", "phi"), 15))
+
+
+@register("kmeans_summary")
+def q_kmeans_summary(spark, sf):
+    """Background summary: 20 weighted k-means centroids of the train features."""
+    from wardline.operators import explain
+    p = _prepared(spark, sf)
+    return explain.kmeans_summary(p.train, 20, "features", SEED).select("cluster", "size")
+
+
+# ------------------------------------------------------------------ sources / sinks
+
+def _scratch(spark) -> str:
+    import uuid
+
+    from wardline.session import checkpoint_dir
+    return f"{checkpoint_dir(spark, local_default=True).rstrip('/')}/wardline-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip", "WITH " + ENC + "\nSELECT * FROM enc")
+def q_csv_roundtrip(spark, sf):
+    """CSV sink then CSV scan with a declared schema (no inference)."""
+    from wardline.sources.tables import read_csv
+    e = S.encounters(spark, sf)
+    path = _scratch(spark) + "/encounters_csv"
+    (e.write.mode("overwrite").option("header", True)
+      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+      .csv(path))
+    return read_csv(spark, path, e.schema)
+
+
+@register("importance_csv", """
+SELECT feature, round(importance, 6) AS importance FROM (
+  SELECT """ + _IMP_SQL_FEATURE + """ AS feature, avg(abs(value - 100.0)) AS importance
+  FROM events GROUP BY 1) ORDER BY importance DESC, feature LIMIT 60""")
+def q_importance_csv(spark, sf):
+    """Top-60 importance table written as CSV and read back."""
+    from wardline.sources.sinks import write_top_csv
+    ev = S.read_table(spark, sf, "events")
+    long = ev.select(F.concat("event_type", F.lit("_"), (F.col("user_id") % 5).cast("string"))
+                     .alias("feature"), (F.col("value") - 100.0).alias("value"))
+    path = _scratch(spark) + "/importance_csv"
+    write_top_csv(report.mean_abs(long), path, 60)
+    return r6(spark.read.schema("feature string, importance double").option("header", True)
+              .csv(path))
+
+
+@register("model_save_load")
+def q_model_save_load(spark, sf):
+    """Fitted pipeline saved, loaded back and used to score the test split;
+    a report (key, value) of its metrics written and read back."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from wardline.operators import models
+    from wardline.sources.sinks import load_model, report_frame, save_model, write_report
+    raw, cols = _raw(spark, sf)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"),
+                            models.logistic(n_train=None)])
+    fitted = pipe.fit(raw.where(F.col("is_test") == 0))
+    base = _scratch(spark)
+    save_model(fitted, base + "/model")
+    loaded = load_model(base + "/model", fallback=fitted)
+    sc = models.score(loaded, raw.where(F.col("is_test") == 1), "encounter_id")
+    m = metrics.evaluate(sc, "label", "p").first().asDict()
+    write_report(report_frame(spark, m), base + "/report")
+    return spark.read.text(base + "/report")

@@ -1,0 +1,105 @@
+"""End-to-end readmission pipeline, leak-free: everything fitted (patient
+frequency, rare levels, vocabulary, scaler) is fitted on the training split
+only and then applied to both splits.
+
+    encounters -> clean (drop weight, '?' -> Unknown, gender / hospice filters)
+    -> label, yes/no flags, dose ordinals, ICD groups, lookup of admission type
+    -> drop constant columns -> stratified split
+    -> fit on train: patient frequency, discharge rare-level bucket,
+       one-hot vocabulary, population scaler
+    -> apply to train and test -> feature vector
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.operators import clean, encode, lookup, sample
+from wardline.plans import standins as S
+from wardline.session import checkpoint_dir
+
+EXCLUDED_DISCHARGE = [11, 19, 20, 21]
+DRUGS = ["metformin", "insulin", "examide"]
+CATEGORICAL = ["race", "gender", "age", "admission_type_id", "disch_reduced", "medical_specialty",
+               "diag_1_cat", "diag_2_cat", "diag_3_cat"]
+NUMERIC = ["time_in_hospital", "num_lab_procedures", "num_procedures", "num_medications",
+           "number_outpatient", "number_emergency", "number_inpatient", "number_diagnoses",
+           "patient_freq", "change", "diabetesMed"]
+
+
+@dataclass
+class Prepared:
+    train: DataFrame            # encounter_id, label, features (+ raw columns)
+    test: DataFrame
+    feature_names: list[str]
+    raw_columns: list[str] = field(default_factory=list)
+
+
+def clean_encounters(enc: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Row-wise cleaning and coding (no fitted state)."""
+    e = clean.drop_columns(enc, ["weight"])
+    e = clean.replace_sentinel(e, "?", "Unknown")
+    e = clean.exclude_value(e, "gender", "Unknown/Invalid")
+    e = clean.exclude_codes(e, "discharge_disposition_id", EXCLUDED_DISCHARGE)
+    e = clean.binary_target(e, "readmitted", "<30")
+    e = clean.yes_no_flags(e, {"change": "Ch", "diabetesMed": "Yes"})
+    e = encode.encode_ordinal(e, DRUGS)
+    e = encode.group_codes(e, ["diag_1", "diag_2", "diag_3"], fine=True)
+    e = lookup.map_codes(e, "admission_type_id", lookups, section="admission_type_id",
+                         fill="Other")
+    return e
+
+
+def prepare(spark: SparkSession, sf_dir: str, seed: int = 42, test_size: float = 0.3,
+            drugs_as_category: bool = True) -> Prepared:
+    enc = S.encounters(spark, sf_dir)
+    lk = lookup.parse_stacked_lookup(S.lookup_lines(spark, sf_dir))
+    e = clean_encounters(enc, lk)
+    e = clean.drop_constant(e, DRUGS)            # constant dose columns carry nothing
+    drugs = [d for d in DRUGS if d in e.columns]
+    e = sample.split_stratified(e, "label", "encounter_id", test_size, seed)
+    # Reliable checkpoint (shared folder): a short plan for everything fitted
+    # below, and no recomputation of the cleaning when an executor is lost.
+    checkpoint_dir(spark, local_default=True)
+    e = e.checkpoint(eager=True)
+    train = e.where(F.col("is_test") == 0)
+
+    # fitted on train only
+    e = encode.frequency_encode(e, "patient_nbr", "patient_freq", fit_on=train)
+    e = encode.rare_bucket(e, "discharge_disposition_id", min_share=0.01, out="disch_reduced",
+                           fit_on=train)
+    cats = list(CATEGORICAL)
+    nums = list(NUMERIC)
+    if drugs_as_category:
+        e = e.withColumns({d: F.col(d).cast("int").cast("string") for d in drugs})
+        cats += drugs
+    else:
+        nums += drugs
+    train = e.where(F.col("is_test") == 0)
+    stats = encode.fit_scaler(train, nums)
+    x = encode.apply_scaler(e, stats).fillna(0.0, subset=nums)
+    x = x.select("encounter_id", "label", "is_test", *nums, *cats)
+    to_vec, names = encode.fit_sparse_one_hot(x.where(F.col("is_test") == 0), cats, nums)
+    vec = to_vec(x).select("encounter_id", "label", "is_test", "features")
+    # Reliable checkpoint in the shared folder: cuts the long lineage before
+    # the many fits that follow and survives lost executors.
+    checkpoint_dir(spark, local_default=True)
+    vec = vec.checkpoint(eager=True)
+    tr, te = sample.train_test(vec)
+    return Prepared(tr, te, names, cats + nums)
+
+
+def raw_features(spark: SparkSession, sf_dir: str, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """Cleaned, coded encounter rows before one-hot (for attribution over the
+    original columns): encounter_id, label, is_test, numeric + categorical."""
+    enc = S.encounters(spark, sf_dir)
+    lk = lookup.parse_stacked_lookup(S.lookup_lines(spark, sf_dir))
+    e = clean_encounters(enc, lk)
+    e = sample.split_stratified(e, "label", "encounter_id", 0.3, seed)
+    cols = ["time_in_hospital", "num_medications", "number_inpatient", "number_emergency",
+            "number_diagnoses", "change"]
+    return e.select("encounter_id", "label", "is_test",
+                    *[F.col(c).cast("double").alias(c) for c in cols]), cols
