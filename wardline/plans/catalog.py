@@ -952,3 +952,47 @@ def q_model_save_load(spark, sf):
     m = metrics.evaluate(sc, "label", "p").first().asDict()
     write_report(report_frame(spark, m), base + "/report")
     return spark.read.text(base + "/report")
+
+
+# ------------------------------------------------------------------ 7. SMOTE
+
+_VEC = "vec AS (" + S.duck(S.VECTORS) + ")"
+_KNN_SQL = _VEC + """,
+m AS (SELECT key, features FROM vec WHERE label = 1),
+pairs AS (SELECT a.key AS qkey, b.key AS nkey, list_distance(a.features, b.features) AS dist
+          FROM m a JOIN m b ON a.key <> b.key),
+knn AS (SELECT qkey, CAST(row_number() OVER (PARTITION BY qkey ORDER BY dist, nkey) AS INTEGER) AS rank,
+               nkey, dist FROM pairs
+        QUALIFY row_number() OVER (PARTITION BY qkey ORDER BY dist, nkey) <= 5)"""
+
+
+@register("knn_minority", "WITH " + _KNN_SQL + """
+SELECT qkey, rank, nkey, round(dist, 6) AS dist FROM knn""")
+def q_knn_minority(spark, sf):
+    """Exact 5 nearest minority neighbours of every minority vector."""
+    from wardline.operators import neighbors
+    v = S.vectors(spark, sf).where(F.col("label") == 1)
+    return r6(neighbors.knn_exact(v, 5, "key", "features", block_rows=64, seed=SEED))
+
+
+@register("smote_rows", "WITH " + _KNN_SQL + """,
+n AS (SELECT count(*) FILTER (WHERE label = 0) - count(*) FILTER (WHERE label = 1) AS n_new,
+             count(*) FILTER (WHERE label = 1) AS n_min FROM vec),
+ranked AS (SELECT key, features, row_number() OVER (
+             ORDER BY md5(concat_ws(':', '42', CAST(key AS VARCHAR))), key) AS rn FROM m),
+draws AS (SELECT i,
+    CAST(('0x' || substr(md5(concat_ws(':', '42', 'smote', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) % n_min + 1 AS rn,
+    CAST(CAST(('0x' || substr(md5(concat_ws(':', '42', 'nn', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) % 5 + 1 AS INTEGER) AS rank,
+    CAST(('0x' || substr(md5(concat_ws(':', '42', 'gap', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+  FROM (SELECT unnest(range(n_new)) AS i, n_min FROM n)),
+synth AS (SELECT d.i, [round(r.features[j] + d.u * (nb.features[j] - r.features[j]), 6)
+                        FOR j IN range(1, len(r.features) + 1)] AS features
+  FROM draws d JOIN ranked r USING (rn) JOIN knn ON knn.qkey = r.key AND knn.rank = d.rank
+  JOIN m nb ON nb.key = knn.nkey)
+SELECT CAST(key AS BIGINT) AS key, label, [round(x, 6) FOR x IN features] AS features, 0 AS synthetic FROM vec
+UNION ALL SELECT -(i + 1), 1, features, 1 FROM synth""")
+def q_smote_rows(spark, sf):
+    """SMOTE on the vector stand-in: minority (class 7) grown to the majority size."""
+    from wardline.operators import neighbors
+    out = neighbors.smote(S.vectors(spark, sf), "label", "key", "features", 5, SEED, block_rows=64)
+    return out.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
