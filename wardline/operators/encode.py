@@ -4,6 +4,7 @@ pipeline, so nothing leaks from test rows) and applied to any frame."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,9 +43,11 @@ def level_shares(df: DataFrame, col: str) -> DataFrame:
     """(level, n, share) per non-missing level; share = n / non-missing rows.
 
     Partial aggregation combines map-side, so a level holding a third of the
-    rows costs no more than any other; the total is a scalar subquery."""
+    rows costs no more than any other; the total is a scalar subquery.  The
+    per-level counts are persisted: the salted join and the total read them
+    several times, so the input is scanned for them once."""
     counts = df.where(_q(col).isNotNull()).groupBy(_q(col).alias(col)).agg(
-        F.count(F.lit(1)).cast("long").alias("n"))
+        F.count(F.lit(1)).cast("long").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     total = counts.agg(F.sum("n"))
     return counts.withColumn("share", F.col("n") / total.scalar())
 

@@ -10,6 +10,7 @@ rank only inside each (group, bucket).  The result equals the global rank.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,15 +47,20 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 
 def split_by_quota(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                   bucket: Column, quota: DataFrame, flag_col: str) -> DataFrame:
+                   bucket: Column, quota, flag_col: str) -> DataFrame:
     """``flag_col`` = 1 for the first ``quota`` rows of each group in the given
-    order, else 0.  ``quota`` is a small frame (group_cols..., ``quota``).
+    order, else 0.  ``quota`` is a small frame (group_cols..., ``quota``) or a
+    function from the group totals (group_cols..., ``n``) to such a frame, so
+    the totals come from the bucket table instead of another scan.
 
     Buckets entirely inside or outside the quota are decided by the broadcast
     bucket table alone; only the one boundary bucket per group is ranked, so
     the bulk of the data is never shuffled."""
     b = df.withColumn(_B, bucket)
-    offs = _offsets(b, group_cols, {"_wl_cnt": F.count(F.lit(1))}, keep=True)
+    offs = (_offsets(b, group_cols, {"_wl_cnt": F.count(F.lit(1))}, keep=True)
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    if callable(quota):
+        quota = quota(offs.groupBy(*group_cols).agg(F.sum("_wl_cnt").cast("long").alias("n")))
     dec = (offs.withColumnRenamed(_OFF + "_wl_cnt", _OFF + "n").join(quota, group_cols, "left")
            .withColumn("_wl_q", F.coalesce(F.col("quota"), F.lit(0)))
            .withColumn("_wl_dec",

@@ -39,9 +39,11 @@ def split_stratified(df: DataFrame, label: str = "label", key: str = "encounter_
     rows first in seeded-hash order; the rest 0.  Each class keeps its share
     within one row."""
     f = _fraction(test_size)
-    quota = class_counts(df, label).select(
-        label, ((F.col("n") * f.numerator + (f.denominator - 1)) / f.denominator)
-        .cast("long").alias("quota"))
+
+    def quota(totals: DataFrame) -> DataFrame:
+        # ceil(n * p / q) in exact integer arithmetic
+        return totals.select(label, F.expr(
+            f"(n * {f.numerator} + {f.denominator - 1}) div {f.denominator}").alias("quota"))
     h = df.withColumn(_H, seeded_hash(seed, key))
     res = split_by_quota(h, [label], [_H, key], hash_bucket(F.col(_H), BUCKET_DIGITS), quota, out)
     return res.drop(_H)

@@ -996,3 +996,31 @@ def q_smote_rows(spark, sf):
     from wardline.operators import neighbors
     out = neighbors.smote(S.vectors(spark, sf), "label", "key", "features", 5, SEED, block_rows=64)
     return out.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
+
+
+# ------------------------------------------------------------------ 11. end to end
+
+@register("pipeline_end_to_end")
+def q_pipeline_end_to_end(spark, sf):
+    """Leak-free run: prepare (fit on train only) -> 3 stratified folds of the
+    train split -> seeded search over 3 logistic configurations with
+    oversampling inside each training fold (F1) -> best configuration ->
+    refit on the oversampled train split -> test metrics."""
+    from pyspark import StorageLevel
+
+    from wardline.operators import models, tune
+    p = _prepared(spark, sf)
+    folded = sample.folds_stratified(p.train, 3, "label", "encounter_id", SEED).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    configs = tune.draw_configs(spark, {"reg": ("logfloat", 1e-4, 1e-1)}, 3, SEED)
+    scores = tune.cv_scores(folded, configs, lambda c: models.logistic(max_iter=100).setRegParam(
+        c["reg"]), "f1", "resample", "encounter_id", "fold", 3, SEED)
+    best = tune.best_config(scores).join(configs, "config").first()
+    final = models.fit_balanced(p.train, models.logistic(max_iter=100).setRegParam(best["reg"]),
+                                "resample", "label", "encounter_id", SEED)
+    sc = models.score(final, p.test, "encounter_id")
+    out = metrics.evaluate(sc, "label", "p", 0.5)
+    folded.unpersist()
+    return r6(out.select(F.lit(int(best["config"])).alias("config"),
+                         F.lit(float(best["reg"])).alias("reg_param"),
+                         F.lit(float(best["mean_score"])).alias("cv_f1"), "*"))

@@ -101,5 +101,7 @@ def raw_features(spark: SparkSession, sf_dir: str, seed: int = 42) -> tuple[Data
     e = sample.split_stratified(e, "label", "encounter_id", 0.3, seed)
     cols = ["time_in_hospital", "num_medications", "number_inpatient", "number_emergency",
             "number_diagnoses", "change"]
-    return e.select("encounter_id", "label", "is_test",
-                    *[F.col(c).cast("double").alias(c) for c in cols]), cols
+    out = e.select("encounter_id", "label", "is_test",
+                   *[F.col(c).cast("double").alias(c) for c in cols])
+    checkpoint_dir(spark, local_default=True)
+    return out.checkpoint(eager=True), cols

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The modelled workflow has no streams, watermarks or stateful operators, so
+this package defines none.  The row-wise operators (code mapping, ordinal and
+ICD encoding, applying a fitted vocabulary / scaler / lookup by broadcast
+join, scoring with a fitted ``PipelineModel``) are ordinary DataFrame
+transformations and apply unchanged to a ``readStream`` DataFrame.
+"""
