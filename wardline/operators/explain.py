@@ -64,10 +64,14 @@ def permutation_importance(df: DataFrame, features: list[str], scorer: Scorer,
     ex = base.withColumn("_wl_g", F.explode(F.array(*[
         F.struct(F.lit(f).alias("_wl_f"), F.lit(r).alias("_wl_r"))
         for f in features for r in range(n_repeats)]))).select("*", "_wl_g.*").drop("_wl_g")
+    # donor positions: rank inside each (feature, repeat) in a seeded order,
+    # bucketed so no (feature, repeat) copy sits in one task
     hp = seeded_hash(seed, F.lit("perm"), F.col("_wl_f"), F.col("_wl_r"), F.col(key))
-    w = Window.partitionBy("_wl_f", "_wl_r").orderBy(hp, F.col(key))
-    donors = ex.select("_wl_f", "_wl_r", F.row_number().over(w).alias("_wl_pos"),
-                       F.struct(*[F.col(f"`{c}`") for c in features]).alias("_wl_d"))
+    donors = rank_within(
+        ex.select("_wl_f", "_wl_r", key, hp.alias("_wl_hp"),
+                  F.struct(*[F.col(f"`{c}`") for c in features]).alias("_wl_d")),
+        ["_wl_f", "_wl_r"], ["_wl_hp", key], F.substring("_wl_hp", 1, 2), "_wl_pos"
+    ).select("_wl_f", "_wl_r", "_wl_pos", "_wl_d")
     j = ex.join(donors, ["_wl_f", "_wl_r", "_wl_pos"])
     permuted = j.withColumns({c: F.when(F.col("_wl_f") == c, F.col(f"_wl_d.`{c}`"))
                               .otherwise(F.col(f"`{c}`")) for c in features}).drop("_wl_d")
