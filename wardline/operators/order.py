@@ -106,3 +106,44 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str,
         j = j.withColumn(v + "_before",
                          F.col(_OFF + v) + F.coalesce(F.sum(v).over(w), F.lit(0)))
     return j.drop(_B, tmp, *[_OFF + v for v in values])
+
+
+def running_before(df: DataFrame, entity: str, order_col: str, tie_col: str,
+                   values: list[str], hot_share: float = 1e-3,
+                   n_buckets: int = 256) -> DataFrame:
+    """Per-entity history before each row: ``prior_n`` (earlier rows of the
+    same entity in (order_col, tie_col) order) and ``<v>_prior`` (their sum of
+    each value column, 0 when none).
+
+    A window per entity would put a heavy entity (say a patient with a third
+    of all rows) in one task.  Entities holding >= ``hot_share`` of the rows
+    – at most 1/hot_share of them, so their table is broadcast – are cut into
+    ``n_buckets`` ranges of ``order_col`` (global quantiles) with offsets from
+    a small per-(entity, bucket) table; every other entity is a window of
+    less than ``hot_share`` of the data."""
+    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_wl_n")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    total = counts.agg(F.sum("_wl_n")).scalar()
+    hot = counts.where(F.col("_wl_n") >= total * F.lit(hot_share)).select(
+        entity, F.lit(True).alias("_wl_hot"))
+    tagged = df.join(F.broadcast(hot), entity, "left")
+    hot_rows = tagged.where(F.col("_wl_hot"))
+    splits = quantile_bucket(hot_rows.select(F.col(order_col).cast("double").alias("_wl_o")),
+                             "_wl_o", n_buckets)
+    tmp = "_wl_o"
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol="_wl_qb", handleInvalid="keep") \
+        .transform(tagged.withColumn(tmp, F.col(order_col).cast("double")))
+    b = b.withColumn(_B, F.when(F.col("_wl_hot"), F.col("_wl_qb")).otherwise(F.lit(0.0))) \
+         .drop("_wl_qb", tmp)
+    sums = {"_wl_c": F.count(F.lit(1))}
+    sums.update({f"_wl_s{i}": F.sum(F.col(v)) for i, v in enumerate(values)})
+    offs = _offsets(b.where(F.col("_wl_hot")), [entity], sums)
+    j = b.join(F.broadcast(offs), [entity, _B], "left")
+    w = (Window.partitionBy(entity, _B).orderBy(order_col, tie_col)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    out = j.withColumn("prior_n", (F.coalesce(F.col(_OFF + "_wl_c"), F.lit(0))
+                                   + F.count(F.lit(1)).over(w)).cast("long"))
+    for i, v in enumerate(values):
+        out = out.withColumn(f"{v}_prior", F.coalesce(F.col(_OFF + f"_wl_s{i}"), F.lit(0))
+                             + F.coalesce(F.sum(F.col(v)).over(w), F.lit(0)))
+    return out.drop(_B, "_wl_hot", *[c for c in out.columns if c.startswith(_OFF)])

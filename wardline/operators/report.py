@@ -115,6 +115,15 @@ def entity_history(df: DataFrame, entity: str, numeric: list[str],
     return df.groupBy(_q(entity).alias(entity)).agg(*aggs)
 
 
+def entity_prior(df: DataFrame, entity: str, order_col: str, tie_col: str,
+                 values: list[str], hot_share: float = 1e-3) -> DataFrame:
+    """History before the current row: earlier rows of the same entity
+    (``prior_n``) and running sums of ``values`` (``<v>_prior``); heavy
+    entities are split into ordered ranges (``order.running_before``)."""
+    from wardline.operators.order import running_before
+    return running_before(df, entity, order_col, tie_col, values, hot_share)
+
+
 def top_k(df: DataFrame, k: int, by: str = "importance", tie: str = "feature") -> DataFrame:
     """Top-k rows by ``by`` descending with a unique tie-break (a bounded
     TakeOrderedAndProject)."""

@@ -658,6 +658,25 @@ def q_entity_history(spark, sf):
     return r6(h.withColumns({f"{c}_sum": F.col(f"{c}_sum").cast("long") for c in _HIST}))
 
 
+@register("entity_prior", "WITH " + BASE + """
+SELECT encounter_id, patient_nbr,
+  CAST(count(*) OVER w AS BIGINT) AS prior_n,
+  CAST(coalesce(sum(number_inpatient) OVER w, 0) AS BIGINT) AS number_inpatient_prior,
+  CAST(coalesce(sum(number_emergency) OVER w, 0) AS BIGINT) AS number_emergency_prior
+FROM base
+WINDOW w AS (PARTITION BY patient_nbr ORDER BY encounter_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def q_entity_prior(spark, sf):
+    """Per-patient history before each encounter (visits and running counts)."""
+    b = base(spark, sf).select("encounter_id", "patient_nbr", "number_inpatient",
+                               "number_emergency")
+    h = report.entity_prior(b, "patient_nbr", "encounter_id", "encounter_id",
+                            ["number_inpatient", "number_emergency"])
+    return h.select("encounter_id", "patient_nbr", "prior_n",
+                    F.col("number_inpatient_prior").cast("long").alias("number_inpatient_prior"),
+                    F.col("number_emergency_prior").cast("long").alias("number_emergency_prior"))
+
+
 _IMP_SQL_FEATURE = "concat(event_type, '_', CAST(user_id % 5 AS VARCHAR))"
 
 
