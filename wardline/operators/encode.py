@@ -5,7 +5,7 @@ pipeline, so nothing leaks from test rows) and applied to any frame."""
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,32 +92,37 @@ def rare_bucket(df: DataFrame, col: str, min_share: float | None = 0.01,
 
 # ---------------------------------------------------------------- one-hot
 
-def fit_vocabulary(df: DataFrame, cols: list[str], max_levels: int = 1000) -> DataFrame:
+def fit_vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, level, n, idx) for every non-missing level, ``idx`` 0-based in
     ascending level order.  One scan: columns are unpivoted inside the
-    pipeline and partially aggregated before the shuffle.  A column with more
-    than ``max_levels`` levels is rejected (id-like; bucket it first)."""
+    pipeline and partially aggregated before the shuffle.  Collect it with
+    :func:`vocabulary_levels`, which rejects id-like columns."""
     if not cols:
         raise ValueError("no columns")
     long = df.select(*[_q(c).cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "column", "level")
     counts = (long.where(F.col("level").isNotNull())
                   .groupBy("column", "level").agg(F.count(F.lit(1)).cast("long").alias("n")))
-    from pyspark.sql import Window
     w = Window.partitionBy("column").orderBy("level")
     vocab = counts.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
     return vocab
 
 
 def vocabulary_levels(vocab: DataFrame, max_levels: int = 1000) -> dict[str, list[str]]:
-    """Collect a fitted vocabulary (bounded by ``max_levels`` per column)."""
-    too_big = vocab.where(F.col("idx") >= max_levels).select("column").distinct().collect()
+    """Collect a fitted vocabulary, bounded: the number of levels per column
+    is checked first (a small aggregate), so an id-like column is rejected
+    before any of its levels are ranked or moved; then at most
+    ``max_levels`` levels per column reach the driver."""
+    sizes = {r["column"]: r["k"] for r in
+             vocab.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+    too_big = sorted(c for c, k in sizes.items() if k > max_levels)
     if too_big:
-        raise ValueError(f"columns with more than {max_levels} levels: "
-                         f"{sorted(r[0] for r in too_big)}; bucket rare levels first")
+        raise ValueError(f"columns with more than {max_levels} levels: {too_big}; "
+                         f"bucket rare levels first")
     out: dict[str, list[str]] = {}
-    for r in vocab.orderBy("column", "idx").select("column", "level").collect():
-        out.setdefault(r[0], []).append(r[1])
+    for r in sorted(vocab.select("column", "level").collect(),
+                    key=lambda r: (r["column"], r["level"])):
+        out.setdefault(r["column"], []).append(r["level"])
     return out
 
 
