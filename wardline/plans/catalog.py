@@ -95,8 +95,8 @@ SCORES = "sc AS (" + S.duck(S.SCORES) + ")"
 
 
 def _sql_ordinal(c: str) -> str:
-    return (f"CASE lower(trim({c})) WHEN 'no' THEN 0.0 WHEN 'down' THEN 1.0 "
-            f"WHEN 'steady' THEN 2.0 WHEN 'up' THEN 3.0 END")
+    return (f"CAST(CASE lower(trim({c})) WHEN 'no' THEN 0.0 WHEN 'down' THEN 1.0 "
+            f"WHEN 'steady' THEN 2.0 WHEN 'up' THEN 3.0 END AS DOUBLE)")
 
 
 def _sql_root(c: str) -> str:

@@ -37,14 +37,15 @@ def checkpoint_dir(spark: SparkSession, local_default: bool = False) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder must be set by the cluster (shared storage).  Only
-    for local runs and tests (``local_default=True``) do we create one.
+    when the setting is unset and the master is ``local[...]`` (tests, local
+    runs; ``local_default=True``) is a local folder created.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         spark.sparkContext.setCheckpointDir(d)
         return d
-    if not local_default:
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+    if not (local_default and spark.sparkContext.master.startswith("local")):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     d = tempfile.mkdtemp(prefix="wardline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
