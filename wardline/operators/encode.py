@@ -227,17 +227,18 @@ def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str
         return df.withColumns({c: F.when(_q(c).cast("string") == F.lit(base[c]), F.lit(None))
                                    .otherwise(_q(c).cast("string")) for c in cat_cols})
 
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetDesc",
-                         handleInvalid="keep") for c in cat_cols]
+    # one multi-column indexer: all vocabularies in a single pass
+    idx = StringIndexer(inputCols=cat_cols, outputCols=[f"{c}__idx" for c in cat_cols],
+                        stringOrderType="alphabetDesc", handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat_cols],
                         outputCols=[f"{c}__vec" for c in cat_cols], dropLast=True)
     asm = VectorAssembler(inputCols=num_cols + [f"{c}__vec" for c in cat_cols], outputCol=out,
                           handleInvalid="keep")
-    model = Pipeline(stages=[*idx, ohe, asm]).fit(pre(train))
+    model = Pipeline(stages=[idx, ohe, asm]).fit(pre(train))
     names = list(num_cols)
-    for c, st in zip(cat_cols, model.stages[:len(cat_cols)]):
-        # slots follow index order: descending levels; reported ascending here
-        names += [sanitize_name(f"{c}_{lv}") for lv in st.labels]
+    for c, labels in zip(cat_cols, model.stages[0].labelsArray):
+        # one slot per level in index order (descending levels)
+        names += [sanitize_name(f"{c}_{lv}") for lv in labels]
     drop = [f"{c}__idx" for c in cat_cols] + [f"{c}__vec" for c in cat_cols]
 
     def transform(df: DataFrame) -> DataFrame:

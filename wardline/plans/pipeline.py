@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import clean, encode, lookup, sample
 from wardline.plans import standins as S
-from wardline.session import checkpoint_dir
+from wardline.session import materialize
 
 EXCLUDED_DISCHARGE = [11, 19, 20, 21]
 DRUGS = ["metformin", "insulin", "examide"]
@@ -61,10 +61,10 @@ def prepare(spark: SparkSession, sf_dir: str, seed: int = 42, test_size: float =
     e = clean.drop_constant(e, DRUGS)            # constant dose columns carry nothing
     drugs = [d for d in DRUGS if d in e.columns]
     e = sample.split_stratified(e, "label", "encounter_id", test_size, seed)
-    # Reliable checkpoint (shared folder): a short plan for everything fitted
-    # below, and no recomputation of the cleaning when an executor is lost.
-    checkpoint_dir(spark, local_default=True)
-    e = e.checkpoint(eager=True)
+    # A table in the shared checkpoint folder: a short plan for everything
+    # fitted below, computed once, and no recomputation of the cleaning when
+    # an executor is lost.
+    e = materialize(e, "clean-split")
     train = e.where(F.col("is_test") == 0)
 
     # fitted on train only
@@ -78,16 +78,15 @@ def prepare(spark: SparkSession, sf_dir: str, seed: int = 42, test_size: float =
         cats += drugs
     else:
         nums += drugs
+    e = materialize(e.select("encounter_id", "label", "is_test", *nums, *cats), "encoded")
     train = e.where(F.col("is_test") == 0)
     stats = encode.fit_scaler(train, nums)
     x = encode.apply_scaler(e, stats).fillna(0.0, subset=nums)
     x = x.select("encounter_id", "label", "is_test", *nums, *cats)
     to_vec, names = encode.fit_sparse_one_hot(x.where(F.col("is_test") == 0), cats, nums)
     vec = to_vec(x).select("encounter_id", "label", "is_test", "features")
-    # Reliable checkpoint in the shared folder: cuts the long lineage before
-    # the many fits that follow and survives lost executors.
-    checkpoint_dir(spark, local_default=True)
-    vec = vec.checkpoint(eager=True)
+    # the many fits that follow read this table, not the lineage
+    vec = materialize(vec, "features")
     tr, te = sample.train_test(vec)
     return Prepared(tr, te, names, cats + nums)
 
@@ -103,5 +102,4 @@ def raw_features(spark: SparkSession, sf_dir: str, seed: int = 42) -> tuple[Data
             "number_diagnoses", "change"]
     out = e.select("encounter_id", "label", "is_test",
                    *[F.col(c).cast("double").alias(c) for c in cols])
-    checkpoint_dir(spark, local_default=True)
-    return out.checkpoint(eager=True), cols
+    return materialize(out, "raw-features"), cols

@@ -50,3 +50,15 @@ def checkpoint_dir(spark: SparkSession, local_default: bool = False) -> str:
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, label: str = "table"):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back: one computation, a cut lineage, and data that outlives any
+    executor (unlike cached blocks)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark, local_default=True).rstrip('/')}/wardline-tables/" \
+           f"{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
