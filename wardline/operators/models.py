@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import sample
+from wardline.session import materialize
 
 
 def logistic(n_train: int | None = None, max_iter: int = 1000, weight_col: str | None = None,
@@ -69,7 +70,11 @@ def fit_balanced(train: DataFrame, estimator, balance: str = "none", label: str
     oversampling keeping the original rows) or 'weights' (balanced class
     weights in a ``weight`` column; the estimator must use it)."""
     if balance == "resample":
-        train = sample.oversample(train, label, key, seed, keep_original=True)
+        # the resampled set is written once as a table: iterative fitters
+        # then read file-sized partitions instead of re-running the draw joins
+        # (or hundreds of tiny shuffle partitions) on every pass
+        train = materialize(sample.oversample(train, label, key, seed, keep_original=True),
+                            "train-resampled")
     elif balance == "weights":
         train = sample.with_class_weights(train, label, "weight")
     elif balance != "none":

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from wardline.functions.codes import sanitize_name
 from wardline.operators import clean, encode, lookup, metrics, report, sample
 from wardline.plans import standins as S
+from wardline.session import materialize
 
 SEED = 42
 EXCLUDED_DISCHARGE = [11, 19, 20, 21]
@@ -792,12 +793,10 @@ def q_fit_mlp(spark, sf):
 def q_cv_scores(spark, sf):
     """Seeded random search: 4 forest configurations x 4 stratified folds on
     the train split, oversampling inside each training fold; score F1."""
-    from pyspark import StorageLevel
-
     from wardline.operators import models, tune
     p = _prepared(spark, sf)
-    folded = sample.folds_stratified(p.train, 4, "label", "encounter_id", SEED).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    folded = materialize(sample.folds_stratified(p.train, 4, "label", "encounter_id", SEED),
+                         "folds")
     space = {"num_trees": ("int", 10, 60), "max_depth": ("int", 3, 10),
              "min_leaf": ("int", 1, 5)}
     configs = tune.draw_configs(spark, space, 4, SEED)
@@ -1025,12 +1024,10 @@ def q_pipeline_end_to_end(spark, sf):
     train split -> seeded search over 3 logistic configurations with
     oversampling inside each training fold (F1) -> best configuration ->
     refit on the oversampled train split -> test metrics."""
-    from pyspark import StorageLevel
-
     from wardline.operators import models, tune
     p = _prepared(spark, sf)
-    folded = sample.folds_stratified(p.train, 3, "label", "encounter_id", SEED).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    folded = materialize(sample.folds_stratified(p.train, 3, "label", "encounter_id", SEED),
+                         "folds")
     configs = tune.draw_configs(spark, {"reg": ("logfloat", 1e-4, 1e-1)}, 3, SEED)
     scores = tune.cv_scores(folded, configs, lambda c: models.logistic(max_iter=100).setRegParam(
         c["reg"]), "f1", "resample", "encounter_id", "fold", 3, SEED)
@@ -1039,7 +1036,6 @@ def q_pipeline_end_to_end(spark, sf):
                                 "resample", "label", "encounter_id", SEED)
     sc = models.score(final, p.test, "encounter_id")
     out = metrics.evaluate(sc, "label", "p", 0.5)
-    folded.unpersist()
     return r6(out.select(F.lit(int(best["config"])).alias("config"),
                          F.lit(float(best["reg"])).alias("reg_param"),
                          F.lit(float(best["mean_score"])).alias("cv_f1"), "*"))
