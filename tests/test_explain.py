@@ -66,3 +66,15 @@ def test_best_config(spark):
                               "config int, fold int, score double")
     r = tune.best_config(s).first()
     assert r["config"] == 0 and r["mean_score"] == pytest.approx(0.6)
+
+
+def test_sampled_shapley_exact_efficiency_single_background(spark, fitted):
+    df, cols, scorer = fitted
+    ex = df.where("key < 4")
+    bg = df.where("key = 150")
+    phi = explain.shapley_sampled(ex, bg, cols, scorer, "key", 5, 3)
+    tot = {r["key"]: r["s"] for r in phi.groupBy("key").agg(F.sum("phi").alias("s")).collect()}
+    px = {r["key"]: r["p"] for r in scorer(ex).collect()}
+    pz = scorer(bg).first()["p"]
+    for k in px:
+        assert tot[k] == pytest.approx(px[k] - pz, abs=1e-9)
