@@ -101,3 +101,14 @@ def test_running_before_hot_entity_matches_window(spark):
     want = df.select("id", F.count(F.lit(1)).over(w).alias("prior_n"),
                      F.coalesce(F.sum("v").over(w), F.lit(0)).alias("v_prior"))
     assert _set(got, ["id", "prior_n", "v_prior"]) == _set(want, ["id", "prior_n", "v_prior"])
+
+
+def test_split_keeps_null_label_rows(spark):
+    rows = [(i, None if i % 10 == 0 else i % 2) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "encounter_id long, label int")
+    s = sample.split_stratified(df, test_size=0.3, seed=1)
+    assert s.count() == 100
+    n_null_test = s.where(F.col("label").isNull() & (F.col("is_test") == 1)).count()
+    assert n_null_test == 3          # ceil(0.3 * 10): NULL is its own stratum
+    f = sample.folds_stratified(df, 3, seed=1)
+    assert f.count() == 100

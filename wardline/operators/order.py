@@ -19,6 +19,17 @@ _B = "_wl_bucket"
 _OFF = "_wl_offset"
 
 
+def _join_ns(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner",
+             broadcast: bool = True) -> DataFrame:
+    """Join on ``cols`` with NULL-safe equality (a NULL group is a group, not
+    a lost row); the right side's key columns are dropped."""
+    r = right.select(*[F.col(c).alias(f"_wl_r_{c}") if c in cols else F.col(c)
+                       for c in right.columns])
+    cond = [left[c].eqNullSafe(r[f"_wl_r_{c}"]) for c in cols]
+    out = left.join(F.broadcast(r) if broadcast else r, cond, how)
+    return out.drop(*[f"_wl_r_{c}" for c in cols])
+
+
 def _offsets(df: DataFrame, group_cols: list[str], sums: dict[str, Column],
              keep: bool = False) -> DataFrame:
     """Per (group, bucket): exclusive running totals of ``sums`` across buckets
@@ -40,7 +51,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     Group columns must not be NULL."""
     b = df.withColumn(_B, bucket)
     offs = _offsets(b, group_cols, {"n": F.count(F.lit(1))})
-    j = b.join(F.broadcast(offs), [*group_cols, _B])
+    j = _join_ns(b, offs, [*group_cols, _B])
     w = Window.partitionBy(*group_cols, _B).orderBy(*order_cols)
     return (j.withColumn(rank_col, (F.col(_OFF + "n") + F.row_number().over(w)).cast("long"))
              .drop(_B, _OFF + "n"))
@@ -61,14 +72,15 @@ def split_by_quota(df: DataFrame, group_cols: list[str], order_cols: list[str],
             .persist(StorageLevel.MEMORY_AND_DISK))
     if callable(quota):
         quota = quota(offs.groupBy(*group_cols).agg(F.sum("_wl_cnt").cast("long").alias("n")))
-    dec = (offs.withColumnRenamed(_OFF + "_wl_cnt", _OFF + "n").join(quota, group_cols, "left")
+    dec = (_join_ns(offs.withColumnRenamed(_OFF + "_wl_cnt", _OFF + "n"), quota, group_cols,
+                    "left")
            .withColumn("_wl_q", F.coalesce(F.col("quota"), F.lit(0)))
            .withColumn("_wl_dec",
                        F.when(F.col(_OFF + "n") + F.col("_wl_cnt") <= F.col("_wl_q"), F.lit(1))
                         .when(F.col(_OFF + "n") >= F.col("_wl_q"), F.lit(0))
                         .otherwise(F.lit(None).cast("int")))
            .select(*group_cols, _B, _OFF + "n", "_wl_q", "_wl_dec"))
-    j = b.join(F.broadcast(dec), [*group_cols, _B])
+    j = _join_ns(b, dec, [*group_cols, _B])
     sure = j.where(F.col("_wl_dec").isNotNull()).withColumn(flag_col, F.col("_wl_dec"))
     w = Window.partitionBy(*group_cols, _B).orderBy(*order_cols)
     edge = (j.where(F.col("_wl_dec").isNull())
@@ -99,7 +111,7 @@ def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str,
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=_B, handleInvalid="keep").transform(
         df.withColumn(tmp, F.col(order_col).cast("double")))
     offs = _offsets(b, group_cols, {v: F.sum(v) for v in values})
-    j = b.join(F.broadcast(offs), [*group_cols, _B])
+    j = _join_ns(b, offs, [*group_cols, _B])
     w = (Window.partitionBy(*group_cols, _B).orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, -1))
     for v in values:
