@@ -204,7 +204,8 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 
 def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str],
-                       out: str = "features", drop_first: bool = True):
+                       out: str = "features", drop_first: bool = True,
+                       max_levels: int = 1000):
     """Fitted-in-pipeline encoder producing one sparse vector per row: numeric
     columns followed by one-hot blocks (levels in ascending order).
 
@@ -217,9 +218,18 @@ def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     base = {}
-    if drop_first and cat_cols:
-        row = train.agg(*[F.min(_q(c).cast("string")).alias(c) for c in cat_cols]).first()
-        base = {c: row[c] for c in cat_cols}
+    if cat_cols:
+        # one pass: baseline (smallest level) and an approximate level count,
+        # so an id-like column is rejected before its levels reach the driver
+        row = train.agg(*[F.min(_q(c).cast("string")).alias(f"min__{c}") for c in cat_cols],
+                        *[F.approx_count_distinct(_q(c)).alias(f"k__{c}") for c in cat_cols]
+                        ).first()
+        too_big = [c for c in cat_cols if row[f"k__{c}"] > max_levels]
+        if too_big:
+            raise ValueError(f"columns with more than about {max_levels} levels: {too_big}; "
+                             f"bucket rare levels first")
+        if drop_first:
+            base = {c: row[f"min__{c}"] for c in cat_cols}
 
     def pre(df: DataFrame) -> DataFrame:
         if not base:
