@@ -843,7 +843,8 @@ def _raw(spark, sf):
 
 def _linear_phi(spark, sf):
     from wardline.operators import explain
-    raw, cols = _raw(spark, sf)
+    from wardline.plans.pipeline import raw_features
+    raw, cols = raw_features(spark, sf, SEED, as_table=False)    # two passes, no table
     coefs = explain.linear_coefficients(raw.where(F.col("is_test") == 0), cols)
     return explain.shapley_linear(raw.where(F.col("is_test") == 1), coefs, "encounter_id")
 

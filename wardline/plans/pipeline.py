@@ -91,9 +91,12 @@ def prepare(spark: SparkSession, sf_dir: str, seed: int = 42, test_size: float =
     return Prepared(tr, te, names, cats + nums)
 
 
-def raw_features(spark: SparkSession, sf_dir: str, seed: int = 42) -> tuple[DataFrame, list[str]]:
+def raw_features(spark: SparkSession, sf_dir: str, seed: int = 42,
+                 as_table: bool = True) -> tuple[DataFrame, list[str]]:
     """Cleaned, coded encounter rows before one-hot (for attribution over the
-    original columns): encounter_id, label, is_test, numeric + categorical."""
+    original columns): encounter_id, label, is_test and numeric columns.
+    ``as_table`` writes them once as a table for callers that read them many
+    times (model fits, scoring loops)."""
     enc = S.encounters(spark, sf_dir)
     lk = lookup.parse_stacked_lookup(S.lookup_lines(spark, sf_dir))
     e = clean_encounters(enc, lk)
@@ -102,4 +105,4 @@ def raw_features(spark: SparkSession, sf_dir: str, seed: int = 42) -> tuple[Data
             "number_diagnoses", "change"]
     out = e.select("encounter_id", "label", "is_test",
                    *[F.col(c).cast("double").alias(c) for c in cols])
-    return materialize(out, "raw-features"), cols
+    return (materialize(out, "raw-features") if as_table else out), cols
