@@ -97,3 +97,23 @@ def test_vocabulary_cap(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("x"))
     with pytest.raises(ValueError):
         encode.vocabulary_levels(encode.fit_vocabulary(df, ["x"]), max_levels=10)
+
+
+def test_hot_key_rows_spread_over_tasks(spark):
+    """A key holding a third of the rows lands in many join tasks, not one."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force a shuffle join
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        big = spark.range(30000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(0))
+                                        .otherwise(F.col("id")).alias("k"))
+        right = spark.range(30000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+        hot = spark.createDataFrame([(0,)], "k long")
+        out = hot_key_join(big, right, "k", hot, "left", 32)
+        parts = (out.where(F.col("k") == 0).groupBy(F.spark_partition_id().alias("pid"))
+                    .count().collect())
+        assert len(parts) >= 8
+        assert max(r["count"] for r in parts) < 10000 / 4
+        assert out.count() == 30000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
