@@ -35,7 +35,8 @@ def test_hot_key_join_equals_plain_join(spark):
     big = spark.createDataFrame([(i, i % 3 if i % 2 else 0) for i in range(500)], "id long, k long")
     right = spark.createDataFrame([(0, "zero"), (1, "one")], "k long, v string")
     hot = spark.createDataFrame([(0,)], "k long")
-    a = sorted(tuple(r) for r in hot_key_join(big, right, "k", hot, "left", 16).collect())
+    a = sorted(tuple(r) for r in hot_key_join(big, right, "k", hot, "left", 16,
+                                              broadcast_max_rows=None).collect())
     b = sorted(tuple(r) for r in big.join(right, "k", "left").collect())
     assert a == b
 
@@ -108,7 +109,7 @@ def test_hot_key_rows_spread_over_tasks(spark):
                                         .otherwise(F.col("id")).alias("k"))
         right = spark.range(30000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
         hot = spark.createDataFrame([(0,)], "k long")
-        out = hot_key_join(big, right, "k", hot, "left", 32)
+        out = hot_key_join(big, right, "k", hot, "left", 32, broadcast_max_rows=None)
         parts = (out.where(F.col("k") == 0).groupBy(F.spark_partition_id().alias("pid"))
                     .count().collect())
         assert len(parts) >= 8

@@ -55,6 +55,13 @@ def split(spark: SparkSession, sf: str) -> DataFrame:
     return sample.split_stratified(base(spark, sf), "label", "encounter_id", 0.3, SEED)
 
 
+def train_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The training split written once as a table, for operators that read
+    their input several times (class counts, ranks, both classes)."""
+    train, _ = sample.train_test(split(spark, sf))
+    return materialize(train, "train")
+
+
 def lookups(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.parse_stacked_lookup(S.lookup_lines(spark, sf))
 
@@ -435,14 +442,14 @@ UNION ALL SELECT m.encounter_id, m.label FROM draws d JOIN mino m USING (rn){ext
 
 @register("oversample_exact", _OVERSAMPLE_SQL.format(n_draws="n_maj", extra=""))
 def q_oversample_exact(spark, sf):
-    train, _ = sample.train_test(split(spark, sf))
+    train = train_table(spark, sf)
     return sample.oversample(train.select("encounter_id", "label"), "label", "encounter_id", SEED)
 
 
 @register("oversample_in_fold", _OVERSAMPLE_SQL.format(
     n_draws="n_maj - n_min", extra="\nUNION ALL SELECT encounter_id, label FROM train WHERE label = 1"))
 def q_oversample_in_fold(spark, sf):
-    train, _ = sample.train_test(split(spark, sf))
+    train = train_table(spark, sf)
     return sample.oversample(train.select("encounter_id", "label"), "label", "encounter_id", SEED,
                              keep_original=True)
 
@@ -452,7 +459,7 @@ r AS (SELECT encounter_id, label, row_number() OVER (PARTITION BY label
         ORDER BY md5(concat_ws(':', '42', CAST(encounter_id AS VARCHAR))), encounter_id) AS rn FROM train)
 SELECT encounter_id, label FROM r WHERE rn <= (SELECT count(*) FROM train WHERE label = 1)""")
 def q_undersample(spark, sf):
-    train, _ = sample.train_test(split(spark, sf))
+    train = train_table(spark, sf)
     return sample.undersample(train.select("encounter_id", "label"), "label", "encounter_id", SEED)
 
 
