@@ -55,6 +55,12 @@ def split(spark: SparkSession, sf: str) -> DataFrame:
     return sample.split_stratified(base(spark, sf), "label", "encounter_id", 0.3, SEED)
 
 
+def split_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The split written once as a table, for queries that fit on train and
+    then apply to all rows (several reads)."""
+    return materialize(split(spark, sf), "split")
+
+
 def train_table(spark: SparkSession, sf: str) -> DataFrame:
     """The training split written once as a table, for operators that read
     their input several times (class counts, ranks, both classes)."""
@@ -321,7 +327,7 @@ def q_rare_bucket_count(spark, sf):
 # ------------------------------------------------------------------ 3. matrix
 
 def _onehot(spark, sf, drop_first: bool) -> DataFrame:
-    sp = clean.replace_sentinel(split(spark, sf), "?", "Unknown", ["race"])
+    sp = clean.replace_sentinel(split_table(spark, sf), "?", "Unknown", ["race"])
     train = sp.where(F.col("is_test") == 0)
     levels = encode.vocabulary_levels(encode.fit_vocabulary(train, ["race", "gender", "age"]))
     wide = encode.one_hot(sp.select("encounter_id", "race", "gender", "age"), levels,
@@ -358,7 +364,7 @@ FROM split s, m""")
 def q_onehot_inverse(spark, sf):
     """Keep-all one-hot with a train vocabulary that lacks the '?' level, then
     inverse: known levels come back, all-zero rows get the training mode."""
-    sp = split(spark, sf)
+    sp = split_table(spark, sf)
     train = sp.where((F.col("is_test") == 0) & (F.col("medical_specialty") != "?"))
     levels = encode.vocabulary_levels(encode.fit_vocabulary(train, ["medical_specialty"]))
     mode = report.mode_level(sp.where(F.col("is_test") == 0), "medical_specialty").first()["mode"]
@@ -394,7 +400,7 @@ FROM split WHERE is_test = 1""")
 def q_align_to_train(spark, sf):
     """Test rows one-hot encoded with their own vocabulary, then aligned to the
     training columns (missing -> 0, extra dropped)."""
-    sp = clean.replace_sentinel(split(spark, sf), "?", "Unknown", ["medical_specialty"])
+    sp = clean.replace_sentinel(split_table(spark, sf), "?", "Unknown", ["medical_specialty"])
     train, test = sample.train_test(sp)
     tr_levels = encode.vocabulary_levels(encode.fit_vocabulary(train, ["medical_specialty"]))
     te_levels = encode.vocabulary_levels(encode.fit_vocabulary(test, ["medical_specialty"]))
