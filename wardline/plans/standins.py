@@ -8,7 +8,7 @@ and the DuckDB oracle runs the same text over its views.
 
 Mapping: encounters <- orders (encounter = order, patient = customer,
 outcome from order status, dose flag from order priority); code lookups <-
-region and nation; scores <- events; vectors <- embeddings.
+region, nation and customer; scores <- events; vectors <- embeddings.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ SELECT
   CASE WHEN o_orderkey % 33 = 0 THEN '[75-100)' ELSE '?' END AS weight,
   CAST(o_orderkey % 6 AS INT) AS admission_type_id,
   CAST(floor(sqrt(o_orderkey % 900)) + 1 AS INT) AS discharge_disposition_id,
-  CAST(o_custkey % 27 AS INT) AS admission_source_id,
+  o_custkey AS admission_source_id,
   CAST(o_orderkey % 14 + 1 AS INT) AS time_in_hospital,
   CASE o_orderkey % 13 WHEN 0 THEN '?' WHEN 1 THEN 'Cardiology' WHEN 2 THEN 'Surgery-General'
        WHEN 3 THEN 'Family/GeneralPractice' WHEN 4 THEN 'Emergency/Trauma'
@@ -70,7 +70,9 @@ FROM {{orders}}
 """
 
 # Raw lines of a stacked lookup file: three sections, each opened by a header
-# line; code 1 maps to a different description in each section.
+# line; code 1 maps to a different description in each section.  The third
+# section (one code per customer, quoted descriptions holding a comma) grows
+# with the data.
 LOOKUP_LINES = """
 SELECT CAST(0 AS BIGINT) AS pos, 'admission_type_id,description' AS line
 UNION ALL SELECT CAST(1 + r_regionkey AS BIGINT), concat(CAST(r_regionkey AS STRING), ',', r_name)
@@ -81,9 +83,9 @@ UNION ALL SELECT CAST(12 + n_nationkey AS BIGINT),
   concat(CAST(n_nationkey + 1 AS STRING), ',', n_name) FROM {nation}
 UNION ALL SELECT CAST(100 AS BIGINT), ','
 UNION ALL SELECT CAST(101 AS BIGINT), 'admission_source_id,description'
-UNION ALL SELECT CAST(102 + n_nationkey AS BIGINT),
-  concat(CAST(n_nationkey AS STRING), ',"', n_name, ', region ', CAST(n_regionkey AS STRING), '"')
-  FROM {nation}
+UNION ALL SELECT CAST(102 + c_custkey AS BIGINT),
+  concat(CAST(c_custkey AS STRING), ',"', c_name, ', ', c_mktsegment, '"')
+  FROM {customer}
 """
 
 # Score frame: key, label 0/1, two models' probabilities, a subgroup.
