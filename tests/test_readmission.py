@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from wardline.operators import models, sample, tune
 from wardline.plans import catalog
-from wardline.plans.pipeline import prepare
+from wardline.plans.readmission import prepare
 
 
 def test_prepare_is_a_partition_and_vectors_match_names(spark):

@@ -756,7 +756,7 @@ def q_first_n(spark, sf):
 # ------------------------------------------------------------------ 8. models
 
 def _prepared(spark, sf):
-    from wardline.plans.pipeline import prepare
+    from wardline.plans.readmission import prepare
     return prepare(spark, sf, SEED)
 
 
@@ -850,13 +850,13 @@ phi AS (SELECT encounter_id, """ + ", ".join(
 
 
 def _raw(spark, sf):
-    from wardline.plans.pipeline import raw_features
+    from wardline.plans.readmission import raw_features
     return raw_features(spark, sf, SEED)
 
 
 def _linear_phi(spark, sf):
     from wardline.operators import explain
-    from wardline.plans.pipeline import raw_features
+    from wardline.plans.readmission import raw_features
     raw, cols = raw_features(spark, sf, SEED, as_table=False)    # two passes, no table
     coefs = explain.linear_coefficients(raw.where(F.col("is_test") == 0), cols)
     return explain.shapley_linear(raw.where(F.col("is_test") == 1), coefs, "encounter_id")
@@ -1032,8 +1032,8 @@ def q_smote_rows(spark, sf):
 
 # ------------------------------------------------------------------ 11. end to end
 
-@register("pipeline_end_to_end")
-def q_pipeline_end_to_end(spark, sf):
+@register("readmission_end_to_end")
+def q_readmission_end_to_end(spark, sf):
     """Leak-free run: prepare (fit on train only) -> 3 stratified folds of the
     train split -> seeded search over 3 logistic configurations with
     oversampling inside each training fold (F1) -> best configuration ->
