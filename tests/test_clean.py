@@ -51,3 +51,16 @@ def test_shape_report(spark):
     df = spark.range(7).withColumn("x", F.lit(1))
     r = clean.shape_report(df, "t").first()
     assert (r["n_rows"], r["n_cols"]) == (7, 2)
+
+
+def test_columns_by_type_and_suffix(spark):
+    df = spark.createDataFrame([(1, 2, "a", 1.5, "x")],
+                               "id long, n int, s string, d double, diag_1_cat string")
+    assert clean.columns_by_type(df, "string") == ["s", "diag_1_cat"]
+    assert clean.columns_by_type(df, "integer") == ["id", "n"]
+    assert clean.columns_by_type(df, "numeric") == ["id", "n", "d"]
+    assert clean.split_by_suffix(df, "_cat") == (["diag_1_cat"], ["id", "n", "s", "d"])
+    cat = clean.as_category(df, ["id"])
+    assert cat.schema["id"].dataType.simpleString() == "string"
+    assert [r["type"] for r in clean.schema_table(df).orderBy("position").collect()] == \
+        ["bigint", "int", "string", "double", "string"]
