@@ -63,11 +63,13 @@ def per_text(df: DataFrame, fn: Callable[[str], tuple], schema: str,
         for b in batches:
             rows = [f(t) for t in b["text"]]
             out = dict(zip(names[1:], zip(*rows))) if rows else {n: [] for n in names[1:]}
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"),
+            yield pd.DataFrame({"doc_id": b["doc_id"],
                                 **{k: pd.Series(v, dtype=object, index=b.index) for k, v in out.items()}},
                                columns=names)
 
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id long, {schema}")
+    # the id travels as text: pandas would make a nullable long a float
+    return (df.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, f"doc_id string, {schema}")
+            .withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def _split(schema: str) -> list[str]:

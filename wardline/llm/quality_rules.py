@@ -84,7 +84,9 @@ def plan(docs: DataFrame, rules=None, sample_rows: int = 400) -> list[str]:
     """Rule names by rejections per second on at most ``sample_rows`` documents
     (those with the smallest hash of the id; only the order comes from them)."""
     rules = rules or [*BASE, *RULES]
-    texts = [r["text"] for r in documents(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
+    d = documents(docs)
+    ids = d.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    texts = [r["text"] for r in d.join(F.broadcast(ids), "doc_id").limit(sample_rows).select("text").collect()]
     rate = {}
     for name, rejects in rules:
         began, hit = time.perf_counter(), 0
