@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, near_dup, pieces, pii, quality_model, quality_rules, secrets, toxicity
+from wardline.llm import chat, decontaminate, near_dup, pieces, pii, quality_model, quality_rules, secrets, toxicity
 from wardline.llm.common import read
 from wardline.llm.sql import ORACLE  # noqa: F401  (the SQL of the queries that have one)
 
@@ -40,6 +40,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@register
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+            .select("doc_id", "item_id", "start", "length", "similarity"))
+
+
 @register
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(read(spark, sf_dir, "documents"))

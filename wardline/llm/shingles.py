@@ -60,10 +60,10 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         if hi - lo >= width:
             out.append(np.unique(g[lo:hi - width + 1]))
         elif hi > lo:
-            s = U(hi - lo)
+            s = np.array([hi - lo], np.uint64)
             for k in range(lo, hi):
-                s = mix(np.array([s * mult[k - lo] + h[k]], np.uint64))[0]
-            out.append(np.array([s], np.uint64))
+                s = mix(s * mult[k - lo] + h[k:k + 1])
+            out.append(s)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
