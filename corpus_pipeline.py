@@ -1,21 +1,61 @@
-"""Corpus pipeline: stages of the training-data operators over ``documents``."""
+"""Corpus pipeline: five stages of the training-data operators over ``documents``.
+
+A stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``.  Each decides on everything its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.llm import decontaminate, near_dup, pieces, pii, quality_model
+from wardline.llm.common import materialize, read
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_model.reject(docs, quality_model.quality(docs, read(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays;
+    rows that repeat an id share its fate, rows without an id stay."""
+    gone = (near_dup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept"))
+            .select(F.col("doc_id").alias("_i")).distinct())
+    return docs.join(gone, docs["doc_id"] == F.col("_i"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.remove(docs, read(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; n_chars is the length of the new text."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text and whether they decode to it."""
+    return pieces.encode(docs)
 
-from wardline.llm.common import materialize
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("token_ids", token_ids),
+]
 
-#: Models and sketches: the stages can't be written in SQL.
+#: Models, sketches and the tokenizer can't be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    """All stages over ``documents``, each written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -122,55 +122,69 @@ def order_calls(made: DataFrame) -> DataFrame:
     """``made`` with (after_turn, depth) and the order's own faults.
 
     A call keeps its own turn unless it refers to a call that comes no earlier;
-    then it moves to that call's turn, one step deeper.  Only such late calls
-    are moved, round by round until none moves.  A call on a cycle would go on
-    for ever: after as many rounds as there are late references it is given the
+    then it moves to that call's turn, one step deeper.  Only calls that late
+    references reach can move; they are placed in topological order, a round
+    for each step of the longest chain among them.  When a round places none,
+    the rest are on a cycle or behind one: they keep their turn and get the
     fault "cycle".  An unknown reference is the fault "unknown call"."""
-    refs = made.where(F.size("refs") > 0).select("conv_id", "id", F.explode("refs").alias("ref")).where("id IS NOT NULL").distinct()
+    same = lambda c, i: F.col("conv_id").eqNullSafe(F.col(c)) & (F.col("id") == F.col(i))
+    refs = made.where((F.size("refs") > 0) & F.col("id").isNotNull()).select("conv_id", "id", F.explode("refs").alias("ref")).distinct()
     known = _first(made)
-    edges = (refs.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("ref") == F.col("i")), "left")
-             .select("conv_id", "id", "ref", F.col("place").alias("ref_place")))
-    edges = edges.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i"))).select(
-        "conv_id", "id", "ref", "ref_place", "place")
+    targets = known.select(F.col("c").alias("rc"), F.col("i").alias("ri"), F.col("place").alias("ref_place"))
+    edges = (refs.join(targets, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("ref") == F.col("ri")), "left")
+             .join(known, same("c", "i")).select("conv_id", "id", "ref", "ref_place", "place"))
     edges = materialize(edges, "call-edges")
     lost = edges.where("ref_place IS NULL").select(F.col("conv_id").alias("lc"), F.col("id").alias("li")).distinct()
-
-    place = known.select("c", "i", F.col("place.turn").alias("after_turn"), F.lit(0).alias("depth"),
-                         F.col("place.item").alias("own"))
-    good = edges.where("ref_place IS NOT NULL").select("conv_id", "id", "ref")
-    late = edges.where("ref_place >= place").count()
-    moved_at_all = None
-    rounds = 0
-    while late and rounds <= late:
-        have = place.select(F.col("c").alias("c2"), F.col("i").alias("i2"), F.struct("after_turn", "depth", "own").alias("at"))
-        need = (good.join(have, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("ref") == F.col("i2")))
-                .groupBy(F.col("conv_id").alias("nc"), F.col("id").alias("ni")).agg(F.max("at").alias("at")))
-        nxt = place.join(need, F.col("c").eqNullSafe(F.col("nc")) & (F.col("i") == F.col("ni")), "left")
-        behind = F.coalesce(F.col("at") >= F.struct("after_turn", "depth", "own"), F.lit(False))
-        nxt = materialize(nxt.select("c", "i", F.when(behind, F.col("at.after_turn")).otherwise(F.col("after_turn")).alias("after_turn"),
-                                     F.when(behind, F.col("at.depth") + 1).otherwise(F.col("depth")).alias("depth"),
-                                     "own", behind.alias("moved")), "call-places")
-        moved_at_all = nxt.where("moved")
-        place = nxt.drop("moved")
-        if not moved_at_all.limit(1).count():
-            moved_at_all = None
-            break
-        rounds += 1
-
-    out = made.join(place.drop("own"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left").drop("c", "i")
-    out = out.join(lost, F.col("conv_id").eqNullSafe(F.col("lc")) & (F.col("id") == F.col("li")), "left")
-    fault = F.coalesce("fault", F.when(F.col("li").isNotNull(), F.lit("unknown call")))
-    out = out.withColumn("fault", fault).drop("lc", "li")
-    if moved_at_all is not None:
-        cyc = moved_at_all.select(F.col("c").alias("yc"), F.col("i").alias("yi"))
-        out = out.join(cyc, F.col("conv_id").eqNullSafe(F.col("yc")) & (F.col("id") == F.col("yi")), "left")
+    good = edges.where("ref_place IS NOT NULL")
+
+    # what late references reach, widened until it stays as it is
+    moving = materialize(good.where("ref_place >= place").select("conv_id", "id").distinct(), "moving")
+    size, before = moving.count(), 0
+    while size > before:
+        via = moving.select(F.col("conv_id").alias("mc"), F.col("id").alias("mi"))
+        next_ = good.join(via, F.col("conv_id").eqNullSafe(F.col("mc")) & (F.col("ref") == F.col("mi")), "left_semi")
+        moving = materialize(moving.unionByName(next_.select("conv_id", "id")).distinct(), "moving")
+        size, before = moving.count(), size
+    places = None
+    if size:
+        inside = moving.select(F.col("conv_id").alias("mc"), F.col("id").alias("mi"))
+        work = good.join(inside, same("mc", "mi"), "left_semi")
+        # refs outside have their final place
+        outer = F.struct(F.col("ref_place.turn").alias("t"), F.lit(0).alias("d"), F.col("ref_place.turn").alias("o"), F.col("ref_place.item").alias("k"))
+        target = moving.select(F.col("conv_id").alias("tc"), F.col("id").alias("ti"), F.lit(True).alias("open"))
+        work = (work.join(target, F.col("conv_id").eqNullSafe(F.col("tc")) & (F.col("ref") == F.col("ti")), "left")
+                .select("conv_id", "id", "ref", "place", F.when(F.col("open").isNull(), outer).alias("at")))
+        work = materialize(work, "call-work")
+        while True:
+            own = F.struct(F.col("place.turn").alias("t"), F.lit(0).alias("d"), F.col("place.turn").alias("o"), F.col("place.item").alias("k"))
+            ready = (work.groupBy("conv_id", "id").agg(F.first("place").alias("place"), F.max("at").alias("last"),
+                                                       F.count_if(F.col("at").isNull()).alias("open")).where("open = 0"))
+            moved = F.struct(F.col("last.t").alias("t"), (F.col("last.d") + 1).alias("d"), F.col("place.turn").alias("o"), F.col("place.item").alias("k"))
+            done = materialize(ready.select("conv_id", "id", F.when(F.col("last") < own, own).otherwise(moved).alias("new")), "call-places")
+            if not done.limit(1).count():
+                break
+            places = done if places is None else places.unionByName(done)
+            new = done.select(F.col("conv_id").alias("nc"), F.col("id").alias("ni"), "new")
+            left = work.join(new.select("nc", "ni"), same("nc", "ni"), "left_anti")
+            work = materialize(left.join(new, F.col("conv_id").eqNullSafe(F.col("nc")) & (F.col("ref") == F.col("ni")), "left")
+                               .select("conv_id", "id", "ref", "place", F.coalesce("at", "new").alias("at")), "call-work")
+        stuck = work.select(F.col("conv_id").alias("yc"), F.col("id").alias("yi")).distinct()
+
+    out = made.join(lost, same("lc", "li"), "left")
+    out = out.withColumn("fault", F.coalesce("fault", F.when(F.col("li").isNotNull(), F.lit("unknown call")))).drop("lc", "li")
+    out = out.withColumns({"after_turn": F.col("turn"), "depth": F.lit(0)})
+    if size:
+        out = out.join(stuck, same("yc", "yi"), "left")
         out = out.withColumn("fault", F.coalesce("fault", F.when(F.col("yi").isNotNull(), F.lit("cycle")))).drop("yc", "yi")
+    if places is not None:
+        new = places.select(F.col("conv_id").alias("nc"), F.col("id").alias("ni"), "new")
+        out = (out.join(new, same("nc", "ni"), "left")
+               .withColumn("after_turn", F.coalesce("new.t", "turn")).withColumn("depth", F.coalesce("new.d", F.lit(0)))
+               .drop("nc", "ni", "new"))
     firsts = known.select(F.col("c").alias("fc"), F.col("i").alias("fi"), F.col("place").alias("fp"))
-    out = out.join(firsts, F.col("conv_id").eqNullSafe(F.col("fc")) & (F.col("id") == F.col("fi")), "left")
+    out = out.join(firsts, same("fc", "fi"), "left")
     again = F.col("fp").isNotNull() & (F.col("fp") != F.struct("turn", "item"))
-    return (out.withColumn("fault", F.coalesce("fault", F.when(again, F.lit("repeated id"))))
-            .withColumn("after_turn", F.coalesce("after_turn", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
-            .drop("fc", "fi", "fp"))
+    return out.withColumn("fault", F.coalesce("fault", F.when(again, F.lit("repeated id")))).drop("fc", "fi", "fp")
 
 
 def format_chat(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
