@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space: a word is a maximal run of anything else.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -32,10 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back."""
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    Shuffle files of the write go as soon as it ends, so the steps of an
+    operator don't add up on the executors' disks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, near_dup, pieces, pii, quality_model, quality_rules, secrets, toxicity
+from wardline.llm import chat, decontaminate, near_dup, pieces, pii, quality_model, quality_rules, secrets, substrings, toxicity
 from wardline.llm.common import read
 from wardline.llm.sql import ORACLE  # noqa: F401  (the SQL of the queries that have one)
 
@@ -30,6 +30,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept"))
 
 
+@register
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @register
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(read(spark, sf_dir, "documents"))
