@@ -19,7 +19,11 @@ def seeded_hash(seed: int, *cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def hash_int(h: Column, digits: int = 8) -> Column:
+#: Hex digits of a draw: 60 bits, the most that fit a BIGINT.
+DRAW_DIGITS = 15
+
+
+def hash_int(h: Column, digits: int = DRAW_DIGITS) -> Column:
     """First ``digits`` hex digits of a hash as a non-negative BIGINT."""
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
 

@@ -4,7 +4,6 @@ pipeline, so nothing leaks from test rows) and applied to any frame."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,7 @@ from wardline.functions.codes import (
     dose_ordinal, icd_coarse_from_root, icd_fine_from_root, icd_root, sanitize_name,
 )
 from wardline.operators.joins import hot_key_join
+from wardline.session import materialize
 
 # Share from which a level counts as heavy for join salting: at most
 # 1 / HOT_SHARE levels can reach it, so the hot-key set has a proven bound.
@@ -44,10 +44,10 @@ def level_shares(df: DataFrame, col: str) -> DataFrame:
 
     Partial aggregation combines map-side, so a level holding a third of the
     rows costs no more than any other; the total is a scalar subquery.  The
-    per-level counts are persisted: the salted join and the total read them
+    per-level counts are written once: the salted join and the total read them
     several times, so the input is scanned for them once."""
-    counts = df.where(_q(col).isNotNull()).groupBy(_q(col).alias(col)).agg(
-        F.count(F.lit(1)).cast("long").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = materialize(df.where(_q(col).isNotNull()).groupBy(_q(col).alias(col)).agg(
+        F.count(F.lit(1)).cast("long").alias("n")), "levels")
     total = counts.agg(F.sum("n"))
     return counts.withColumn("share", F.col("n") / total.scalar())
 
@@ -222,6 +222,7 @@ def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str
         # one pass: baseline (smallest level) and an approximate level count,
         # so an id-like column is rejected before its levels reach the driver
         row = train.agg(*[F.min(_q(c).cast("string")).alias(f"min__{c}") for c in cat_cols],
+                        *[F.max(_q(c).cast("string")).alias(f"max__{c}") for c in cat_cols],
                         *[F.approx_count_distinct(_q(c)).alias(f"k__{c}") for c in cat_cols]
                         ).first()
         too_big = [c for c in cat_cols if row[f"k__{c}"] > max_levels]
@@ -231,6 +232,12 @@ def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str
         if drop_first:
             base = {c: row[f"min__{c}"] for c in cat_cols}
 
+        # a column whose levels are all missing, or only the dropped baseline,
+        # has a block of no width
+        empty = {c for c in cat_cols if not row[f"k__{c}"] or (drop_first and row[f"max__{c}"] == row[f"min__{c}"])}
+        cat_cols = [c for c in cat_cols if c not in empty]
+        base = {c: v for c, v in base.items() if c in cat_cols}
+
     def pre(df: DataFrame) -> DataFrame:
         if not base:
             return df.withColumns({c: _q(c).cast("string") for c in cat_cols})
@@ -244,9 +251,9 @@ def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str
                         outputCols=[f"{c}__vec" for c in cat_cols], dropLast=True)
     asm = VectorAssembler(inputCols=num_cols + [f"{c}__vec" for c in cat_cols], outputCol=out,
                           handleInvalid="keep")
-    model = Pipeline(stages=[idx, ohe, asm]).fit(pre(train))
+    model = Pipeline(stages=[idx, ohe, asm] if cat_cols else [asm]).fit(pre(train))
     names = list(num_cols)
-    for c, labels in zip(cat_cols, model.stages[0].labelsArray):
+    for c, labels in zip(cat_cols, model.stages[0].labelsArray if cat_cols else ()):
         # one slot per level in index order (descending levels)
         names += [sanitize_name(f"{c}_{lv}") for lv in labels]
     drop = [f"{c}__idx" for c in cat_cols] + [f"{c}__vec" for c in cat_cols]

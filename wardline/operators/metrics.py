@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.order import prefix_sums
+from wardline.operators.order import _join_ns, prefix_sums
 
 EPS = 1e-15
 
@@ -62,21 +62,22 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p",
             group: list[str] | None = None, n_buckets: int = 256) -> DataFrame:
     """(group..., auc): probability a random positive outscores a random
-    negative, ties counting one half.  NULL when a class is absent.
+    negative, ties counting one half.  NULL when a class is absent.  A row
+    without a score can't be ranked and is left out.
 
     Rows are first reduced to one per distinct score (partial aggregation),
     then each score needs the negatives strictly below it: a bucketed prefix
     sum, exact for any number of distinct scores."""
     g = group or []
-    per = df.groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
+    per = df.where(F.col(score).isNotNull()).groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"),
         F.sum((F.col(label) == 0).cast("long")).alias("neg"))
     pre = prefix_sums(per, g, "_s", ["neg"], n_buckets)
     return (pre.groupBy(*g).agg(
-        F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("_u"),
+        F.sum(F.col("pos").cast("double") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
         .select(*g, F.when((F.col("_p") > 0) & (F.col("_n") > 0),
-                           F.col("_u") / (F.col("_p") * F.col("_n"))).alias("auc")))
+                           F.col("_u") / (F.col("_p").cast("double") * F.col("_n"))).alias("auc")))
 
 
 def log_loss(df: DataFrame, label: str = "label", prob: str = "p",
@@ -96,7 +97,7 @@ def evaluate(df: DataFrame, label: str = "label", prob: str = "p", threshold: fl
     m = classification_metrics(predict_at(df, threshold, prob, "_wl_pred"), label, "_wl_pred", g)
     a = roc_auc(df, label, prob, g)
     if g:
-        return m.join(a, g, "left")
+        return _join_ns(m, a, g, "left", broadcast=False)
     return m.withColumn("auc", a.select("auc").scalar())
 
 
@@ -123,11 +124,10 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], label: str = "label"
         F.sum((F.col(label) == 0).cast("long")).alias("neg"))
     grid_arr = F.array(*[F.struct(F.lit(j).alias("_wl_j"), F.lit(t).alias("threshold"))
                          for j, t in enumerate(ts_desc)])
-    totals = df.groupBy(*g).agg(F.sum((F.col(label) == 1).cast("long")).alias("P"),
-                                F.sum((F.col(label) == 0).cast("long")).alias("N"))
+    totals = cells.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     grid = totals.select(*g, "P", "N", F.inline(grid_arr))
     w = Window.partitionBy(*g).orderBy("_wl_j").rowsBetween(Window.unboundedPreceding, 0)
-    j = grid.join(cells, [*g, "_wl_j"], "left")
+    j = _join_ns(grid, cells, [*g, "_wl_j"], "left", broadcast=False)
     cum = j.select(*g, "threshold", "P", "N",
                    F.sum(F.coalesce(F.col("pos"), F.lit(0))).over(w).cast("long").alias("tp"),
                    F.sum(F.coalesce(F.col("neg"), F.lit(0))).over(w).cast("long").alias("fp"))

@@ -33,7 +33,9 @@ def forest(num_trees: int = 100, max_depth: int = 10, min_leaf: int = 1,
            subset: str = "sqrt", bootstrap: bool = True, seed: int = 42,
            weight_col: str | None = None, features: str = "features",
            label: str = "label") -> RandomForestClassifier:
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=min(max_depth, 30),
+    if max_depth > 30:
+        raise ValueError("Spark's trees are at most 30 deep")
+    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth,
                                 minInstancesPerNode=min_leaf, featureSubsetStrategy=subset,
                                 bootstrap=bootstrap, seed=seed, featuresCol=features,
                                 labelCol=label)
@@ -67,9 +69,19 @@ def mlp(n_features: int, hidden: tuple[int, ...] = (128, 64, 32), max_iter: int
 def fit_balanced(train: DataFrame, estimator, balance: str = "none", label: str = "label",
                  key: str = "key", seed: int = 42):
     """Resample-then-fit: ``balance`` is 'none', 'resample' (random
-    oversampling keeping the original rows) or 'weights' (balanced class
+    oversampling keeping the original rows), 'replace' (the minority replaced
+    by draws), 'smote' (synthetic minority rows) or 'weights' (balanced class
     weights in a ``weight`` column; the estimator must use it)."""
-    if balance == "resample":
+    if balance == "replace":
+        train = materialize(sample.oversample(train, label, key, seed), "train-replaced")
+    elif balance == "smote":
+        from pyspark.ml.functions import array_to_vector
+
+        from wardline.operators.neighbors import smote
+        dense = train.select(key, label, vector_to_array("features").alias("features"))
+        train = materialize(smote(dense, label, key, "features", seed=seed)
+                            .withColumn("features", array_to_vector("features")), "train-smote")
+    elif balance == "resample":
         # the resampled set is written once as a table: iterative fitters
         # then read file-sized partitions instead of re-running the draw joins
         # (or hundreds of tiny shuffle partitions) on every pass

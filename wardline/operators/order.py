@@ -10,11 +10,12 @@ rank only inside each (group, bucket).  The result equals the global rank.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import materialize
+
 _B = "_wl_bucket"
 _OFF = "_wl_offset"
 
@@ -68,8 +69,7 @@ def split_by_quota(df: DataFrame, group_cols: list[str], order_cols: list[str],
     bucket table alone; only the one boundary bucket per group is ranked, so
     the bulk of the data is never shuffled."""
     b = df.withColumn(_B, bucket)
-    offs = (_offsets(b, group_cols, {"_wl_cnt": F.count(F.lit(1))}, keep=True)
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    offs = materialize(_offsets(b, group_cols, {"_wl_cnt": F.count(F.lit(1))}, keep=True), "offsets")
     if callable(quota):
         quota = quota(offs.groupBy(*group_cols).agg(F.sum("_wl_cnt").cast("long").alias("n")))
     dec = (_join_ns(offs.withColumnRenamed(_OFF + "_wl_cnt", _OFF + "n"), quota, group_cols,
@@ -133,8 +133,7 @@ def running_before(df: DataFrame, entity: str, order_col: str, tie_col: str,
     ``n_buckets`` ranges of ``order_col`` (global quantiles) with offsets from
     a small per-(entity, bucket) table; every other entity is a window of
     less than ``hot_share`` of the data."""
-    counts = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_wl_n")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    counts = materialize(df.groupBy(entity).agg(F.count(F.lit(1)).alias("_wl_n")), "entity-counts")
     total = counts.agg(F.sum("_wl_n")).scalar()
     hot = counts.where(F.col("_wl_n") >= total * F.lit(hot_share)).select(
         entity, F.lit(True).alias("_wl_hot"))

@@ -45,9 +45,8 @@ def class_counts_dense(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, n) for every integer class 0..max, zeros included."""
     counts = df.groupBy(F.col(label).cast("long").alias(label)).agg(
         F.count(F.lit(1)).cast("long").alias("n"))
-    hi = counts.agg(F.max(label)).scalar()
-    spark = df.sparkSession
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), hi)).alias(label))
+    hi = counts.agg(F.max(label).alias("hi")).first()["hi"]
+    grid = df.sparkSession.range(0 if hi is None else hi + 1).select(F.col("id").alias(label))
     return (grid.join(counts, label, "left")
                 .select(label, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
@@ -95,8 +94,9 @@ def rate_by_group(df: DataFrame, group: str, label: str = "label") -> DataFrame:
 
 
 def zero_share(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, zero_share): fraction of rows equal to 0, one pass for all columns."""
-    one = df.agg(*[F.avg((_q(c) == 0).cast("double")).alias(c) for c in cols])
+    """(column, zero_share): fraction of all rows equal to 0 (a missing value is
+    not), one pass for all columns."""
+    one = df.agg(*[F.avg(F.coalesce(_q(c) == 0, F.lit(False)).cast("double")).alias(c) for c in cols])
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     return one.select(F.expr(f"stack({len(cols)}, {stack}) as (column, zero_share)"))
 

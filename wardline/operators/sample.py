@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.hashing import hash_bucket, hash_int, seeded_hash
-from wardline.operators.order import rank_within, split_by_quota
+from wardline.operators.order import quantile_bucket, rank_within, split_by_quota
 
 # Hex digits of the hash used as rank buckets: 16^4 = 65,536 buckets per class.
 BUCKET_DIGITS = 4
@@ -22,7 +22,7 @@ _H = "_wl_h"
 
 
 def _fraction(x: float) -> Fraction:
-    f = Fraction(x).limit_denominator(1_000_000)
+    f = Fraction(str(x))  # the decimal that was written, exactly
     if not 0 <= f <= 1:
         raise ValueError("fraction must lie in [0, 1]")
     return f
@@ -57,20 +57,45 @@ def train_test(df: DataFrame, flag: str = "is_test") -> tuple[DataFrame, DataFra
 def folds_stratified(df: DataFrame, k: int, label: str = "label", key: str = "encounter_id",
                      seed: int | None = 42, out: str = "fold") -> DataFrame:
     """Stratified k folds: ``out`` = (rank within class - 1) mod k, ranks in
-    seeded-hash order (``seed=None``: in key order, the unshuffled form)."""
+    seeded-hash order; ``seed=None`` gives the unshuffled form, see
+    :func:`folds_unshuffled`."""
     if k < 2:
         raise ValueError("k must be >= 2")
     if seed is None:
-        # Key order; bucket by a monotone function of the key.
-        b = F.floor(F.col(key).cast("double") / F.lit(1 << 16)).cast("long")
-        ranked = rank_within(df, [label], [key], b, "_wl_rn")
-    else:
-        h = df.withColumn(_H, seeded_hash(seed, key))
-        ranked = rank_within(h, [label], [_H, key], hash_bucket(F.col(_H), BUCKET_DIGITS),
-                             "_wl_rn").drop(_H)
+        return folds_unshuffled(df, k, label, key, out)
+    h = df.withColumn(_H, seeded_hash(seed, key))
+    ranked = rank_within(h, [label], [_H, key], hash_bucket(F.col(_H), BUCKET_DIGITS),
+                         "_wl_rn").drop(_H)
     return ranked.withColumn(out, F.pmod(F.col("_wl_rn") - 1, F.lit(k)).cast("int")).drop("_wl_rn")
 
 
+def folds_unshuffled(df: DataFrame, k: int, label: str = "label", key: str = "encounter_id",
+                     out: str = "fold") -> DataFrame:
+    """Stratified folds without shuffling: in key order each class is cut into
+    k contiguous blocks.  Their sizes come from dealing all rows, sorted by
+    class, to the folds in turn (classes in order of their first key), so fold
+    sizes differ by one row at most."""
+    if dict(df.dtypes)[key] in ("string", "binary"):
+        bucket, ranked_in = F.substring(F.col(key), 1, 2), df
+    else:
+        cuts = F.array(*[F.lit(q) for q in quantile_bucket(df.withColumn("_wl_k", F.col(key).cast("double")), "_wl_k")[1:-1]]
+                       or [F.lit(0.0)])
+        bucket, ranked_in = F.size(F.filter(cuts, lambda q: q <= F.col(key).cast("double"))), df
+    ranked = rank_within(ranked_in, [label], [key], bucket, "_wl_rn")
+    per = df.groupBy(F.col(label).alias("_wl_c")).agg(F.count(F.lit(1)).alias("_wl_n"), F.min(key).alias("_wl_first"))
+    w = Window.orderBy("_wl_first").rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    per = per.withColumn("_wl_o", F.coalesce(F.sum("_wl_n").over(w), F.lit(0)))
+    # rows of the class that folds 0..i get: places o..o+n-1 of the deal whose rest by k is at most i
+    upto = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(
+        F.sequence(F.lit(0), i), F.lit(0).cast("long"),
+        lambda a, j: a + F.floor((F.col("_wl_o") + F.col("_wl_n") - 1 - j + k) / k).cast("long")
+        - F.floor((F.col("_wl_o") - 1 - j + k) / k).cast("long")))
+    per = per.select("_wl_c", upto.alias("_wl_upto"))
+    j = ranked.join(F.broadcast(per), F.col(label).eqNullSafe(F.col("_wl_c")))
+    fold = F.size(F.filter("_wl_upto", lambda x: x < F.col("_wl_rn")))
+    return j.withColumn(out, fold.cast("int")).drop("_wl_rn", "_wl_c", "_wl_upto")
+
+
 def _minority_majority(df: DataFrame, label: str) -> tuple[object, int, object, int]:
     """Class counts (at most a handful of rows) -> (min_label, n_min, maj_label, n_maj)."""
     rows = sorted(class_counts(df, label).collect(), key=lambda r: (r["n"], str(r[label])))

@@ -427,8 +427,15 @@ def q_folds_stratified(spark, sf):
 
 
 @register("folds_unshuffled", "WITH " + BASE + """
-SELECT encounter_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY encounter_id) - 1) % 5
-    AS INTEGER) AS fold FROM base""")
+,
+per AS (SELECT label AS c, count(*) AS n, min(encounter_id) AS f FROM base GROUP BY label),
+deal AS (SELECT c, (pos % 5) AS fold, count(*) AS m
+  FROM (SELECT label AS c, row_number() OVER (ORDER BY f, encounter_id) - 1 AS pos
+        FROM base JOIN per ON per.c = base.label) GROUP BY c, pos % 5),
+upto AS (SELECT c, fold, sum(m) OVER (PARTITION BY c ORDER BY fold) AS last FROM deal),
+r AS (SELECT encounter_id, label, row_number() OVER (PARTITION BY label ORDER BY encounter_id) AS rn FROM base)
+SELECT encounter_id, label, CAST((SELECT count(*) FROM upto WHERE c = label AND last < rn) AS INTEGER) AS fold
+FROM r""")
 def q_folds_unshuffled(spark, sf):
     return sample.folds_stratified(base(spark, sf), 5, "label", "encounter_id", None) \
         .select("encounter_id", "label", "fold")
@@ -439,7 +446,7 @@ mino AS (SELECT encounter_id, label, row_number() OVER (
     ORDER BY md5(concat_ws(':', '42', CAST(encounter_id AS VARCHAR))), encounter_id) AS rn
   FROM train WHERE label = 1),
 n AS (SELECT (SELECT count(*) FROM train WHERE label = 0) AS n_maj, (SELECT count(*) FROM mino) AS n_min),
-draws AS (SELECT i, CAST(('0x' || substr(md5(concat_ws(':', '42', 'draw', CAST(i AS VARCHAR))), 1, 8))
+draws AS (SELECT i, CAST(('0x' || substr(md5(concat_ws(':', '42', 'draw', CAST(i AS VARCHAR))), 1, 15))
                     AS BIGINT) % n_min + 1 AS rn
           FROM (SELECT unnest(range({n_draws})) AS i, n_min FROM n))
 SELECT encounter_id, label FROM train WHERE label = 0
@@ -771,10 +778,11 @@ def _fit_eval(spark, sf, name: str, make, balance: str):
 
 @register("fit_logistic")
 def q_fit_logistic(spark, sf):
-    """Logistic regression on the oversampled train split; test metrics."""
+    """Logistic regression on the oversampled train split (whose size sets the
+    penalty: twice the larger class); test metrics."""
     from wardline.operators import models
     return _fit_eval(spark, sf, "logistic",
-                     lambda p: models.logistic(n_train=p.train.count()), "resample")
+                     lambda p: models.logistic(n_train=2 * sample.class_counts(p.train).agg(F.max("n")).first()[0]), "resample")
 
 
 @register("fit_forest")
@@ -900,21 +908,22 @@ def _lr_scorer(spark, sf):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Accuracy drop per shuffled column, 5 repeats, on a 2,000-row test sample."""
+    """Accuracy drop per shuffled column, 5 repeats, on the whole test split."""
     from wardline.operators import explain
     raw, cols, scorer = _lr_scorer(spark, sf)
-    test = sample.sample_n(raw.where(F.col("is_test") == 1), 2000, "encounter_id", SEED)
+    test = raw.where(F.col("is_test") == 1)
     return r6(explain.permutation_importance(test, cols, scorer, "encounter_id", "label", 5, SEED))
 
 
 @register("shapley_sampled")
-def q_shapley_sampled(spark, sf):
-    """Sampled-permutation Shapley values of the logistic model for 200 test
-    rows against 100 background train rows, 8 orders each; mean |phi|."""
+def q_shapley_sampled(spark, sf, n_explained: int = 5000, n_background: int = 100):
+    """Sampled-permutation Shapley values of the logistic model for a sample of
+    ``n_explained`` test rows against ``n_background`` train rows, 8 orders
+    each; mean |phi|."""
     from wardline.operators import explain
     raw, cols, scorer = _lr_scorer(spark, sf)
-    ex = sample.sample_n(raw.where(F.col("is_test") == 1), 200, "encounter_id", SEED)
-    bg = sample.sample_n(raw.where(F.col("is_test") == 0), 100, "encounter_id", SEED + 1)
+    ex = sample.sample_n(raw.where(F.col("is_test") == 1), n_explained, "encounter_id", SEED)
+    bg = sample.sample_n(raw.where(F.col("is_test") == 0), n_background, "encounter_id", SEED + 1)
     phi = explain.shapley_sampled(ex, bg, cols, scorer, "encounter_id", 8, SEED)
     return r6(report.top_k(report.mean_abs(phi, "feature", "phi"), 15))
 
@@ -924,7 +933,8 @@ def q_kmeans_summary(spark, sf):
     """Background summary: 20 weighted k-means centroids of the train features."""
     from wardline.operators import explain
     p = _prepared(spark, sf)
-    return explain.kmeans_summary(p.train, 20, "features", SEED).select("cluster", "size")
+    out = explain.kmeans_summary(p.train, 20, "features", SEED)
+    return out.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
 # ------------------------------------------------------------------ sources / sinks
@@ -979,7 +989,7 @@ def q_model_save_load(spark, sf):
     fitted = pipe.fit(raw.where(F.col("is_test") == 0))
     base = _scratch(spark)
     save_model(fitted, base + "/model")
-    loaded = load_model(base + "/model", fallback=fitted)
+    loaded = load_model(base + "/model")
     sc = models.score(loaded, raw.where(F.col("is_test") == 1), "encounter_id")
     m = metrics.evaluate(sc, "label", "p").first().asDict()
     write_report(report_frame(spark, m), base + "/report")
@@ -1013,9 +1023,9 @@ n AS (SELECT count(*) FILTER (WHERE label = 0) - count(*) FILTER (WHERE label =
 ranked AS (SELECT key, features, row_number() OVER (
              ORDER BY md5(concat_ws(':', '42', CAST(key AS VARCHAR))), key) AS rn FROM m),
 draws AS (SELECT i,
-    CAST(('0x' || substr(md5(concat_ws(':', '42', 'smote', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) % n_min + 1 AS rn,
-    CAST(CAST(('0x' || substr(md5(concat_ws(':', '42', 'nn', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) % 5 + 1 AS INTEGER) AS rank,
-    CAST(('0x' || substr(md5(concat_ws(':', '42', 'gap', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+    CAST(('0x' || substr(md5(concat_ws(':', '42', 'smote', CAST(i AS VARCHAR))), 1, 15)) AS BIGINT) % n_min + 1 AS rn,
+    CAST(CAST(('0x' || substr(md5(concat_ws(':', '42', 'nn', CAST(i AS VARCHAR))), 1, 15)) AS BIGINT) % 5 + 1 AS INTEGER) AS rank,
+    CAST(('0x' || substr(md5(concat_ws(':', '42', 'gap', CAST(i AS VARCHAR))), 1, 15)) AS BIGINT) / CAST(1152921504606846976 AS DOUBLE) AS u
   FROM (SELECT unnest(range(n_new)) AS i, n_min FROM n)),
 synth AS (SELECT d.i, [round(r.features[j] + d.u * (nb.features[j] - r.features[j]), 6)
                         FOR j IN range(1, len(r.features) + 1)] AS features

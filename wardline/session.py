@@ -44,7 +44,7 @@ def checkpoint_dir(spark: SparkSession, local_default: bool = False) -> str:
     if d:
         spark.sparkContext.setCheckpointDir(d)
         return d
-    if not (local_default and spark.sparkContext.master.startswith("local")):
+    if not (local_default and spark.sparkContext.master.split("[")[0] == "local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     d = tempfile.mkdtemp(prefix="wardline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)

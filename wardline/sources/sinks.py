@@ -31,12 +31,13 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str, fallback=None):
-    """Load a saved PipelineModel; if that fails return ``fallback`` (the
-    in-session model) or raise."""
+    """Load a saved PipelineModel.  Only if nothing is saved at ``path`` is
+    ``fallback`` (the in-session model) returned; a broken model raises."""
     from pyspark.ml import PipelineModel
-    try:
-        return PipelineModel.load(path)
-    except Exception:
-        if fallback is None:
-            raise
-        return fallback
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if fallback is not None and spark is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return fallback
+    return PipelineModel.load(path)
