@@ -18,9 +18,9 @@ def edge(spark):
 
 
 def test_toxicity_learns_folded_words_and_exceptions(spark):
-    rows = [(i, f"plain words number {i} here", 0) for i in range(40)]
-    rows += [(100 + i, f"you vilex person {i}", 1) for i in range(40)]
-    rows += [(200 + i, f"the vilex flower {i}", 0) for i in range(6)]
+    rows = [(i, f"plain words number {i} here", 0) for i in range(200)]
+    rows += [(1100 + i, f"one{i} vilex two{i}", 1) for i in range(40)]
+    rows += [(1200 + i, f"the vilex flower {i}", 0) for i in range(6)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5000, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)

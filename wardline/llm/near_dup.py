@@ -5,15 +5,16 @@
 2. In each band bucket every node is paired with one leader; pairs whose sizes
    and signatures allow the similarity are verified on the full sets.  Leaders
    change from round to round; a round only pairs nodes that are in different
-   groups so far, and rounds go on until one adds no link.
+   groups so far, and rounds go on while they add a twentieth of the links.
 3. Buckets that still hold nodes of different groups (few) are finished pair by
    pair, across groups only, so no link that shares a band is lost.
 4. Groups are the connected components of the verified links, found by least
    labels that hop along their own labels until nothing changes.
 
-Every step is linear in the rows of a bucket except 3, which only sees pairs
-that the signature estimates as similar but that no link connects.  With 25
-bands of 5 rows a pair of similarity 0.85 shares none with probability 4e-7.
+Every step is linear in the rows of a bucket except 3, which only verifies
+pairs that the signature estimates as similar but that no link connects.  With
+42 bands of 6 rows a pair of similarity 0.85 shares none with probability
+2e-9, one of 0.8 with 3e-6.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from wardline.llm.common import documents, materialize
 from wardline.llm.shingles import bands, chunks, mix, shingle_sets, superminhash
 
-SLOTS, ROWS = 128, 5
-#: How far below the threshold a signature's estimate may be: over five standard deviations.
-MARGIN = 18
+SLOTS, ROWS = 256, 6
+#: Percent that a signature's estimate may be below the threshold: over four
+#: standard deviations for large sets, over six for sets of fewer than SLOTS.
+MARGIN = 10
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -43,12 +45,12 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 sig = superminhash(sets, SLOTS)
                 h1 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 h2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                short = (mix(sig) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                short = (mix(sig) >> np.uint64(56)).astype(np.uint8).view(np.int8)
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "n": [len(s) for s in sets], "h1": h1, "h2": h2,
                                     "sig": list(short), "keys": list(bands(sig, ROWS))})
 
     d = documents(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = d.mapInPandas(run, "doc_id string, n long, h1 long, h2 long, sig array<short>, keys array<long>")
+    out = d.mapInPandas(run, "doc_id string, n long, h1 long, h2 long, sig array<tinyint>, keys array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -64,23 +66,30 @@ def set_table(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                                     "shingles": [s.view(np.int64) for s, ok in zip(sets, same) if ok]})
 
     d = documents(docs).join(nodes.select("node", "h1"), F.col("doc_id") == F.col("node")).select("node", "h1", "text")
-    return d.mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return d.dropDuplicates(["node", "text"]).mapInPandas(run, "node long, shingles array<long>")
 
 
 def plausible(n1: Column, n2: Column, sig1: Column, sig2: Column, percent: int) -> Column:
     """Sizes allow the similarity, and the signatures do not rule it out."""
     equal = F.aggregate(F.zip_with(sig1, sig2, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (100 * equal >= (percent - MARGIN) * SLOTS)
+    return sizes(n1, n2, percent) & (100 * equal >= (percent - MARGIN) * SLOTS)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs(a, b, ...)`` whose full sets are similar enough."""
+def sizes(n1: Column, n2: Column, percent: int) -> Column:
+    return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+
+
+def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` with the similarity of the full sets and whether it is
+    enough for a link."""
     sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return both.where(100 * common >= percent * union).select(*pairs.columns)
+    return both.select("a", "b", common.alias("common"), union.alias("union")).select(
+        "a", "b", (F.col("common") / F.col("union")).alias("similarity"),
+        (100 * F.col("common") >= percent * F.col("union")).alias("linked"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -130,7 +139,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 .where(plausible(F.col("na"), F.col("nb"), F.col("siga"), F.col("sigb"), percent)).select("a", "b"))
 
     label = buckets.select("node").distinct().select("node", F.col("node").alias("label"))
-    edges, sets, tried, rounds = None, None, None, 0
+    sets, tried, pivots, rounds, links = None, None, None, 0, 0
     while True:
         here = buckets.join(label, "node") if rounds else buckets.withColumn("label", F.col("node"))
         if rounds:  # only buckets that hold several groups
@@ -155,14 +164,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             if need.limit(1).count():
                 more = _sets(docs, nodes, need.select(F.col("node").alias("a"), F.col("node").alias("b")), width)
                 sets, have = sets.unionByName(more), have.unionByName(need)
-        found = materialize(verify(pairs, sets, percent), "edges")
-        if not found.limit(1).count():
+        scored = materialize(measure(pairs, sets, percent), "edges")
+        if pivots is None:
+            pivots = scored.groupBy("a").agg(F.min(F.struct("b", "similarity")).alias("p"))
+        found = scored.where("linked")
+        n = found.count()
+        rounds, links = rounds + 1, links + n
+        if n:
+            label = components(label, found)
+        if 20 * n < links:
             break
-        edges = found if edges is None else edges.unionByName(found)
-        label = components(label, found)
-        rounds += 1
     if rounds:
-        label = _finish(docs, nodes, buckets, label, tried, sets, have, width, percent)
+        pivots = pivots.select(F.col("a").alias("node"), F.col("p.b").alias("pivot"), F.col("p.similarity").alias("near"))
+        known = (nodes.select("node", "n", "sig", "keys").join(pivots, "node", "left")
+                 .withColumns({"pivot": F.coalesce("pivot", "node"), "near": F.coalesce("near", F.lit(1.0))}))
+        label = _finish(docs, nodes, known, buckets, label, tried, sets, have, width, percent)
     ids = nodes.select("h1", "h2", "node").join(label, "node", "left").select(
         "h1", "h2", F.coalesce("label", "node").alias("component"))
     return (base.join(ids, ["h1", "h2"], "left")
@@ -176,23 +192,28 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> Da
     return materialize(set_table(docs, nodes.join(wanted, "node"), width), "sets")
 
 
-def _finish(docs, nodes, buckets, label, tried, sets, have, width: int, percent: int) -> DataFrame:
+def _finish(docs, nodes, known, buckets, label, tried, sets, have, width: int, percent: int) -> DataFrame:
     """Pairs across groups in buckets that still hold several: each pair once,
-    in the first band that it shares, if sizes and signatures allow it."""
+    in the first band that it shares, if sizes and signatures allow it.
+
+    The distance 1 - similarity is a metric, so two nodes that were measured
+    against one pivot, and whose distances to it differ by more than a link
+    may span, are not linked and need no look."""
     here = buckets.join(label, "node")
     mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    here = here.join(mixed.select("band", "key"), ["band", "key"]).join(nodes.select("node", "n", "sig", "keys"), "node")
+    here = here.join(mixed.select("band", "key"), ["band", "key"]).join(known, "node")
     here = materialize(here, "mixed")
-    x = here.select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "sig", "keys")])
-    y = here.select("band", "key", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "sig", "keys")])
+    x = here.select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "sig", "keys", "pivot", "near")])
+    y = here.select("band", "key", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "sig", "keys", "pivot", "near")])
     first = F.array_position(F.zip_with("x_keys", "y_keys", lambda p, q: p == q), F.lit(True)) - 1
-    pairs = (x.join(y, ["band", "key"]).where((F.col("x_label") < F.col("y_label")) & (F.col("band") == first)
-                                              & plausible(F.col("x_n"), F.col("y_n"), F.col("x_sig"), F.col("y_sig"), percent))
+    apart = (F.col("x_pivot") == F.col("y_pivot")) & (F.abs(F.col("x_near") - F.col("y_near")) > 1 - percent / 100 + 1e-9)
+    pairs = (x.join(y, ["band", "key"]).where((F.col("x_label") < F.col("y_label")) & ~apart & sizes(F.col("x_n"), F.col("y_n"), percent)
+                                              & (F.col("band") == first) & plausible(F.col("x_n"), F.col("y_n"), F.col("x_sig"), F.col("y_sig"), percent))
              .select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")))
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "last-pairs")
     if not pairs.limit(1).count():
         return label
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(have, "node", "left_anti")
     more = _sets(docs, nodes, need.select(F.col("node").alias("a"), F.col("node").alias("b")), width)
-    found = materialize(verify(pairs, sets.unionByName(more), percent), "edges")
+    found = materialize(measure(pairs, sets.unionByName(more), percent).where("linked"), "edges")
     return components(label, found) if found.limit(1).count() else label
