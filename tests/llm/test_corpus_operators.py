@@ -44,13 +44,14 @@ def test_repeated_strings_match_brute_force(spark):
     assert got == cut(rows)
 
 
-def test_hot_anchor_is_compared_across_buckets(spark):
+def test_hot_anchor_is_compared_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 5)
     r = random.Random(1)
     line = "".join(r.choice("abcdefgh ") for _ in range(140))
     rows = [(i, f"{i:05d}" * 12 + line + f"{i * 7:05d}" * 12) for i in range(80)]
     df = frame(spark, rows)
     docs = substrings.numbered(df)
-    made = substrings.pieces(docs, substrings.anchor_rows(docs))
+    made = substrings.pieces(docs, substrings.anchor_rows(docs).selectExpr("*", "true AS hot"))
     tiny = substrings.sort_buckets(made, rows_per_bucket=20)
     assert tiny.where("kind = 1").count()  # anchors at bucket ends
     got = {r[0]: tuple(r)[1:] for r in substrings.remove_repeats(df).collect()}

@@ -11,11 +11,12 @@ them would move each byte a hundred times, so suffixes travel in groups:
    all others are repeats; this needs no text and combines before the shuffle.
 3. Anchors whose runs differ are compared as text.  Their owners' pieces are
    range-partitioned by the bytes that lead from the anchor, with splitters
-   that Spark samples; the place in the corpus breaks ties, so no anchor is too
-   frequent to split.  Each bucket sorts its suffixes by multikey quicksort,
-   eight bytes at a time, and the earliest of equal ones owns the string.
-   Suffixes of the first and last anchor of a bucket may go on in the next one;
-   they are compared across the boundaries by an aggregation on the string.
+   that Spark samples; for an anchor with more than ``HOT`` different runs the
+   place in the corpus breaks ties, so none is too frequent to split.  Each
+   bucket sorts its suffixes by multikey quicksort, eight bytes at a time, and
+   the earliest of equal ones owns the string.  Suffixes of a split anchor that
+   go on over a bucket's end, and own their string in it, are compared across
+   the boundary by an aggregation on the string.
 4. A repeated string marks its bytes; texts are cut where they are joined with
    their marks.
 
@@ -39,6 +40,7 @@ from wardline.llm.shingles import mix
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
 SEGMENT = 1 << 22
+HOT = 1_000
 U = np.uint64
 _M = U(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -169,8 +171,10 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """(doc, print, loc, piece): the bytes of the runs in ``owners``."""
-    per_doc = owners.groupBy(F.col("doc").alias("d"), F.col("print").alias("p")).agg(F.collect_set("loc").alias("locs"))
+    """(doc, print, loc, hot, piece): the bytes of the runs in
+    ``owners(doc, print, loc, hot)``."""
+    per_doc = owners.groupBy(F.col("doc").alias("d"), F.col("print").alias("p")).agg(
+        F.collect_set(F.struct("loc", "hot")).alias("locs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,24 +182,40 @@ def pieces(docs: DataFrame, owners: DataFrame) -> DataFrame:
             for doc, mark, text, locs in zip(b["doc"], b["print"], b["bytes"], b["locs"]):
                 text = bytes(text)
                 for x in locs:
-                    start, n = int(x) >> 14, (int(x) >> 7) & 127
-                    rows.append((doc, mark, x, text[start:start + n + LENGTH - 1]))
-            yield pd.DataFrame(rows, columns=["doc", "print", "loc", "piece"])
+                    start, n = int(x["loc"]) >> 14, (int(x["loc"]) >> 7) & 127
+                    rows.append((doc, mark, x["loc"], x["hot"], text[start:start + n + LENGTH - 1]))
+            yield pd.DataFrame(rows, columns=["doc", "print", "loc", "hot", "piece"])
 
     joined = docs.join(per_doc, (F.col("doc") == F.col("d")) & (F.col("print") == F.col("p"))).select("doc", "print", "bytes", "locs")
     joined = joined.dropDuplicates(["doc", "print"])
-    return joined.mapInPandas(run, "doc long, print long, loc long, piece binary")
+    return joined.mapInPandas(run, "doc long, print long, loc long, hot boolean, piece binary")
 
 
-def _bucket(doc: np.ndarray, mark: np.ndarray, loc: np.ndarray, piece: list[bytes]) -> Iterator[pd.DataFrame]:
-    """Sort one bucket.  Rows of kind 0 are runs of repeated windows, rows of
-    kind 1 the windows of anchors at the bucket's ends, left to compare."""
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bytes that each row of ``x`` has in common with ``y`` from the left."""
+    return np.cumprod(x == y, axis=1).sum(axis=1)
+
+
+def _bucket(doc: np.ndarray, mark: np.ndarray, loc: np.ndarray, hot: np.ndarray, piece: list[bytes]) -> Iterator[pd.DataFrame]:
+    """Sort one bucket.  Rows of kind 0 are runs of repeated windows; rows of
+    kind 1 are windows of split anchors that own their string in this bucket
+    but may have equals in another: what follows the anchor in them is also
+    what follows it in the bucket's first or last row."""
     start, n, off = loc >> 14, (loc >> 7) & 127, loc & 127
     size = np.array([len(x) for x in piece])
     base = np.cumsum(size) - size
     buf = np.concatenate([np.frombuffer(b"".join(piece), np.uint8), np.zeros(LENGTH + 8, np.uint8)])
     order, group = multikey_sort(words(buf, base + off, GRAM))
-    edge = (group == group[0]) | (group == group[-1])
+    edge = ((group == group[0]) | (group == group[-1])) & hot[order]
+    ends = np.full(len(order), -1)  # bytes after the anchor shared with the bucket's ends
+    if edge.any():
+        leads = buf[(base + off)[:, None] + np.arange(LENGTH)]
+        sizes = np.minimum(size - off, LENGTH)
+        leads[np.arange(LENGTH) >= sizes[:, None]] = 0
+        mine = order[edge]
+        by = np.lexsort(leads[mine].T[::-1])
+        for i in (mine[by[0]], mine[by[-1]]):
+            ends[mine] = np.maximum(ends[mine], _shared(leads[mine], leads[i]))
     cuts = np.flatnonzero(np.diff(group)) + 1
     lo = 0
     total = np.cumsum(n[order])
@@ -208,44 +228,43 @@ def _bucket(doc: np.ndarray, mark: np.ndarray, loc: np.ndarray, piece: list[byte
         row = np.repeat(rows, n[rows])
         j = np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
         at_edge = np.repeat(edge[lo:hi], n[rows])
-        wstart = start[row] + j
-        for part, kind in ((~at_edge, 0), (at_edge, 1)):
-            r, w, o = row[part], wstart[part], (base[row] + j)[part]
-            if not len(r):
-                continue
-            if kind:
-                for x in range(0, len(r), 50_000):
-                    y = slice(x, x + 50_000)
-                    yield pd.DataFrame({"kind": 1, "doc": doc[r[y]], "print": mark[r[y]], "wstart": w[y], "wn": 1,
-                                        "win": [bytes(buf[i:i + LENGTH]) for i in o[y]]})
-                continue
-            by, same = multikey_sort(words(buf, o, LENGTH))
-            r, w = r[by], w[by]
-            rank = np.lexsort((w, doc[r], same))
-            again = np.ones(len(r), bool)
-            again[rank[np.concatenate([[True], np.diff(same[rank]) != 0])]] = False
-            r, w = r[again], w[again]
-            if not len(r):
-                continue
-            by = np.lexsort((w, r))
-            r, w = r[by], w[by]
-            cut = np.flatnonzero(np.concatenate([[True], (np.diff(r) != 0) | (np.diff(w) != 1)]))
-            yield pd.DataFrame({"kind": 0, "doc": doc[r[cut]], "print": mark[r[cut]], "wstart": w[cut],
-                                "wn": np.diff(np.concatenate([cut, [len(r)]])), "win": None})
+        w, o = start[row] + j, base[row] + j
+        by, same = multikey_sort(words(buf, o, LENGTH))
+        row, w, o, at_edge = row[by], w[by], o[by], at_edge[by]
+        rank = np.lexsort((w, doc[row], same))
+        own = np.zeros(len(row), bool)
+        own[rank[np.concatenate([[True], np.diff(same[rank]) != 0])]] = True
+        # of a window, the anchor lies off - j bytes in, and the rest follows it
+        after = LENGTH - (off[row] - (w - start[row]))
+        open_ = own & at_edge & (ends[row] >= after)
+        for x in range(0, int(open_.sum()), 50_000):
+            y = np.flatnonzero(open_)[x:x + 50_000]
+            yield pd.DataFrame({"kind": 1, "doc": doc[row[y]], "print": mark[row[y]], "wstart": w[y], "wn": 1,
+                                "win": [bytes(buf[i:i + LENGTH]) for i in o[y]]})
+        again = ~own
+        row, w = row[again], w[again]
+        if len(row):
+            by = np.lexsort((w, row))
+            row, w = row[by], w[by]
+            cut = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(w) != 1)]))
+            yield pd.DataFrame({"kind": 0, "doc": doc[row[cut]], "print": mark[row[cut]], "wstart": w[cut],
+                                "wn": np.diff(np.concatenate([cut, [len(row)]])), "win": None})
         lo = hi
 
 
 def sort_buckets(made: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
     """(kind, doc, print, wstart, wn, win) of all buckets."""
     n = max(made.count() // rows_per_bucket + 1, int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    gram = F.expr(f"substring(piece, CAST((loc & 127) + 1 AS INT), {GRAM})")
     lead = F.expr(f"substring(piece, CAST((loc & 127) + 1 AS INT), {LENGTH})")
-    dealt = made.withColumn("lead", lead).repartitionByRange(n, "lead", "doc", "loc").drop("lead")
+    key = F.struct(gram.alias("gram"), F.when(F.col("hot"), F.struct(lead.alias("lead"), "doc", "loc")).alias("place"))
+    dealt = made.withColumn("key", key).repartitionByRange(n, "key.gram", "key.place").drop("key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
         if got:
             b = pd.concat(got)
-            yield from _bucket(b["doc"].to_numpy(), b["print"].to_numpy(), b["loc"].to_numpy(), [bytes(x) for x in b["piece"]])
+            yield from _bucket(b["doc"].to_numpy(), b["print"].to_numpy(), b["loc"].to_numpy(), b["hot"].to_numpy(bool), [bytes(x) for x in b["piece"]])
 
     return dealt.mapInPandas(run, "kind int, doc long, print long, wstart long, wn int, win binary")
 
@@ -261,8 +280,8 @@ def repeated(docs: DataFrame) -> DataFrame:
               .where((F.col("doc") != F.col("own.doc")) | (F.shiftright("loc", 14) != F.col("own.start")))
               .select("doc", "print", F.shiftright("loc", 14).alias("wstart"), (F.shiftright("loc", 7).bitwiseAND(F.lit(127))).cast("int").alias("wn")))
     others = materialize(others, "repeats")
-    mixed = classes.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select(F.col("a").alias("k"))
-    owners = classes.join(mixed, F.col("a") == F.col("k")).select("own.doc", "own.print", "own.loc")
+    mixed = classes.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select(F.col("a").alias("k"), (F.col("c") > HOT).alias("hot"))
+    owners = classes.join(mixed, F.col("a") == F.col("k")).select("own.doc", "own.print", "own.loc", "hot")
     made = materialize(pieces(docs, owners), "pieces")
     sorted_ = materialize(sort_buckets(made), "buckets")
     ends = sorted_.where("kind = 1").select("doc", "print", "wstart", "win")
