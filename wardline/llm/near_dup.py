@@ -95,9 +95,24 @@ def measure(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least label reachable over ``edges(a, b)``.
 
-    ``nodes`` has (node, label) to start from; labels are node ids."""
-    links = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    now = nodes
+    ``nodes`` has (node, label) to start from; labels are node ids, and nodes
+    with one label are one group already.  So the links are drawn between the
+    labels of their ends, and a group moves as a whole."""
+    at_a = nodes.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    at_b = nodes.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    ends = edges.select("a", "b").join(at_a, "a").join(at_b, "b").where("la <> lb")
+    links = materialize(ends.select(F.explode(F.array(F.struct(F.col("la").alias("a"), F.col("lb").alias("b")),
+                                                      F.struct(F.col("lb").alias("a"), F.col("la").alias("b")))).alias("x"))
+                        .select("x.a", "x.b").distinct(), "links")
+    merged = _least(links).where("label < node").select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return materialize(nodes.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """(node, label) of every end of ``links(a, b)``, which has each link in
+    both directions.  Every node starts with its own id: only then is a label
+    that equals all its neighbours' the label of the whole component."""
+    now = links.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("label"))
     while True:
         seen = now.select(F.col("node").alias("b"), F.col("label").alias("seen"))
         least = links.join(seen, "b").groupBy("a").agg(F.min("seen").alias("seen"))
