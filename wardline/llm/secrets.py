@@ -2,9 +2,11 @@
 
 A value that follows a credential word is segmented at minimum cost into
 dictionary words, dates, repeats, keyboard walks and brute-force spans (a
-dynamic programme over its positions).  The cost is the base-2 logarithm of the
-guesses an attacker needs; a value that costs at least ``min_bits`` is a
-secret, a guessable one ("password: summer2019") is not.
+dynamic programme over its positions).  A brute-force span costs its length
+times the bits of one alphabet that holds all its characters, and the choice of
+that alphabet.  The cost is the base-2 logarithm of the guesses an attacker
+needs; a value that costs at least ``min_bits`` is a secret, a guessable one
+("password: summer2019") is not.
 
 Offsets are code points, end exclusive; null text has no span.
 """
@@ -50,8 +52,23 @@ LONGEST = max(map(len, RANK))
 NEXT = {p for row in ROWS for r in (row, row[::-1]) for p in zip(r, r[1:])}
 
 
+#: Sizes of the character classes: small, capital, digit, ASCII sign, other.
+SIZES = (26, 26, 10, 33, 100)
+SMALL, CAPITAL = 0, 1
+#: Bits of a character of each union of classes, by the mask of its classes.
+UNITED = [math.log2(max(1, sum(n for k, n in enumerate(SIZES) if mask >> k & 1))) for mask in range(1 << len(SIZES))]
+#: Bits to choose one of the 31 unions, or a capital followed by small letters.
+CHOICE = math.log2(len(UNITED))
+#: 40 bits of characters, and the choice of their alphabet.
+MIN_BITS = 40 + CHOICE
+
+
+def _class(c: str) -> int:
+    return 2 if c.isdigit() else 4 if not c.isascii() else 3 if not c.isalpha() else SMALL if c.islower() else CAPITAL
+
+
 def _alphabet(c: str) -> float:
-    return math.log2(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
+    return math.log2(SIZES[_class(c)])
 
 
 @lru_cache(maxsize=50_000)
@@ -71,8 +88,16 @@ def guess_bits(value: str) -> float:
         if low[i].isdigit() and (m := DATE.match(low, i)):
             dates.setdefault(m.end(), []).append(i)
     best = [0.0] * (n + 1)
+    classes = [_class(c) for c in value]
+    present = sum(1 << k for k in set(classes))
+    # the cheapest open brute-force span over each alphabet, and of a capital and small letters
+    spans, title = {mask: math.inf for mask in range(1, present + 1) if mask & present == mask}, math.inf
     for j in range(1, n + 1):
-        cost = best[j - 1] + _alphabet(value[j - 1])
+        k, start = classes[j - 1], best[j - 1] + CHOICE + (j > 1)
+        for mask, cost in spans.items():
+            spans[mask] = min(cost, start) + UNITED[mask] if mask >> k & 1 else math.inf
+        title = (start if k == CAPITAL else title if k == SMALL else math.inf) + UNITED[1 << SMALL]
+        cost = min(title, *spans.values())
         for m in range(3, min(LONGEST, j) + 1):
             if (r := RANK.get(plain[j - m:j])) is not None:
                 part = value[j - m:j]
@@ -122,13 +147,13 @@ def _order(x: tuple[str, int, int]) -> tuple[int, int]:
     return x[1], KINDS.index(x[0])
 
 
-def scan(text: str, min_bits: float = 40.0) -> tuple[list, list]:
+def scan(text: str, min_bits: float = MIN_BITS) -> tuple[list, list]:
     """(base spans, all spans) of one text, in order."""
     base = base_spans(text)
     return base, sorted(base + guessed_spans(text, min_bits, base), key=_order)
 
 
-def secret_spans(docs: DataFrame, min_bits: float = 40.0) -> DataFrame:
+def secret_spans(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, bits>>) for every row;
     bits is the guess cost of a ``guess`` span and null for the others."""
     def one(text: str) -> tuple:
@@ -138,7 +163,7 @@ def secret_spans(docs: DataFrame, min_bits: float = 40.0) -> DataFrame:
     return per_text(documents(docs), one, "spans array<struct<kind:string,start:int,end:int,bits:double>>")
 
 
-def secret_digest(docs: DataFrame, min_bits: float = 40.0) -> DataFrame:
+def secret_digest(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
     """Counts per base kind, the hash of the base spans, and all spans joined."""
     def join(spans) -> str:
         return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
