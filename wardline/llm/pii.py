@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
 DataFrame functions only.  The fixed patterns find e-mail addresses, IP
-addresses, card and phone numbers; these are the seeds.  Every word that looks
-like an identifier (digits in it) is an instance, and the two words before it,
-with its shape, are its lexical pattern.  Patterns and instances score each
-other on their graph for a few rounds: a pattern is as good as the known share
-of its distinct instances, an instance as good as its patterns together.
+addresses, card and phone numbers; these are the seeds.  Every word, or group of
+neighbouring words, that looks like an identifier (digits in it) is an instance,
+and the two words of the text before it are its context.  Contexts and instances
+score each other on their graph for a few rounds: a context is as good as the
+known share of its distinct instances and their number, its shapes count less,
+and an instance is as good as its patterns (context and shape) together.
 Instances of patterns that end with a high score, and that no seed covers, are
 new identifiers of kind ``id``.
 
@@ -32,8 +33,10 @@ KINDS = ("email", "ip", "card", "phone", "id")
 
 #: A number up to 255, whatever its leading zeros.
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A word with a digit in it.
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A word with a digit in it, and those that follow a digit, bracket or capital and one space.
+CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:(?<=[0-9)A-Z])\x20(?=[(+]?\p{L}{0,4}+[0-9])\S++)*+"
+#: Most doublings of its known instances that count for a context, and what a shape adds at most.
+DOUBLINGS, SHAPE = 3.0, 0.5
 BLOCK = 256
 
 
@@ -125,12 +128,19 @@ def shape(token: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """array<struct<start, end, instance, pattern>> of identifier-like words:
-    five letters or digits at least, three of them digits."""
-    word = lambda x: F.regexp_replace(x, r"^[^\p{L}0-9+]+|[^\p{L}0-9]+$", "")
+    """array<struct<start, end, instance, context, shape, part>> of identifier-like
+    words and groups: five letters or digits at least, three of them digits.
+    The first word of a group also comes alone, as a part."""
+    word = lambda x: F.regexp_replace(x, r"^(?:(?!\([0-9]+\))[^\p{L}0-9+])+|[^\p{L}0-9]+$", "")
     digits = lambda x: F.length(F.regexp_replace(x, "[^0-9]", ""))
     marks = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}0-9]", ""))
-    likely = F.filter(matches(text, CANDIDATE), lambda x: (digits(x["match"]) >= 3) & (marks(x["match"]) >= 5))
+    # the text before a candidate begins with the candidate before it
+    whole = lambda ms: F.transform(ms, lambda x, i: x.withField(
+        "before", F.concat(F.coalesce(F.right(F.get(ms, i - 1)["match"], F.lit(80)), F.lit("")), F.right(x["before"], F.lit(80)))))
+    alone = lambda ms: F.transform(F.filter(ms, lambda x: F.contains(x["match"], F.lit(" "))), lambda x: x.withField(
+        "match", F.substring_index(x["match"], " ", 1)).withField("part", F.lit(True)))
+    both = lambda ms: let(F.transform(whole(ms), lambda x: x.withField("part", F.lit(False))), lambda m: F.concat(m, alone(m)))
+    likely = F.filter(let(matches(text, CANDIDATE), both), lambda x: (digits(x["match"]) >= 3) & (marks(x["match"]) >= 5))
 
     def one(x):
         w = word(x["match"])
@@ -138,9 +148,10 @@ def instances(text: Column) -> Column:
         ws = F.split(F.rtrim(F.regexp_replace(F.lower(F.right(x["before"], F.lit(80))), r"\s+", " ")), " ")
         two = F.concat_ws(" ", F.coalesce(F.get(ws, F.size(ws) - 2), F.lit("")), F.get(ws, F.size(ws) - 1))
         return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.length(w)).alias("end"),
-                        F.lower(w).alias("instance"), F.concat_ws("\t", F.regexp_replace(two, "[0-9]+", "9"), shape(w)).alias("pattern"))
+                        F.lower(w).alias("instance"), F.regexp_replace(two, "[0-9]+", "9").alias("context"), shape(w).alias("shape"), x["part"])
 
-    return F.filter(F.transform(likely, one), lambda x: F.trim(F.split(x["pattern"], "\t")[0]) != "")
+    # numbers alone are no context
+    return F.filter(F.transform(likely, one), lambda x: x["context"].rlike("[^ 9]"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -150,34 +161,53 @@ def find(docs: DataFrame) -> DataFrame:
                                instances(F.col("text")).alias("found"))
     known = F.transform("found", lambda x: x.withField(
         "seed", F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
-    return materialize(d.withColumn("found", known), "pii-found")
+    # a part stands for its group only if a base span covers another part of that
+    kept = let(known, lambda all_: F.filter(all_, lambda x: ~x["part"] | (~x["seed"] & F.exists(
+        all_, lambda y: (y["start"] == x["start"]) & ~y["part"] & y["seed"]))))
+    return materialize(d.withColumn("found", kept), "pii-found")
 
 
 def score_patterns(found: DataFrame, rounds: int = 3, min_support: int = 3, accept: float = 0.8) -> DataFrame:
-    """(pattern, confidence) of the patterns that end at ``accept`` or more.
-
-    The graph has one edge per distinct pattern and instance.  Seeds have score
-    1 and keep it.  In each round a pattern's confidence is the sum of its
-    instances' scores over their number plus one, 0 with fewer than
-    ``min_support`` instances that score a half or more; an instance's score is
-    one minus the product of what its accepted patterns leave open."""
-    edges = materialize(found.select(F.explode("found").alias("x")).select("x.pattern", "x.instance", "x.seed")
-                        .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    """(context, shape, confidence) of the patterns that end at ``accept`` or more.
+
+    The graph has one edge per distinct context and instance.  Seeds have score
+    1 and keep it.  The share of a context is the sum of its instances' scores
+    over their number plus one; it is 0 with fewer than ``min_support``
+    instances that score a half or more.  Its confidence is
+    1 - (1 - share) ** d, d the doublings of those instances, at most DOUBLINGS;
+    the share of a shape over all contexts closes SHAPE of what is left open at
+    most.  A context and shape whose own share reaches ``accept`` need no more.
+    An instance's score is one minus the product of what its accepted patterns
+    leave open."""
+    edges = materialize(found.select(F.explode("found").alias("x")).select("x.context", "x.shape", "x.instance", "x.seed")
+                        .groupBy("context", "shape", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    scored = edges.select("pattern", "instance").join(seeds, "instance")
+    scored = edges.select("context", "shape", "instance").join(seeds, "instance")
+    share = F.col("known") / (F.col("n") + 1)
     for r in range(rounds):
         strong = F.sum((F.col("score") >= 0.5).cast("int"))
-        patterns = materialize(
-            scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), strong.alias("support"))
-            .where((F.col("support") >= min_support) & (F.col("confidence") >= accept)).select("pattern", "confidence"),
-            f"pii-patterns-{r}")
+        pairs = materialize(scored.groupBy("context", "shape").agg(F.sum("score").alias("known"), F.count("*").alias("n"), strong.alias("support")),
+                            f"pii-pairs-{r}")
+        shapes = (scored.select("instance", "shape", "score").distinct().groupBy("shape")
+                  .agg((F.sum("score") / (F.count("*") + 1)).alias("of_shape")))
+        own = pairs.where((F.col("support") >= min_support) & (share >= accept)).select("context", "shape", share.alias("confidence"))
+        doublings = F.least(F.log2(F.col("support") + 1), F.lit(DOUBLINGS))
+        # a context that even a fully known shape would not lift to accept is left out early
+        contexts = (pairs.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("known", "n", "support")])
+                    .where(F.col("support") >= min_support).select("context", (1 - F.pow(1 - share, doublings)).alias("of_context"))
+                    .where(F.col("of_context") + (1 - F.col("of_context")) * SHAPE >= accept))
+        wide = (pairs.select("context", "shape").join(contexts, "context").join(shapes, "shape")
+                .select("context", "shape", (F.col("of_context") + (1 - F.col("of_context")) * SHAPE * F.col("of_shape")).alias("confidence"))
+                .where(F.col("confidence") >= accept))
+        patterns = materialize(own.unionByName(wide).groupBy("context", "shape").agg(F.max("confidence").alias("confidence")),
+                               f"pii-patterns-{r}")
         if r == rounds - 1:
             return patterns
         left_open = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-        reached = edges.join(patterns, "pattern").groupBy("instance").agg((1 - left_open).alias("reached"))
+        reached = edges.join(patterns, ["context", "shape"]).groupBy("instance").agg((1 - left_open).alias("reached"))
         scores = (seeds.join(reached, "instance", "left")
                   .select("instance", F.greatest("score", F.coalesce("reached", F.lit(0.0))).alias("score")))
-        scored = edges.select("pattern", "instance").join(scores, "instance")
+        scored = edges.select("context", "shape", "instance").join(scores, "instance")
     raise ValueError("rounds must be 1 or more")
 
 
@@ -185,8 +215,8 @@ def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, new): spans of kind ``id`` that accepted patterns
     find and no seed covers, one row per document that has any."""
     loose = (found.select("doc_id", "fingerprint", F.explode(F.filter("found", lambda x: ~x["seed"])).alias("x"))
-             .select("doc_id", "fingerprint", "x.start", "x.end", "x.pattern"))
-    return (loose.join(patterns, "pattern")
+             .select("doc_id", "fingerprint", "x.start", "x.end", "x.context", "x.shape"))
+    return (loose.join(patterns, ["context", "shape"])
             .groupBy("doc_id", "fingerprint")
             .agg(F.collect_set(F.struct("start", F.lit(4).alias("kind_no"), "end", F.lit("id").alias("kind"))).alias("new")))
 
