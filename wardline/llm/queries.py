@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, near_dup, pieces, pii, quality_model, quality_rules, secrets, substrings, toxicity
+from wardline.llm import chat, decontaminate, lexical, near_dup, pieces, pii, quality_model, quality_rules, secrets, substrings, toxicity
 from wardline.llm.common import read
 from wardline.llm.sql import ORACLE  # noqa: F401  (the SQL of the queries that have one)
 
@@ -101,3 +101,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality_model.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
             .select("doc_id", "p", "site", "score", "kept"))
+
+
+@register
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=10)

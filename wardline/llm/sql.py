@@ -34,3 +34,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_upper <= 5 * n_words AS kept
 FROM m
 """
+
+_T = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE["op13_lexical_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_T} AS terms FROM documents WHERE text IS NOT NULL),
+size AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+tot AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM size),
+asked AS (SELECT DISTINCT item_id, unnest({_T}) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) 
+       WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY term, nd),
+m AS (SELECT r, doc_id, 10 + (90 * n * nd) // nl AS m FROM size, tot),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
