@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, lexical, near_dup, pieces, pii, quality_model, quality_rules, secrets, substrings, toxicity, variants
+from wardline.llm import chat, decontaminate, lexical, near_dup, passages, pieces, pii, quality_model, quality_rules, secrets, substrings, toxicity, variants
 from wardline.llm.common import read
 from wardline.llm.sql import ORACLE  # noqa: F401  (the SQL of the queries that have one)
 
@@ -103,6 +103,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "p", "site", "score", "kept"))
 
 
+@register
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(read(spark, sf_dir, "documents"))
+
+
 @register
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(read(spark, sf_dir, "documents"))
