@@ -23,7 +23,7 @@ def test_partition_invariance(spark, frame, op):
         if op == "oversample":
             return sample.oversample(df.select("encounter_id", "label"), seed=9)
         if op == "auc":
-            return metrics.roc_auc(df, n_buckets=8)
+            return metrics.roc_auc(df, partitions=8)
         return encode.frequency_encode(df, "patient", "f").select("encounter_id", "f")
     results = []
     for parts in (1, 4, 200):

@@ -22,7 +22,7 @@ def scores(spark):
 
 def test_auc_matches_brute_force(scores):
     rows, df = scores
-    got = metrics.roc_auc(df, n_buckets=7).first()["auc"]
+    got = metrics.roc_auc(df, partitions=7).first()["auc"]
     assert got == pytest.approx(_brute_auc([(y, p) for _, y, p in rows]))
 
 
@@ -38,7 +38,7 @@ def test_auc_negation_and_ties(spark, scores):
 def test_auc_by_group(scores):
     rows, df = scores
     g = df.withColumn("g", (F.col("key") % 3).cast("int"))
-    got = {r["g"]: r["auc"] for r in metrics.roc_auc(g, group=["g"], n_buckets=5).collect()}
+    got = {r["g"]: r["auc"] for r in metrics.roc_auc(g, group=["g"], partitions=5).collect()}
     for k in range(3):
         assert got[k] == pytest.approx(_brute_auc([(y, p) for i, y, p in rows if i % 3 == k]))
 

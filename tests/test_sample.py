@@ -96,7 +96,7 @@ def test_running_before_hot_entity_matches_window(spark):
     from wardline.operators.order import running_before
     rows = [(i, 0 if i % 3 == 0 else i % 50, i % 4) for i in range(1500)]   # entity 0: a third
     df = spark.createDataFrame(rows, "id long, ent long, v long")
-    got = running_before(df, "ent", "id", "id", ["v"], hot_share=0.01, n_buckets=16)
+    got = running_before(df, "ent", "id", "id", ["v"], partitions=16)
     w = Window.partitionBy("ent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("id", F.count(F.lit(1)).over(w).alias("prior_n"),
                      F.coalesce(F.sum("v").over(w), F.lit(0)).alias("v_prior"))

@@ -1,8 +1,8 @@
 """Evaluation over a score frame (key, label 0/1, p [, pred] [, group...]).
 
 Every metric is one partially-aggregated pass, grouped by optional model /
-subgroup columns; ROC-AUC is exact (rank form) via bucketed prefix sums over
-distinct scores, never one global sort in one task."""
+subgroup columns; ROC-AUC (rank form) and precision-recall curves are exact,
+by a two-level scan over distinct scores, never one global sort in one task."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.order import _join_ns, prefix_sums
+from wardline.operators.order import _join_ns, scan_before
+from wardline.session import materialize
 
 EPS = 1e-15
 
@@ -48,9 +49,9 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred",
 def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pred",
                            group: list[str] | None = None) -> DataFrame:
     """(group..., n, tp, fp, fn, tn, accuracy, precision, recall, f1); an
-    undefined precision/recall/F1 is 0."""
+    undefined precision/recall/F1 is 0, and so are all counts of no rows."""
     g = group or []
-    a = df.groupBy(*g).agg(F.count(F.lit(1)).cast("long").alias("n"), *_cells(label, pred))
+    a = df.groupBy(*g).agg(F.count(F.lit(1)).cast("long").alias("n"), *_cells(label, pred)).fillna(0, ["tp", "fp", "fn", "tn"])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return a.select(*g, "n", "tp", "fp", "fn", "tn",
                     _ratio(tp + tn, F.col("n")).alias("accuracy"),
@@ -59,20 +60,25 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
                     _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def _per_score(df: DataFrame, label: str, score: str, g: list[str]) -> DataFrame:
+    """(group..., _s, pos, neg): one row per distinct score, counts of classes;
+    rows without a score can't be ranked and are left out."""
+    return df.where(F.col(score).isNotNull()).groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
+        F.sum((F.col(label) == 1).cast("long")).alias("pos"),
+        F.sum((F.col(label) == 0).cast("long")).alias("neg"))
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p",
-            group: list[str] | None = None, n_buckets: int = 256) -> DataFrame:
+            group: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """(group..., auc): probability a random positive outscores a random
-    negative, ties counting one half.  NULL when a class is absent.  A row
-    without a score can't be ranked and is left out.
+    negative, ties counting one half.  NULL when a class is absent, so also for
+    no rows or no scores at all.  A row without a score is left out.
 
     Rows are first reduced to one per distinct score (partial aggregation),
-    then each score needs the negatives strictly below it: a bucketed prefix
-    sum, exact for any number of distinct scores."""
+    then each score needs the negatives strictly below it: a two-level scan,
+    exact for any number of scores and groups."""
     g = group or []
-    per = df.where(F.col(score).isNotNull()).groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
-        F.sum((F.col(label) == 1).cast("long")).alias("pos"),
-        F.sum((F.col(label) == 0).cast("long")).alias("neg"))
-    pre = prefix_sums(per, g, "_s", ["neg"], n_buckets)
+    pre = scan_before(_per_score(df, label, score, g), g, ["_s"], {"neg_before": F.col("neg")}, partitions)
     return (pre.groupBy(*g).agg(
         F.sum(F.col("pos").cast("double") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -80,6 +86,43 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p",
                            F.col("_u") / (F.col("_p").cast("double") * F.col("_n"))).alias("auc")))
 
 
+def pr_curve(df: DataFrame, label: str = "label", score: str = "p", group: list[str] | None = None,
+             beta: float = 1.0, partitions: int | None = None) -> DataFrame:
+    """(group..., threshold, pos, tp, fp, fn, tn, precision, recall, fbeta): one
+    row per distinct score, for the rule ``score >= threshold``; ``pos`` counts
+    the positives of exactly this score.
+
+    Cumulative counts in descending order of the scores come from the same
+    two-level scan as the ROC-AUC; class totals are joined per group."""
+    g = group or []
+    per = materialize(_per_score(df, label, score, g), "scores")
+    down = scan_before(per.withColumn("_down", -F.col("_s")), g, ["_down"],
+                       {"tp": F.col("pos"), "fp": F.col("neg")}, partitions)
+    totals = per.groupBy(*g).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    if g:
+        j = _join_ns(down, totals, g, broadcast=False)
+    else:  # two numbers
+        j = down.withColumns({c: totals.select(c).scalar() for c in ("_p", "_n")})
+    out = j.select(*g, F.col("_s").alias("threshold"), (F.col("tp") + F.col("pos")).alias("tp"),
+                   (F.col("fp") + F.col("neg")).alias("fp"), "pos", "_p", "_n")
+    tp, fp, b2 = F.col("tp"), F.col("fp"), beta * beta
+    fn = F.col("_p") - tp
+    return out.select(*g, "threshold", "pos", "tp", "fp", fn.alias("fn"), (F.col("_n") - fp).alias("tn"),
+                      _ratio(tp, tp + fp).alias("precision"), _ratio(tp, F.col("_p")).alias("recall"),
+                      _ratio((1 + b2) * tp, (1 + b2) * tp + b2 * fn + fp).alias("fbeta"))
+
+
+def best_threshold(curve: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group..., threshold, precision, recall, fbeta, average_precision): the
+    point of the largest F-beta of a curve (the highest threshold among ties),
+    and the area under its steps (0 without positives)."""
+    g = group or []
+    agg = curve.groupBy(*g).agg(
+        F.max_by(F.struct("threshold", "precision", "recall", "fbeta"), F.struct("fbeta", "threshold")).alias("_b"),
+        F.sum(F.col("pos") * F.col("precision")).alias("_a"), F.sum("pos").alias("_p"))
+    return agg.select(*g, "_b.*", _ratio(F.col("_a"), F.col("_p")).alias("average_precision"))
+
+
 def log_loss(df: DataFrame, label: str = "label", prob: str = "p",
              group: list[str] | None = None, eps: float = EPS) -> DataFrame:
     """(group..., log_loss): mean negative log-likelihood, p clipped to [eps, 1-eps]."""

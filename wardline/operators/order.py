@@ -1,16 +1,18 @@
 """Exact ranks and running sums without a single-task window.
 
 A window ``partitionBy(label).orderBy(...)`` sends a whole class to one task;
-with one class holding most rows that task holds most of the data.  Instead we
-cut the order into many buckets with a column that is monotone in the order
-(hash prefix, score quantile), count rows per (group, bucket) – a small table,
-|groups| x buckets rows, safe to broadcast – turn the counts into offsets, and
-rank only inside each (group, bucket).  The result equals the global rank.
+with one class holding most rows that task holds most of the data.  Two ways
+round that, both exact:
+
+* Orders by a hash, in a few groups (classes): the hash prefix cuts the order
+  into buckets; counts per (group, bucket) – a small table – become offsets, and
+  ranks are taken inside each bucket.
+* Any order, any number and size of groups: :func:`scan_before`, a two-level
+  scan over range partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from wardline.session import materialize
 
 _B = "_wl_bucket"
 _OFF = "_wl_offset"
+_P = "_wl_range"
 
 
 def _join_ns(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner",
@@ -90,71 +93,60 @@ def split_by_quota(df: DataFrame, group_cols: list[str], order_cols: list[str],
                 .drop(_B, _OFF + "n", "_wl_q", "_wl_dec"))
 
 
-def quantile_bucket(df: DataFrame, order_col: str, n_buckets: int = 256,
-                    rel_err: float = 1e-3) -> Column:
-    """A bucket id monotone in ``order_col`` with roughly equal-count buckets.
-
-    Only ``n_buckets`` numbers (approximate quantiles) reach the driver."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(order_col, probs, rel_err) if n_buckets > 1 else []
-    splits = [float("-inf")] + sorted({float(q) for q in qs}) + [float("inf")]
-    return splits
-
-
-def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str,
-                values: list[str], n_buckets: int = 256) -> DataFrame:
-    """For each value column ``v`` add ``v_before``: the sum of ``v`` over rows of
-    the same group with a strictly smaller ``order_col``.  Rows must be unique
-    per (group, order_col) – aggregate first."""
-    splits = quantile_bucket(df, order_col, n_buckets)
-    tmp = "_wl_ord"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=_B, handleInvalid="keep").transform(
-        df.withColumn(tmp, F.col(order_col).cast("double")))
-    offs = _offsets(b, group_cols, {v: F.sum(v) for v in values})
-    j = _join_ns(b, offs, [*group_cols, _B])
-    w = (Window.partitionBy(*group_cols, _B).orderBy(order_col)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    for v in values:
-        j = j.withColumn(v + "_before",
-                         F.col(_OFF + v) + F.coalesce(F.sum(v).over(w), F.lit(0)))
-    return j.drop(_B, tmp, *[_OFF + v for v in values])
+def scan_before(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Add, per row, the sum of each expression in ``sums`` over the rows of its
+    group that come before it in the order of ``order_cols`` (0 if none).
+
+    A two-level scan: rows are range-partitioned by (group, order), so a group
+    of any size lies in neighbouring partitions; each partition hands on the
+    total of its last group, the only one that can go on in the next; and the
+    running sums are taken inside the partitions.  What is broadcast has one
+    row per partition.  The ranges come from Spark's own sample of the keys, so
+    neither many small groups nor one that holds all rows needs a setting.
+    NULL groups are groups; rows that tie in all of ``order_cols`` come one
+    after the other in no defined order.  ``partitions`` sets the number of
+    ranges (default: Spark's shuffle partitions)."""
+    values = {f"_wl_v{i}": e for i, e in enumerate(sums.values())}
+    groups = list(group_cols) or ["_wl_one"]
+    keyed = df.withColumns(values)
+    if not group_cols:
+        keyed = keyed.withColumn("_wl_one", F.lit(1))
+    by = [F.col(f"`{c}`") for c in [*groups, *order_cols]]
+    dealt = keyed.repartitionByRange(partitions, *by) if partitions else keyed.repartitionByRange(*by)
+    table = materialize(dealt.withColumn(_P, F.spark_partition_id()), "ranges")
+
+    group = F.struct(*[F.col(f"`{c}`") for c in groups])
+    per = table.groupBy(_P, *[F.col(f"`{c}`") for c in groups]).agg(*[F.sum(v).alias(v) for v in values])
+    ends = per.groupBy(_P).agg(F.min(group).alias("lo"), F.max(group).alias("hi"),
+                               *[F.max_by(v, group).alias(v) for v in values])
+    # one row per partition from here to the broadcast
+    run = Window.partitionBy("hi").orderBy(_P).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select(_P, "lo", "hi", *[F.sum(v).over(run).alias(v) for v in values])
+    last = Window.orderBy(_P)
+    carry = ends.select(F.col(_P).alias("_wl_of"), "lo", *[
+        F.when(F.lag("hi").over(last).eqNullSafe(F.col("lo")), F.lag(v).over(last)).alias(f"{v}_in") for v in values])
+    j = table.join(F.broadcast(carry), F.col(_P) == F.col("_wl_of"))
+    inside = (Window.partitionBy(_P, *[F.col(f"`{c}`") for c in groups]).orderBy(*[F.col(f"`{c}`") for c in order_cols])
+              .rowsBetween(Window.unboundedPreceding, -1))
+    zero = F.lit(0)
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], *[
+        (F.coalesce(F.when(group == F.col("lo"), F.col(f"{v}_in")), zero)
+         + F.coalesce(F.sum(v).over(inside), zero)).alias(n) for n, v in zip(sums, values)])
+
+
+def rank_in_order(df: DataFrame, group_cols: list[str], order_cols: list[str], rank_col: str = "rn",
+                  partitions: int | None = None) -> DataFrame:
+    """Add ``rank_col``: the 1-based row number within the group, by a scan."""
+    out = scan_before(df, group_cols, order_cols, {rank_col: F.lit(1).cast("long")}, partitions)
+    return out.withColumn(rank_col, F.col(f"`{rank_col}`") + 1)
 
 
 def running_before(df: DataFrame, entity: str, order_col: str, tie_col: str,
-                   values: list[str], hot_share: float = 1e-3,
-                   n_buckets: int = 256) -> DataFrame:
+                   values: list[str], partitions: int | None = None) -> DataFrame:
     """Per-entity history before each row: ``prior_n`` (earlier rows of the
     same entity in (order_col, tie_col) order) and ``<v>_prior`` (their sum of
-    each value column, 0 when none).
-
-    A window per entity would put a heavy entity (say a patient with a third
-    of all rows) in one task.  Entities holding >= ``hot_share`` of the rows
-    – at most 1/hot_share of them, so their table is broadcast – are cut into
-    ``n_buckets`` ranges of ``order_col`` (global quantiles) with offsets from
-    a small per-(entity, bucket) table; every other entity is a window of
-    less than ``hot_share`` of the data."""
-    counts = materialize(df.groupBy(entity).agg(F.count(F.lit(1)).alias("_wl_n")), "entity-counts")
-    total = counts.agg(F.sum("_wl_n")).scalar()
-    hot = counts.where(F.col("_wl_n") >= total * F.lit(hot_share)).select(
-        entity, F.lit(True).alias("_wl_hot"))
-    tagged = df.join(F.broadcast(hot), entity, "left")
-    hot_rows = tagged.where(F.col("_wl_hot"))
-    splits = quantile_bucket(hot_rows.select(F.col(order_col).cast("double").alias("_wl_o")),
-                             "_wl_o", n_buckets)
-    tmp = "_wl_o"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol="_wl_qb", handleInvalid="keep") \
-        .transform(tagged.withColumn(tmp, F.col(order_col).cast("double")))
-    b = b.withColumn(_B, F.when(F.col("_wl_hot"), F.col("_wl_qb")).otherwise(F.lit(0.0))) \
-         .drop("_wl_qb", tmp)
-    sums = {"_wl_c": F.count(F.lit(1))}
-    sums.update({f"_wl_s{i}": F.sum(F.col(v)) for i, v in enumerate(values)})
-    offs = _offsets(b.where(F.col("_wl_hot")), [entity], sums)
-    j = b.join(F.broadcast(offs), [entity, _B], "left")
-    w = (Window.partitionBy(entity, _B).orderBy(order_col, tie_col)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    out = j.withColumn("prior_n", (F.coalesce(F.col(_OFF + "_wl_c"), F.lit(0))
-                                   + F.count(F.lit(1)).over(w)).cast("long"))
-    for i, v in enumerate(values):
-        out = out.withColumn(f"{v}_prior", F.coalesce(F.col(_OFF + f"_wl_s{i}"), F.lit(0))
-                             + F.coalesce(F.sum(F.col(v)).over(w), F.lit(0)))
-    return out.drop(_B, "_wl_hot", *[c for c in out.columns if c.startswith(_OFF)])
+    each value column, 0 when none).  Rows without an entity are one entity."""
+    order = [order_col] if tie_col == order_col else [order_col, tie_col]
+    sums = {"prior_n": F.lit(1).cast("long"), **{f"{v}_prior": F.col(f"`{v}`") for v in values}}
+    return scan_before(df, [entity], order, sums, partitions)

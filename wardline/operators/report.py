@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.order import running_before
+
 
 def _q(c: str):
     return F.col(f"`{c}`")
@@ -116,12 +118,11 @@ def entity_history(df: DataFrame, entity: str, numeric: list[str],
 
 
 def entity_prior(df: DataFrame, entity: str, order_col: str, tie_col: str,
-                 values: list[str], hot_share: float = 1e-3) -> DataFrame:
+                 values: list[str]) -> DataFrame:
     """History before the current row: earlier rows of the same entity
-    (``prior_n``) and running sums of ``values`` (``<v>_prior``); heavy
-    entities are split into ordered ranges (``order.running_before``)."""
-    from wardline.operators.order import running_before
-    return running_before(df, entity, order_col, tie_col, values, hot_share)
+    (``prior_n``) and running sums of ``values`` (``<v>_prior``), by a two-level
+    scan (``order.running_before``), so no entity is too heavy or too rare."""
+    return running_before(df, entity, order_col, tie_col, values)
 
 
 def top_k(df: DataFrame, k: int, by: str = "importance", tie: str = "feature") -> DataFrame:

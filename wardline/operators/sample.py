@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.hashing import hash_bucket, hash_int, seeded_hash
-from wardline.operators.order import quantile_bucket, rank_within, split_by_quota
+from wardline.operators.order import rank_in_order, rank_within, split_by_quota
 
 # Hex digits of the hash used as rank buckets: 16^4 = 65,536 buckets per class.
 BUCKET_DIGITS = 4
@@ -75,13 +75,7 @@ def folds_unshuffled(df: DataFrame, k: int, label: str = "label", key: str = "en
     k contiguous blocks.  Their sizes come from dealing all rows, sorted by
     class, to the folds in turn (classes in order of their first key), so fold
     sizes differ by one row at most."""
-    if dict(df.dtypes)[key] in ("string", "binary"):
-        bucket, ranked_in = F.substring(F.col(key), 1, 2), df
-    else:
-        cuts = F.array(*[F.lit(q) for q in quantile_bucket(df.withColumn("_wl_k", F.col(key).cast("double")), "_wl_k")[1:-1]]
-                       or [F.lit(0.0)])
-        bucket, ranked_in = F.size(F.filter(cuts, lambda q: q <= F.col(key).cast("double"))), df
-    ranked = rank_within(ranked_in, [label], [key], bucket, "_wl_rn")
+    ranked = rank_in_order(df, [label], [key], "_wl_rn")
     per = df.groupBy(F.col(label).alias("_wl_c")).agg(F.count(F.lit(1)).alias("_wl_n"), F.min(key).alias("_wl_first"))
     w = Window.orderBy("_wl_first").rowsBetween(Window.unboundedPreceding, -1)  # one row per class
     per = per.withColumn("_wl_o", F.coalesce(F.sum("_wl_n").over(w), F.lit(0)))
