@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 from wardline.functions.codes import sanitize_name
 from wardline.operators import clean, encode, lookup, metrics, report, sample
 from wardline.plans import standins as S
+from wardline.plans.readmission import EXCLUDED_DISCHARGE, RAW, without_excluded
 from wardline.session import materialize
+from wardline.sources.tables import DRUG_COLUMNS, ENCOUNTER_SCHEMA
 
 SEED = 42
-EXCLUDED_DISCHARGE = [11, 19, 20, 21]
-DRUGS = ["metformin", "insulin", "examide"]
+DRUGS = DRUG_COLUMNS
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
 
 QUERIES: dict = {}
@@ -45,26 +46,23 @@ def r6(df: DataFrame) -> DataFrame:
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
     """Encounters after the gender and death/hospice filters, with a 0/1 label."""
-    e = S.encounters(spark, sf)
-    e = clean.exclude_value(e, "gender", "Unknown/Invalid")
-    e = clean.exclude_codes(e, "discharge_disposition_id", EXCLUDED_DISCHARGE)
-    return clean.binary_target(e, "readmitted", "<30")
+    return clean.binary_target(without_excluded(S.encounters(spark, sf)), "readmitted", "<30")
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
     return sample.split_stratified(base(spark, sf), "label", "encounter_id", 0.3, SEED)
 
 
-def split_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The split written once as a table, for queries that fit on train and
-    then apply to all rows (several reads)."""
-    return materialize(split(spark, sf), "split")
+def split_table(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """The columns ``cols`` of the split, written once as a table, for queries
+    that fit on train and then apply to all rows (several reads)."""
+    return materialize(split(spark, sf).select("encounter_id", *cols, "is_test"), "split")
 
 
 def train_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The training split written once as a table, for operators that read
-    their input several times (class counts, ranks, both classes)."""
-    train, _ = sample.train_test(split(spark, sf))
+    """Keys and labels of the training split, written once as a table, for
+    operators that read their input several times (class counts, ranks)."""
+    train, _ = sample.train_test(split(spark, sf).select("encounter_id", "label", "is_test"))
     return materialize(train, "train")
 
 
@@ -92,7 +90,7 @@ lines AS (""" + S.duck(S.LOOKUP_LINES) + """),
 fields AS (
   SELECT pos,
          nullif(trim(split_part(line, ',', 1)), '') AS code,
-         nullif(trim(trim(substr(line, strpos(line, ',') + 1)), '"'), '') AS description
+         nullif(nullif(trim(trim(substr(line, strpos(line, ',') + 1)), '"'), ''), 'NULL') AS description
   FROM lines),
 tagged AS (
   SELECT *, last_value(CASE WHEN code IS NOT NULL AND description IS NOT NULL
@@ -109,7 +107,7 @@ SCORES = "sc AS (" + S.duck(S.SCORES) + ")"
 
 
 def _sql_ordinal(c: str) -> str:
-    return (f"CAST(CASE lower(trim({c})) WHEN 'no' THEN 0.0 WHEN 'down' THEN 1.0 "
+    return (f"CAST(CASE lower(trim(\"{c}\")) WHEN 'no' THEN 0.0 WHEN 'down' THEN 1.0 "
             f"WHEN 'steady' THEN 2.0 WHEN 'up' THEN 3.0 END AS DOUBLE)")
 
 
@@ -213,32 +211,24 @@ def q_lookup_other(spark, sf):
     return m.select("encounter_id", "admission_source_id")
 
 
-_ENC_STRINGS = ["race", "gender", "age", "weight", "medical_specialty", "diag_1", "diag_2",
-                "diag_3", "metformin", "insulin", "examide", "change", "diabetesMed", "readmitted"]
+_ENC_ALL = ENCOUNTER_SCHEMA.fieldNames()
+_ENC_STRINGS = [f.name for f in ENCOUNTER_SCHEMA.fields if isinstance(f.dataType, T.StringType)]
 
 
 @register("clean_sentinel", "WITH " + ENC + "\nSELECT encounter_id, " + ", ".join(
-    f"CASE WHEN {c} = '?' THEN 'Unknown' ELSE {c} END AS {c}" for c in _ENC_STRINGS) + " FROM enc")
+    f"CASE WHEN \"{c}\" = '?' THEN 'Unknown' ELSE \"{c}\" END AS \"{c}\"" for c in _ENC_STRINGS) + " FROM enc")
 def q_clean_sentinel(spark, sf):
     e = clean.replace_sentinel(S.encounters(spark, sf), "?", "Unknown")
-    return e.select("encounter_id", *_ENC_STRINGS)
+    return e.select("encounter_id", *[F.col(f"`{c}`") for c in _ENC_STRINGS])
 
 
-@register("exclude_codes", "WITH " + BASE + "\nSELECT encounter_id, gender, discharge_disposition_id FROM base")
+@register("exclude_codes", "WITH " + BASE + "\nSELECT encounter_id, gender, coalesce(discharge_disposition_id, -1) AS discharge_disposition_id FROM base")
 def q_exclude_codes(spark, sf):
-    return base(spark, sf).select("encounter_id", "gender", "discharge_disposition_id")
-
-
-_ENC_ALL = ["encounter_id", "patient_nbr", "race", "gender", "age", "weight", "admission_type_id",
-            "discharge_disposition_id", "admission_source_id", "time_in_hospital",
-            "medical_specialty", "num_lab_procedures", "num_procedures", "num_medications",
-            "number_outpatient", "number_emergency", "number_inpatient", "diag_1", "diag_2",
-            "diag_3", "number_diagnoses", "metformin", "insulin", "examide", "change",
-            "diabetesMed", "readmitted"]
+    return base(spark, sf).select("encounter_id", "gender", "discharge_disposition_id").fillna(-1)
 
 
 @register("drop_constant", "WITH " + ENC + "\n" + "\nUNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(CASE WHEN count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL "
+    f"SELECT '{c}' AS \"column\", CAST(CASE WHEN count(DISTINCT \"{c}\") + max(CASE WHEN \"{c}\" IS NULL "
     f"THEN 1 ELSE 0 END) <= 1 THEN 1 ELSE 0 END AS INTEGER) AS is_constant FROM enc"
     for c in _ENC_ALL))
 def q_drop_constant(spark, sf):
@@ -255,7 +245,7 @@ SELECT DISTINCT replace(replace(replace(replace(replace('age_' || age, '[', '_')
        '>', '_gt_'), ',', '_') AS "column" FROM enc
 UNION ALL
 SELECT DISTINCT replace(replace(replace(replace(replace('readmitted_' || readmitted, '[', '_'), ']', '_'),
-       '<', '_lt_'), '>', '_gt_'), ',', '_') FROM enc""")
+       '<', '_lt_'), '>', '_gt_'), ',', '_') FROM enc WHERE readmitted IS NOT NULL""")
 def q_sanitise_names(spark, sf):
     e = S.encounters(spark, sf)
     levels = encode.vocabulary_levels(encode.fit_vocabulary(e, ["age", "readmitted"]))
@@ -267,9 +257,9 @@ def q_sanitise_names(spark, sf):
 # ------------------------------------------------------------------ 2. encoders
 
 @register("encode_ordinal", "WITH " + ENC + "\nSELECT encounter_id, " + ", ".join(
-    f"{_sql_ordinal(c)} AS {c}" for c in DRUGS) + " FROM enc")
+    f'{_sql_ordinal(c)} AS "{c}"' for c in DRUGS) + " FROM enc")
 def q_encode_ordinal(spark, sf):
-    return encode.encode_ordinal(S.encounters(spark, sf), DRUGS).select("encounter_id", *DRUGS)
+    return encode.encode_ordinal(S.encounters(spark, sf), DRUGS).select("encounter_id", *[F.col(f"`{c}`") for c in DRUGS])
 
 
 @register("code_group_coarse", "WITH " + ENC + "\nSELECT encounter_id, " + ", ".join(
@@ -314,20 +304,20 @@ def q_rare_bucket_share(spark, sf):
 
 
 @register("rare_bucket_count", "WITH " + BASE + """,
-s AS (SELECT num_medications AS m, count(*) AS n FROM base WHERE num_medications IS NOT NULL GROUP BY 1)
-SELECT b.encounter_id, coalesce(CASE WHEN s.n >= 1000 THEN CAST(s.m AS VARCHAR) END, 'Other')
-       AS num_medications_grp
-FROM base b LEFT JOIN s ON s.m = b.num_medications""")
+s AS (SELECT medical_specialty AS m, count(*) AS n FROM base WHERE medical_specialty IS NOT NULL GROUP BY 1)
+SELECT b.encounter_id, coalesce(CASE WHEN s.n >= 1000 THEN s.m END, 'Other') AS specialty_grp
+FROM base b LEFT JOIN s ON s.m = b.medical_specialty""")
 def q_rare_bucket_count(spark, sf):
-    e = encode.rare_bucket(base(spark, sf), "num_medications", min_share=None, min_count=1000,
-                           out="num_medications_grp")
-    return e.select("encounter_id", "num_medications_grp")
+    """Specialties with fewer than 1000 rows become one level."""
+    e = encode.rare_bucket(base(spark, sf), "medical_specialty", min_share=None, min_count=1000,
+                           out="specialty_grp")
+    return e.select("encounter_id", "specialty_grp")
 
 
 # ------------------------------------------------------------------ 3. matrix
 
 def _onehot(spark, sf, drop_first: bool) -> DataFrame:
-    sp = clean.replace_sentinel(split_table(spark, sf), "?", "Unknown", ["race"])
+    sp = clean.replace_sentinel(split_table(spark, sf, "race", "gender", "age"), "?", "Unknown", ["race"])
     train = sp.where(F.col("is_test") == 0)
     levels = encode.vocabulary_levels(encode.fit_vocabulary(train, ["race", "gender", "age"]))
     wide = encode.one_hot(sp.select("encounter_id", "race", "gender", "age"), levels,
@@ -364,7 +354,7 @@ FROM split s, m""")
 def q_onehot_inverse(spark, sf):
     """Keep-all one-hot with a train vocabulary that lacks the '?' level, then
     inverse: known levels come back, all-zero rows get the training mode."""
-    sp = split_table(spark, sf)
+    sp = split_table(spark, sf, "medical_specialty")
     train = sp.where((F.col("is_test") == 0) & (F.col("medical_specialty") != "?"))
     levels = encode.vocabulary_levels(encode.fit_vocabulary(train, ["medical_specialty"]))
     mode = report.mode_level(sp.where(F.col("is_test") == 0), "medical_specialty").first()["mode"]
@@ -400,7 +390,8 @@ FROM split WHERE is_test = 1""")
 def q_align_to_train(spark, sf):
     """Test rows one-hot encoded with their own vocabulary, then aligned to the
     training columns (missing -> 0, extra dropped)."""
-    sp = clean.replace_sentinel(split_table(spark, sf), "?", "Unknown", ["medical_specialty"])
+    sp = clean.replace_sentinel(split_table(spark, sf, "time_in_hospital", "medical_specialty"), "?", "Unknown",
+                                ["medical_specialty"])
     train, test = sample.train_test(sp)
     tr_levels = encode.vocabulary_levels(encode.fit_vocabulary(train, ["medical_specialty"]))
     te_levels = encode.vocabulary_levels(encode.fit_vocabulary(test, ["medical_specialty"]))
@@ -671,16 +662,16 @@ def q_zero_share(spark, sf):
 _HIST = ["time_in_hospital", "number_inpatient"]
 
 
-@register("entity_history", "WITH " + BASE + "\nSELECT patient_nbr, CAST(count(*) AS BIGINT) AS n_rows, " + ", ".join(
+@register("entity_history", "WITH " + BASE + "\nSELECT coalesce(patient_nbr, -1) AS patient_nbr, CAST(count(*) AS BIGINT) AS n_rows, " + ", ".join(
     f"CAST(sum({c}) AS BIGINT) AS {c}_sum, round(avg({c}), 6) AS {c}_mean, max({c}) AS {c}_max"
     for c in _HIST) + ", round(avg(label), 6) AS label_rate FROM base GROUP BY patient_nbr")
 def q_entity_history(spark, sf):
     h = report.entity_history(base(spark, sf), "patient_nbr", _HIST, "label")
-    return r6(h.withColumns({f"{c}_sum": F.col(f"{c}_sum").cast("long") for c in _HIST}))
+    return r6(h.withColumns({f"{c}_sum": F.col(f"{c}_sum").cast("long") for c in _HIST}).fillna(-1, ["patient_nbr"]))
 
 
 @register("entity_prior", "WITH " + BASE + """
-SELECT encounter_id, patient_nbr,
+SELECT encounter_id, coalesce(patient_nbr, -1) AS patient_nbr,
   CAST(count(*) OVER w AS BIGINT) AS prior_n,
   CAST(coalesce(sum(number_inpatient) OVER w, 0) AS BIGINT) AS number_inpatient_prior,
   CAST(coalesce(sum(number_emergency) OVER w, 0) AS BIGINT) AS number_emergency_prior
@@ -693,7 +684,7 @@ def q_entity_prior(spark, sf):
                                "number_emergency")
     h = report.entity_prior(b, "patient_nbr", "encounter_id", "encounter_id",
                             ["number_inpatient", "number_emergency"])
-    return h.select("encounter_id", "patient_nbr", "prior_n",
+    return h.select("encounter_id", F.coalesce("patient_nbr", F.lit(-1)).alias("patient_nbr"), "prior_n",
                     F.col("number_inpatient_prior").cast("long").alias("number_inpatient_prior"),
                     F.col("number_emergency_prior").cast("long").alias("number_emergency_prior"))
 
@@ -748,15 +739,15 @@ def q_group_share(spark, sf):
 
 
 @register("shape_report", "WITH " + BASE + """
-SELECT 'base' AS name, CAST(count(*) AS BIGINT) AS n_rows, 27 AS n_cols FROM base""")
+SELECT 'base' AS name, CAST(count(*) AS BIGINT) AS n_rows, """ + str(len(_ENC_ALL)) + """ AS n_cols FROM base""")
 def q_shape_report(spark, sf):
     return clean.shape_report(base(spark, sf), "base")
 
 
 @register("first_n", "WITH " + BASE + """
-SELECT encounter_id, patient_nbr, label FROM base ORDER BY encounter_id LIMIT 100""")
+SELECT encounter_id, coalesce(patient_nbr, -1) AS patient_nbr, label FROM base ORDER BY encounter_id LIMIT 100""")
 def q_first_n(spark, sf):
-    return report.first_n(base(spark, sf).select("encounter_id", "patient_nbr", "label"), 100,
+    return report.first_n(base(spark, sf).select("encounter_id", "patient_nbr", "label").fillna(-1), 100,
                           "encounter_id")
 
 
@@ -844,16 +835,22 @@ def q_best_config(spark, sf):
 
 # ------------------------------------------------------------------ 10. attribution
 
-_RAW = ["time_in_hospital", "num_medications", "number_inpatient", "number_emergency",
-        "number_diagnoses", "change"]
-_RAW_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _RAW[:-1]) + \
-    ", CAST(CASE WHEN change IS NOT DISTINCT FROM 'Ch' THEN 1 ELSE 0 END AS DOUBLE) AS change"
+_FLAGS = {"change": "Ch", "diabetesMed": "Yes"}
+
+
+def _sql_raw(c: str) -> str:
+    if c in _FLAGS:
+        return f"CAST(CASE WHEN \"{c}\" IS NOT DISTINCT FROM '{_FLAGS[c]}' THEN 1 ELSE 0 END AS DOUBLE) AS \"{c}\""
+    return f'coalesce({_sql_ordinal(c)}, 0.0) AS "{c}"' if c in DRUGS else f'CAST("{c}" AS DOUBLE) AS "{c}"'
+
+
+_RAW_SQL = ", ".join(_sql_raw(c) for c in RAW)
 _LINEAR_SQL = "WITH " + SPLIT + """,
 x AS (SELECT encounter_id, label, is_test, """ + _RAW_SQL + """ FROM split),
-cf AS (SELECT """ + ", ".join(f"regr_slope(CAST(label AS DOUBLE), {c}) AS w_{c}, avg({c}) AS m_{c}"
-                              for c in _RAW) + """ FROM x WHERE is_test = 0),
+cf AS (SELECT """ + ", ".join(f'regr_slope(CAST(label AS DOUBLE), "{c}") AS "w_{c}", avg("{c}") AS "m_{c}"'
+                              for c in RAW) + """ FROM x WHERE is_test = 0),
 phi AS (SELECT encounter_id, """ + ", ".join(
-    f"coalesce(w_{c}, 0) * ({c} - m_{c}) AS phi_{c}" for c in _RAW) + """
+    f'coalesce("w_{c}", 0) * ("{c}" - "m_{c}") AS "phi_{c}"' for c in RAW) + """
         FROM x, cf WHERE is_test = 1)"""
 
 
@@ -871,14 +868,14 @@ def _linear_phi(spark, sf):
 
 
 @register("shapley_linear", _LINEAR_SQL + "\nSELECT encounter_id, " + ", ".join(
-    f"round(phi_{c}, 6) AS phi_{c}" for c in _RAW) + " FROM phi")
+    f'round("phi_{c}", 6) AS "phi_{c}"' for c in RAW) + " FROM phi")
 def q_shapley_linear(spark, sf):
     """Exact Shapley values of a linear scorer fitted on train, for test rows."""
     return r6(_linear_phi(spark, sf))
 
 
 @register("importance_linear", _LINEAR_SQL + """,
-l AS (""" + "\nUNION ALL ".join(f"SELECT '{c}' AS feature, abs(phi_{c}) AS v FROM phi" for c in _RAW)
+l AS (""" + "\nUNION ALL ".join(f"SELECT '{c}' AS feature, abs(\"phi_{c}\") AS v FROM phi" for c in RAW)
     + """)
 SELECT feature, round(avg(v), 6) AS importance FROM l GROUP BY feature
 ORDER BY avg(v) DESC, feature LIMIT 15""")
@@ -946,16 +943,18 @@ def _scratch(spark) -> str:
     return f"{checkpoint_dir(spark, local_default=True).rstrip('/')}/wardline-{uuid.uuid4().hex}"
 
 
-@register("csv_roundtrip", "WITH " + ENC + "\nSELECT * FROM enc")
+@register("csv_roundtrip", "WITH " + ENC + """
+SELECT * REPLACE (coalesce(patient_nbr, -1) AS patient_nbr, coalesce(discharge_disposition_id, -1) AS discharge_disposition_id)
+FROM enc""")
 def q_csv_roundtrip(spark, sf):
-    """CSV sink then CSV scan with a declared schema (no inference)."""
+    """CSV sink then CSV scan with the declared encounter schema (no inference)."""
     from wardline.sources.tables import read_csv
     e = S.encounters(spark, sf)
     path = _scratch(spark) + "/encounters_csv"
     (e.write.mode("overwrite").option("header", True)
       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
       .csv(path))
-    return read_csv(spark, path, e.schema)
+    return read_csv(spark, path).fillna(-1, ["patient_nbr", "discharge_disposition_id"])
 
 
 @register("importance_csv", """

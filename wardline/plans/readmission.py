@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from wardline.operators import clean, encode, lookup, sample
 from wardline.plans import standins as S
 from wardline.session import materialize
+from wardline.sources.tables import DRUG_COLUMNS
 
 EXCLUDED_DISCHARGE = [11, 19, 20, 21]
-DRUGS = ["metformin", "insulin", "examide"]
+DRUGS = DRUG_COLUMNS
 CATEGORICAL = ["race", "gender", "age", "admission_type_id", "disch_reduced", "medical_specialty",
                "diag_1_cat", "diag_2_cat", "diag_3_cat"]
 NUMERIC = ["time_in_hospital", "num_lab_procedures", "num_procedures", "num_medications",
@@ -38,12 +39,18 @@ class Prepared:
     raw_columns: list[str] = field(default_factory=list)
 
 
+def without_excluded(enc: DataFrame) -> DataFrame:
+    """Rows of unknown gender and of death or hospice discharges go; a missing
+    value stays."""
+    return clean.exclude_codes(clean.exclude_value(enc, "gender", "Unknown/Invalid"),
+                               "discharge_disposition_id", EXCLUDED_DISCHARGE)
+
+
 def clean_encounters(enc: DataFrame, lookups: DataFrame) -> DataFrame:
     """Row-wise cleaning and coding (no fitted state)."""
     e = clean.drop_columns(enc, ["weight"])
     e = clean.replace_sentinel(e, "?", "Unknown")
-    e = clean.exclude_value(e, "gender", "Unknown/Invalid")
-    e = clean.exclude_codes(e, "discharge_disposition_id", EXCLUDED_DISCHARGE)
+    e = without_excluded(e)
     e = clean.binary_target(e, "readmitted", "<30")
     e = clean.yes_no_flags(e, {"change": "Ch", "diabetesMed": "Yes"})
     e = encode.encode_ordinal(e, DRUGS)
@@ -91,18 +98,25 @@ def prepare(spark: SparkSession, sf_dir: str, seed: int = 42, test_size: float =
     return Prepared(tr, te, names, cats + nums)
 
 
+RAW = ["time_in_hospital", "num_lab_procedures", "num_procedures", "num_medications", "number_outpatient",
+       "number_emergency", "number_inpatient", "number_diagnoses", "change", "diabetesMed",
+       "metformin", "insulin", "glipizide", "glyburide", "pioglitazone", "glyburide-metformin"]
+
+
 def raw_features(spark: SparkSession, sf_dir: str, seed: int = 42,
                  as_table: bool = True) -> tuple[DataFrame, list[str]]:
-    """Cleaned, coded encounter rows before one-hot (for attribution over the
-    original columns): encounter_id, label, is_test and numeric columns.
+    """Encounter rows before one-hot (for attribution over the original
+    columns): encounter_id, label, is_test and the columns of ``RAW`` as numbers
+    (an unknown dose counts as none).  Only what these columns need is computed.
     ``as_table`` writes them once as a table for callers that read them many
     times (model fits, scoring loops)."""
-    enc = S.encounters(spark, sf_dir)
-    lk = lookup.parse_stacked_lookup(S.lookup_lines(spark, sf_dir))
-    e = clean_encounters(enc, lk)
-    e = sample.split_stratified(e, "label", "encounter_id", 0.3, seed)
-    cols = ["time_in_hospital", "num_medications", "number_inpatient", "number_emergency",
-            "number_diagnoses", "change"]
-    out = e.select("encounter_id", "label", "is_test",
-                   *[F.col(c).cast("double").alias(c) for c in cols])
-    return (materialize(out, "raw-features") if as_table else out), cols
+    e = without_excluded(S.encounters(spark, sf_dir))
+    e = clean.yes_no_flags(clean.binary_target(e, "readmitted", "<30"), {"change": "Ch", "diabetesMed": "Yes"})
+    doses = [c for c in RAW if c in DRUGS]
+    e = encode.encode_ordinal(e, doses)
+    e = sample.split_stratified(e.select("encounter_id", "label", *[F.col(f"`{c}`") for c in RAW]),
+                                "label", "encounter_id", 0.3, seed)
+    out = e.select("encounter_id", "label", "is_test", *[
+        F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) if c in doses
+        else F.col(f"`{c}`").cast("double").alias(c) for c in RAW])
+    return (materialize(out, "raw-features") if as_table else out), list(RAW)

@@ -6,8 +6,8 @@ grows with it.  A stand-in does none of the operators' work.  Each is one SQL
 text: Spark runs it with DataFrame parameters (``spark.sql(text, orders=df)``)
 and the DuckDB oracle runs the same text over its views.
 
-Mapping: encounters <- orders (encounter = order, patient = customer,
-outcome from order status, dose flag from order priority); code lookups <-
+Mapping: encounters <- orders (encounter = order, patient = customer, all
+columns of the encounter file); code lookups <-
 region, nation and customer; scores <- events; vectors <- embeddings.
 """
 
@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.sources.tables import read_table
+from wardline.sources.tables import DRUG_COLUMNS, ENCOUNTER_SCHEMA, read_table
 
 
 def _icd(k: str) -> str:
@@ -29,50 +29,75 @@ def _icd(k: str) -> str:
        ELSE CAST(({k}) % 1000 AS STRING) END"""
 
 
+def _dose(i: int, drug: str) -> str:
+    """Dose flags of one drug column: mostly 'No', each column in its own
+    rhythm, some unknown; two columns never vary."""
+    if drug in ("examide", "citoglipton"):
+        return "'No'"
+    if drug == "metformin":
+        return """CASE o_orderpriority WHEN '1-URGENT' THEN 'Up' WHEN '2-HIGH' THEN ' Steady '
+       WHEN '3-MEDIUM' THEN 'No' WHEN '4-NOT SPECIFIED' THEN '?' ELSE 'DOWN' END"""
+    if drug == "insulin":
+        return "CASE o_orderkey % 4 WHEN 0 THEN 'No' WHEN 1 THEN 'Steady' WHEN 2 THEN 'Up' ELSE 'Down' END"
+    return (f"CASE (o_orderkey * {i + 3} + o_custkey) % {11 + i} WHEN 0 THEN 'Steady' WHEN 1 THEN 'Up' WHEN 2 THEN 'down' "
+            f"WHEN 3 THEN NULL ELSE 'No' END")
+
+
+DRUGS_SQL = ",\n  ".join(f"{_dose(i, c)} AS `{c}`" for i, c in enumerate(DRUG_COLUMNS))
+_COLUMNS = ", ".join(f"`{c}`" for c in ENCOUNTER_SCHEMA.fieldNames() if c != "readmitted")
+
+# The outcome follows from utilisation, age and chance (``noise``, 0 to 999), so
+# features carry a signal and none is made from the outcome.
 ENCOUNTERS = f"""
+SELECT {_COLUMNS},
+  CASE WHEN noise < 30 + 45 * number_inpatient + 40 * number_emergency + 4 * time_in_hospital
+            + CASE WHEN age >= '[7' THEN 40 ELSE 0 END THEN '<30'
+       WHEN noise < 450 THEN '>30' WHEN noise = 999 THEN NULL ELSE 'NO' END AS readmitted
+FROM (
 SELECT
+  CAST(floor(((o_orderkey * 7919 + o_custkey * 104729) % 99991) * 1000 / 99991) AS INT) AS noise,
   o_orderkey AS encounter_id,
-  o_custkey AS patient_nbr,
+  CASE WHEN o_orderkey % 211 = 3 THEN NULL ELSE o_custkey END AS patient_nbr,
+  CASE WHEN o_orderkey % 151 = 9 THEN NULL ELSE
   CASE o_custkey % 7 WHEN 0 THEN '?' WHEN 1 THEN 'AfricanAmerican' WHEN 2 THEN 'Hispanic'
-       WHEN 3 THEN 'Asian' ELSE 'Caucasian' END AS race,
-  CASE WHEN o_orderkey % 97 = 5 THEN 'Unknown/Invalid'
+       WHEN 3 THEN 'Asian' ELSE 'Caucasian' END END AS race,
+  CASE WHEN o_orderkey % 97 = 5 THEN 'Unknown/Invalid' WHEN o_orderkey % 97 = 6 THEN NULL
        WHEN o_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
   concat('[', CAST(10 * (o_custkey % 10) AS STRING), '-',
          CAST(10 * (o_custkey % 10) + 10 AS STRING), ')') AS age,
   CASE WHEN o_orderkey % 33 = 0 THEN '[75-100)' ELSE '?' END AS weight,
   CAST(o_orderkey % 6 AS INT) AS admission_type_id,
-  CAST(floor(sqrt(o_orderkey % 900)) + 1 AS INT) AS discharge_disposition_id,
-  o_custkey AS admission_source_id,
+  CASE WHEN o_orderkey % 123 = 7 THEN NULL ELSE CAST(floor(sqrt(o_orderkey % 900)) + 1 AS INT) END
+    AS discharge_disposition_id,
+  CAST(CASE WHEN o_orderkey % 50 = 0 THEN 900000000 + o_orderkey % 7 ELSE o_custkey END AS INT) AS admission_source_id,
   CAST(o_orderkey % 14 + 1 AS INT) AS time_in_hospital,
+  CASE o_custkey % 5 WHEN 0 THEN '?' WHEN 1 THEN 'MC' WHEN 2 THEN 'HM' ELSE 'SP' END AS payer_code,
   CASE o_orderkey % 13 WHEN 0 THEN '?' WHEN 1 THEN 'Cardiology' WHEN 2 THEN 'Surgery-General'
-       WHEN 3 THEN 'Family/GeneralPractice' WHEN 4 THEN 'Emergency/Trauma'
+       WHEN 3 THEN 'Family/GeneralPractice' WHEN 4 THEN 'Emergency/Trauma' WHEN 5 THEN NULL
        ELSE 'InternalMedicine' END AS medical_specialty,
   CAST(year(o_orderdate) - 1990 AS INT) AS num_lab_procedures,
   CAST(o_orderkey % 7 AS INT) AS num_procedures,
   CAST(floor(o_totalprice / 10000) AS INT) AS num_medications,
   CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 4 ELSE 0 END AS INT) AS number_outpatient,
   CAST(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS INT) AS number_emergency,
-  CAST(CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN o_orderkey % 4 ELSE 0 END AS INT)
+  CAST(CASE (o_orderkey + o_custkey) % 9 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 0 END AS INT)
     AS number_inpatient,
   {_icd('o_orderkey')} AS diag_1,
   {_icd('o_orderkey * 7 + o_custkey')} AS diag_2,
   {_icd('o_custkey * 13 + o_orderkey % 17')} AS diag_3,
   CAST(o_orderkey % 9 + 1 AS INT) AS number_diagnoses,
-  CASE o_orderpriority WHEN '1-URGENT' THEN 'Up' WHEN '2-HIGH' THEN ' Steady '
-       WHEN '3-MEDIUM' THEN 'No' WHEN '4-NOT SPECIFIED' THEN '?' ELSE 'DOWN' END AS metformin,
-  CASE o_orderkey % 4 WHEN 0 THEN 'No' WHEN 1 THEN 'Steady' WHEN 2 THEN 'Up' ELSE 'Down' END
-    AS insulin,
-  'No' AS examide,
+  CASE o_orderkey % 8 WHEN 0 THEN '>200' WHEN 1 THEN 'Norm' ELSE 'None' END AS max_glu_serum,
+  CASE o_custkey % 6 WHEN 0 THEN '>7' WHEN 1 THEN '>8' ELSE 'None' END AS `A1Cresult`,
+  {DRUGS_SQL},
   CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'Ch' ELSE 'No' END AS change,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'No' ELSE 'Yes' END AS diabetesMed,
-  CASE o_orderstatus WHEN 'P' THEN '<30' WHEN 'O' THEN '>30' ELSE 'NO' END AS readmitted
-FROM {{orders}}
+  CASE WHEN o_orderkey % 4 = 0 THEN 'No' ELSE 'Yes' END AS `diabetesMed`
+FROM {{{{orders}}}}) raw
 """
 
 # Raw lines of a stacked lookup file: three sections, each opened by a header
 # line; code 1 maps to a different description in each section.  The third
-# section (one code per customer, quoted descriptions holding a comma) grows
-# with the data.
+# section (one code per customer, quoted descriptions holding a comma, some of
+# them placeholders or missing) grows with the data.
 LOOKUP_LINES = """
 SELECT CAST(0 AS BIGINT) AS pos, 'admission_type_id,description' AS line
 UNION ALL SELECT CAST(1 + r_regionkey AS BIGINT), concat(CAST(r_regionkey AS STRING), ',', r_name)
@@ -84,7 +109,9 @@ UNION ALL SELECT CAST(12 + n_nationkey AS BIGINT),
 UNION ALL SELECT CAST(100 AS BIGINT), ','
 UNION ALL SELECT CAST(101 AS BIGINT), 'admission_source_id,description'
 UNION ALL SELECT CAST(102 + c_custkey AS BIGINT),
-  concat(CAST(c_custkey AS STRING), ',"', c_name, ', ', c_mktsegment, '"')
+  CASE c_custkey % 20 WHEN 3 THEN concat(CAST(c_custkey AS STRING), ',Not Mapped')
+       WHEN 4 THEN concat(CAST(c_custkey AS STRING), ',Not Available') WHEN 5 THEN concat(CAST(c_custkey AS STRING), ',NULL')
+       ELSE concat(CAST(c_custkey AS STRING), ',"', c_name, ', ', c_mktsegment, '"') END
   FROM {customer}
 """
 
@@ -119,7 +146,7 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def duck(sql: str) -> str:
     """The same stand-in text for the DuckDB oracle (plain view names)."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql).replace("ARRAY<DOUBLE>", "DOUBLE[]")
+    return re.sub(r"\{(\w+)\}", r"\1", sql).replace("ARRAY<DOUBLE>", "DOUBLE[]").replace("`", '"')
 
 
 def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
