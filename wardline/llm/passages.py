@@ -10,8 +10,9 @@ and the automata, which compare words, decide what goes.
    with its count; one that occurs once belongs to no repeated window.
 2. Segments.  Documents that hold other anchors give the stretches of text
    around them, and their runs of windows with one anchor.  Equal runs become
-   one class before their windows are counted.  The earliest segment with a
-   window that occurs again is reference text.
+   one class.  An anchor with one class repeats it whole; only where classes
+   differ are their windows counted.  The earliest segment with a window that
+   occurs again is reference text.
 3. Shards.  Reference segments are dealt into shards of about ``SHARD`` words.
    A class knows the shards of its windows, so a segment is routed to the
    shards that hold the first places of its windows, and to no others.
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -53,12 +55,19 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLACE = U((1 << 24) - 1)
 
 
-def _powers(x: int, n: int) -> np.ndarray:
+@cache
+def _power_table(x: int, n: int) -> np.ndarray:
     out = np.full(n, U(x))
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+def _powers(x: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; those of a usual chunk are kept."""
+    usual = 1 << 21
+    return _power_table(x, usual)[:n] if n <= usual else _power_table.__wrapped__(x, n)
+
+
 def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     z = x * U(_M) + y
     return z ^ (z >> U(29))
@@ -148,33 +157,34 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInPandas(run, "late int, doc long, print long, a long, c long")
 
 
+RUN = "late int, doc long, print long, seg long, start long, n long, a long, s long, c long, words long, text string"
+
+
 def stretches(docs: DataFrame, live: DataFrame, length: int) -> DataFrame:
     """Rows of two kinds for the texts in ``live(late, doc, print, anchors)``.
 
-    Runs (``text`` is null): windows of one segment with one anchor, from word
-    ``start``: anchor, hash of the run, hashes of its windows, how often.
+    Runs (``text`` is null): ``n`` windows of one segment with one anchor, from
+    word ``start``: anchor, hash of the run, how often the segment has it.
     Segments: ``seg`` is their first word, with their text and word count."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t.encode() for t in b["text"]]
             wanted = [np.asarray(x, np.int64).view(np.uint64) for x in b["anchors"]]
             for lo, hi in chunks(texts):
-                part = _stretches(texts[lo:hi], wanted[lo:hi], length)
-                for table in part:
+                for table in _stretches(texts[lo:hi], wanted[lo:hi], length):
                     t = table.pop("t")
                     yield pd.DataFrame({**{k: b[k].to_numpy()[lo:hi][t] for k in KEY}, **table})
 
-    d = docs.join(live, KEY).select(*KEY, "text", "anchors")
-    return d.mapInPandas(run, "late int, doc long, print long, seg long, start long, a long, s long, hashes array<long>, c long, "
-                              "words long, text string")
+    return docs.join(live, KEY).select(*KEY, "text", "anchors").mapInPandas(run, RUN)
 
 
 def _stretches(texts: list[bytes], wanted: list[np.ndarray], length: int) -> list[dict]:
     h, of, first, last = words_of(texts)
     at, q, a = anchors(h, of, length)
     window = rolled(h, length)
-    bounds = np.searchsorted(of[at], np.arange(len(texts) + 1))
-    live = np.concatenate([np.isin(a[bounds[i]:bounds[i + 1]], w) for i, w in enumerate(wanted)] or [np.zeros(0, bool)])
+    # anchor and text together: membership of all texts at once
+    asked = np.concatenate([mix(w + mix(np.full(len(w), i + 1, np.uint64))) for i, w in enumerate(wanted)])
+    live = np.isin(mix(a + mix((of[at] + 1).astype(np.uint64))), asked)
     at, q, a = at[live], q[live], a[live]
     if not len(at):
         return []
@@ -189,8 +199,7 @@ def _stretches(texts: list[bytes], wanted: list[np.ndarray], length: int) -> lis
     tail = np.append(head[1:], len(at)) - 1
     seg = at[head] - word0[t[head]]
     tp = t[head]
-    out = [{"t": tp, "seg": seg, "start": seg, "a": 0, "s": 0, "hashes": [None] * len(head), "c": 0,
-            "words": at[tail] - at[head] + length,
+    out = [{"t": tp, "seg": seg, "start": seg, "n": 0, "a": 0, "s": 0, "c": 0, "words": at[tail] - at[head] + length,
             "text": [texts[i][first[x]:last[y + length - 1]].decode() for i, x, y in zip(tp, at[head], at[tail])]}]
     run = np.flatnonzero(_edges(piece, q))
     n = np.diff(np.append(run, len(at)))
@@ -199,13 +208,38 @@ def _stretches(texts: list[bytes], wanted: list[np.ndarray], length: int) -> lis
     by = np.lexsort((w0, s, a[run], piece[run]))
     firsts = np.flatnonzero(_edges(piece[run][by], a[run][by], s[by]))
     keep, count = by[firsts], np.diff(np.append(firsts, len(by)))
-    signed = window.view(np.int64)
-    out.append({"t": t[run][keep], "seg": seg[piece[run][keep]], "start": (w0 - word0[t[run]])[keep], "a": a[run][keep].view(np.int64),
-                "s": s[keep].view(np.int64), "hashes": [signed[x:x + k] for x, k in zip(w0[keep], n[keep])], "c": count,
-                "words": 0, "text": None})
+    out.append({"t": t[run][keep], "seg": seg[piece[run][keep]], "start": (w0 - word0[t[run]])[keep], "n": n[keep],
+                "a": a[run][keep].view(np.int64), "s": s[keep].view(np.int64), "c": count, "words": 0, "text": None})
     return out
 
 
+def window_rows(segments: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """(a, s, c, h, late, doc, start, seg, print): the windows of the classes
+    ``(a, s, n, c, own)``, hashed from the text of their first places."""
+    asked = classes.groupBy(*[F.col(f"own.{k}").alias(k) for k in [*KEY, "seg"]]).agg(
+        F.collect_list(F.struct("a", "s", "n", "c", F.col("own.start").alias("start"))).alias("runs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t.encode() for t in b["text"]]
+            for lo, hi in chunks(texts):
+                h, of, _, _ = words_of(texts[lo:hi])
+                window, word0 = rolled(h, length), np.searchsorted(of, np.arange(hi - lo))
+                runs = list(b["runs"].iloc[lo:hi])
+                t = np.repeat(np.arange(hi - lo), [len(x) for x in runs])
+                a, s, n, c, start = (np.array([r[k] for x in runs for r in x], np.int64) for k in ("a", "s", "n", "c", "start"))
+                row = np.repeat(np.arange(len(t)), n)
+                j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                seg = b["seg"].to_numpy()[lo:hi][t]
+                w = start[row] + j
+                keys = {k: b[k].to_numpy()[lo:hi][t][row] for k in KEY}
+                yield pd.DataFrame({"a": a[row], "s": s[row], "c": c[row], "h": window.view(np.int64)[word0[t[row]] + w - seg[row]],
+                                    **keys, "start": w, "seg": seg[row]})
+
+    return (segments.join(asked, [*KEY, "seg"]).select(*KEY, "seg", "text", "runs")
+            .mapInPandas(run, "a long, s long, c long, h long, late int, doc long, print long, start long, seg long"))
+
+
 class Automaton:
     """Suffix automaton of several word sequences, given in the order of the
     corpus: ``first`` of a state is the place of its strings' earliest end."""
@@ -312,13 +346,16 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     runs = parts.where("text IS NULL")
 
     place = F.struct("late", "doc", "start", "seg", "print")
-    classes = materialize(runs.groupBy("a", "s").agg(F.min(place).alias("own"), F.sum("c").alias("c"), F.first("hashes").alias("hashes")), "classes")
-    windows = classes.select("a", "s", "c", "own", F.posexplode("hashes").alias("j", "h"))
-    at = F.struct(F.col("own.late").alias("late"), F.col("own.doc").alias("doc"), (F.col("own.start") + F.col("j")).alias("start"),
-                  F.col("own.seg").alias("seg"), F.col("own.print").alias("print"))
-    twice = materialize(windows.groupBy("a", "h").agg(F.min(at).alias("own"), F.sum("c").alias("c")).where(F.col("c") > 1).drop("c"), "repeated")
-
-    firsts = twice.select("own.late", "own.doc", "own.print", "own.seg").distinct()
+    classes = runs.groupBy("a", "s").agg(F.min(place).alias("own"), F.first("n").alias("n"), F.sum("c").alias("c"))
+    classes = materialize(classes, "classes")
+    several = classes.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    one = classes.join(several, "a", "left_anti")  # the whole class is repeated
+    windows = materialize(window_rows(segments, classes.join(several, "a"), length), "windows")
+    twice = windows.groupBy("a", "h").agg(F.min(place).alias("own"), F.sum("c").alias("c")).where(F.col("c") > 1).select("a", "h", "own")
+    twice = materialize(twice, "repeated")
+
+    owners = one.select("own").unionByName(twice.select("own"))
+    firsts = owners.select("own.late", "own.doc", "own.print", "own.seg").distinct()
     reference = materialize(segments.join(firsts, [*KEY, "seg"]), "reference")
     total = reference.agg(F.sum("words")).first()[0] or 0
     shards = -(-total // SHARD) or 1
@@ -326,9 +363,15 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     def shard(prefix: str):
         return F.pmod(F.xxhash64(*[F.col(prefix + k) for k in KEY], F.floor(F.col(prefix + "seg") / SHARD)), F.lit(shards))
 
-    where = (windows.join(twice.select("a", "h", shard("own.").alias("shard")), ["a", "h"])
-             .groupBy("a", "s").agg(F.collect_set("shard").alias("shards")))
-    routes = runs.join(where, ["a", "s"]).select(*KEY, "seg", F.explode("shards").alias("shard")).distinct()
+    some = (windows.join(twice.select("a", "h", shard("own.").alias("shard")), ["a", "h"])
+            .groupBy("a", "s").agg(F.collect_set("shard").alias("shards")).withColumn("own", F.lit(None).cast(classes.schema["own"].dataType)))
+    where = some.unionByName(one.select("a", "s", F.array(shard("own.")).alias("shards"), "own"))
+    # the first place of a class that is repeated whole has nothing to lose
+    first = F.lit(True)
+    for k in (*KEY, "seg"):
+        first = first & F.col(f"own.{k}").eqNullSafe(F.col(k))
+    routes = (runs.join(where, ["a", "s"]).where(~first | (F.col("c") > 1))
+              .select(*KEY, "seg", F.explode("shards").alias("shard")).distinct())
     streams = materialize(routes.join(segments, [*KEY, "seg"]), "streams")
     copies = streams.groupBy("shard").agg(F.ceil(F.sum("words") / STREAM).alias("copies"))
     needs = copies.select(F.col("shard").alias("of"), F.col("copies").alias("times"))
