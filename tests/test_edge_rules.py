@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions.hashing import hash_int, seeded_hash
-from wardline.operators import encode, lookup, metrics, models, neighbors, report, sample
+from wardline.operators import encode, lookup, metrics, models, neighbors, report, sample, vocab
 from wardline.sources import sinks
 
 
@@ -68,9 +68,9 @@ def test_null_group_keeps_its_metrics(spark):
 
 def test_one_level_column_has_no_width(spark):
     df = spark.createDataFrame([("x", "u", 1.0), ("x", "v", 2.0), (None, "v", 3.0)], "a string, b string, n double")
-    transform, names = encode.fit_sparse_one_hot(df, ["a", "b"], ["n"])
-    assert names == ["n", "b_v"]
-    assert [list(r["features"].toArray()) for r in transform(df).orderBy("n").collect()] == [[1, 0], [2, 1], [3, 1]]
+    enc = vocab.fit_encoder(df, ["a", "b"], ["n"])
+    assert [r["name"] for r in enc.names(spark).orderBy("idx").collect()] == ["n", "b_v"]
+    assert [list(r["features"].toArray()) for r in enc.vectors(df, ["n"]).orderBy("n").collect()] == [[1, 0], [2, 1], [3, 1]]
 
 
 def test_broken_model_raises_and_missing_one_falls_back(spark, tmpdir_path):

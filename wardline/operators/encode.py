@@ -4,14 +4,14 @@ pipeline, so nothing leaks from test rows) and applied to any frame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardline.functions.codes import (
-    dose_ordinal, icd_coarse_from_root, icd_fine_from_root, icd_root, sanitize_name,
+    dose_ordinal, icd_coarse_from_root, icd_fine_from_root, icd_root,
 )
 from wardline.operators.joins import hot_key_join
+from wardline.operators.vocab import index_levels, level_counts
 from wardline.session import materialize
 
 # Share from which a level counts as heavy for join salting: at most
@@ -94,31 +94,24 @@ def rare_bucket(df: DataFrame, col: str, min_share: float | None = 0.01,
 
 def fit_vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, level, n, idx) for every non-missing level, ``idx`` 0-based in
-    ascending level order.  One scan: columns are unpivoted inside the
-    pipeline and partially aggregated before the shuffle.  Collect it with
-    :func:`vocabulary_levels`, which rejects id-like columns."""
-    if not cols:
-        raise ValueError("no columns")
-    long = df.select(*[_q(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "level")
-    counts = (long.where(F.col("level").isNotNull())
-                  .groupBy("column", "level").agg(F.count(F.lit(1)).cast("long").alias("n")))
-    w = Window.partitionBy("column").orderBy("level")
-    vocab = counts.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
-    return vocab
+    ascending level order, as a table.  For 0/1 columns collect it with
+    :func:`vocabulary_levels`; sparse vectors need no collected levels
+    (``vocab.fit_encoder``)."""
+    counts = materialize(level_counts(df, cols), "levels")
+    return materialize(counts.join(index_levels(counts), ["column", "level"]).select("column", "level", "n", "idx"), "vocabulary")
 
 
 def vocabulary_levels(vocab: DataFrame, max_levels: int = 1000) -> dict[str, list[str]]:
-    """Collect a fitted vocabulary, bounded: the number of levels per column
-    is checked first (a small aggregate), so an id-like column is rejected
-    before any of its levels are ranked or moved; then at most
-    ``max_levels`` levels per column reach the driver."""
+    """Collect a fitted vocabulary for 0/1 columns, which a schema has to name:
+    the number of levels per column is checked first (a small aggregate), then
+    at most ``max_levels`` per column reach the driver.  A column with more is
+    refused; ``vocab.fit_encoder`` encodes any number as a sparse vector."""
     sizes = {r["column"]: r["k"] for r in
              vocab.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
     too_big = sorted(c for c, k in sizes.items() if k > max_levels)
     if too_big:
         raise ValueError(f"columns with more than {max_levels} levels: {too_big}; "
-                         f"bucket rare levels first")
+                         f"bucket rare levels, or encode them by vocab.fit_encoder")
     out: dict[str, list[str]] = {}
     for r in sorted(vocab.select("column", "level").collect(),
                     key=lambda r: (r["column"], r["level"])):
@@ -201,67 +194,3 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     """Pack numeric columns into an ML vector column (JVM-side)."""
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
-
-
-def fit_sparse_one_hot(train: DataFrame, cat_cols: list[str], num_cols: list[str],
-                       out: str = "features", drop_first: bool = True,
-                       max_levels: int = 1000):
-    """Fitted-in-pipeline encoder producing one sparse vector per row: numeric
-    columns followed by one-hot blocks (levels in ascending order).
-
-    Spark's OneHotEncoder drops the *last* slot; with ``alphabetDesc`` order
-    and ``handleInvalid='keep'`` that slot collects unseen and missing
-    levels.  For drop-first, the baseline (alphabetically first training
-    level) is turned into a missing value before indexing, so baseline,
-    unseen and missing rows all get zeros.  Returns (transform function,
-    feature names)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    base = {}
-    if cat_cols:
-        # one pass: baseline (smallest level) and an approximate level count,
-        # so an id-like column is rejected before its levels reach the driver
-        row = train.agg(*[F.min(_q(c).cast("string")).alias(f"min__{c}") for c in cat_cols],
-                        *[F.max(_q(c).cast("string")).alias(f"max__{c}") for c in cat_cols],
-                        *[F.approx_count_distinct(_q(c)).alias(f"k__{c}") for c in cat_cols]
-                        ).first()
-        too_big = [c for c in cat_cols if row[f"k__{c}"] > max_levels]
-        if too_big:
-            raise ValueError(f"columns with more than about {max_levels} levels: {too_big}; "
-                             f"bucket rare levels first")
-        if drop_first:
-            base = {c: row[f"min__{c}"] for c in cat_cols}
-
-        # a column whose levels are all missing, or only the dropped baseline,
-        # has a block of no width
-        empty = {c for c in cat_cols if not row[f"k__{c}"] or (drop_first and row[f"max__{c}"] == row[f"min__{c}"])}
-        cat_cols = [c for c in cat_cols if c not in empty]
-        base = {c: v for c, v in base.items() if c in cat_cols}
-
-    def pre(df: DataFrame) -> DataFrame:
-        if not base:
-            return df.withColumns({c: _q(c).cast("string") for c in cat_cols})
-        return df.withColumns({c: F.when(_q(c).cast("string") == F.lit(base[c]), F.lit(None))
-                                   .otherwise(_q(c).cast("string")) for c in cat_cols})
-
-    # one multi-column indexer: all vocabularies in a single pass
-    idx = StringIndexer(inputCols=cat_cols, outputCols=[f"{c}__idx" for c in cat_cols],
-                        stringOrderType="alphabetDesc", handleInvalid="keep")
-    ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat_cols],
-                        outputCols=[f"{c}__vec" for c in cat_cols], dropLast=True)
-    asm = VectorAssembler(inputCols=num_cols + [f"{c}__vec" for c in cat_cols], outputCol=out,
-                          handleInvalid="keep")
-    model = Pipeline(stages=[idx, ohe, asm] if cat_cols else [asm]).fit(pre(train))
-    names = list(num_cols)
-    for c, labels in zip(cat_cols, model.stages[0].labelsArray if cat_cols else ()):
-        # one slot per level in index order (descending levels)
-        names += [sanitize_name(f"{c}_{lv}") for lv in labels]
-    drop = [f"{c}__idx" for c in cat_cols] + [f"{c}__vec" for c in cat_cols]
-
-    def transform(df: DataFrame) -> DataFrame:
-        return model.transform(pre(df)).drop(*drop)
-    return transform, names
-
-
-def cast_doubles(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: _q(c).cast(T.DoubleType()) for c in cols})

@@ -66,32 +66,48 @@ def mlp(n_features: int, hidden: tuple[int, ...] = (128, 64, 32), max_iter: int
                                           featuresCol=features, labelCol=label)
 
 
-def fit_balanced(train: DataFrame, estimator, balance: str = "none", label: str = "label",
-                 key: str = "key", seed: int = 42):
-    """Resample-then-fit: ``balance`` is 'none', 'resample' (random
-    oversampling keeping the original rows), 'replace' (the minority replaced
-    by draws), 'smote' (synthetic minority rows) or 'weights' (balanced class
-    weights in a ``weight`` column; the estimator must use it)."""
-    if balance == "replace":
-        train = materialize(sample.oversample(train, label, key, seed), "train-replaced")
-    elif balance == "smote":
+def balanced(train: DataFrame, balance: str = "none", label: str = "label", key: str = "key", seed: int = 42) -> DataFrame:
+    """The training rows as ``balance`` wants them:
+
+    'none'; 'resample' (random oversampling that keeps the original rows) and
+    'replace' (the minority replaced by draws), both as multiplicities in a
+    ``weight`` column, so the balanced copy is never written; 'smote' (synthetic
+    minority rows, written once as a table); 'weights' (balanced class weights
+    in ``weight``)."""
+    if balance == "none":
+        return train
+    if balance in ("resample", "replace"):
+        counted = sample.oversample_counts(train, label, key, seed, balance == "resample", "weight")
+        return counted.where("weight > 0").withColumn("weight", F.col("weight").cast("double"))
+    if balance == "smote":
         from pyspark.ml.functions import array_to_vector
 
         from wardline.operators.neighbors import smote
         dense = train.select(key, label, vector_to_array("features").alias("features"))
-        train = materialize(smote(dense, label, key, "features", seed=seed)
-                            .withColumn("features", array_to_vector("features")), "train-smote")
-    elif balance == "resample":
-        # the resampled set is written once as a table: iterative fitters
-        # then read file-sized partitions instead of re-running the draw joins
-        # (or hundreds of tiny shuffle partitions) on every pass
-        train = materialize(sample.oversample(train, label, key, seed, keep_original=True),
-                            "train-resampled")
-    elif balance == "weights":
-        train = sample.with_class_weights(train, label, "weight")
-    elif balance != "none":
-        raise ValueError(f"unknown balance {balance!r}")
-    return estimator.fit(train)
+        return materialize(smote(dense, label, key, "features", seed=seed)
+                           .withColumn("features", array_to_vector("features")), "train-smote")
+    if balance == "weights":
+        return sample.with_class_weights(train, label, "weight")
+    raise ValueError(f"unknown balance {balance!r}")
+
+
+def fit(estimator, train: DataFrame, weight: str = "weight"):
+    """Fit with the ``weight`` column of ``train``, if it has one.  An estimator
+    without weights gets each row as often as its weight says, so it takes
+    multiplicities, but no class weights."""
+    if weight not in train.columns:
+        return estimator.fit(train)
+    if hasattr(estimator, "hasParam") and estimator.hasParam("weightCol"):
+        return estimator.copy({estimator.getParam("weightCol"): weight}).fit(train)
+    if train.where(F.col(weight) != F.floor(weight)).limit(1).count():
+        raise ValueError("the estimator takes no weights; balance it by 'resample', 'replace' or 'smote'")
+    return estimator.fit(sample.expand(train, weight))
+
+
+def fit_balanced(train: DataFrame, estimator, balance: str = "none", label: str = "label",
+                 key: str = "key", seed: int = 42):
+    """Resample-then-fit: :func:`balanced`, then :func:`fit`."""
+    return fit(estimator, balanced(train, balance, label, key, seed))
 
 
 def score(model, df: DataFrame, key: str = "key", label: str = "label",

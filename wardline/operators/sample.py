@@ -101,34 +101,49 @@ def _minority_majority(df: DataFrame, label: str) -> tuple[object, int, object,
     return lo, nlo, hi, nhi
 
 
-def _draw(df_min: DataFrame, n_draws: int, n_min: int, key: str, seed: int) -> DataFrame:
-    """``n_draws`` minority rows drawn with replacement: draw i picks the row
-    of rank 1 + (hash_int(md5('seed:draw:i')) mod n_min)."""
+def draw_counts(df_min: DataFrame, n_draws: int, n_min: int, key: str, seed: int, out: str = "times") -> DataFrame:
+    """``df_min`` with ``out``: how many of ``n_draws`` draws with replacement
+    pick the row.  Draw i picks the row of rank 1 + (hash_int(md5('seed:draw:i'))
+    mod n_min) in seeded-hash order; draws are counted per rank before any join,
+    so what is joined has one row per source row, however many are drawn."""
     spark = df_min.sparkSession
     h = df_min.withColumn(_H, seeded_hash(seed, key))
     ranked = rank_within(h, [], [_H, key], hash_bucket(F.col(_H), BUCKET_DIGITS), "_wl_rn").drop(_H)
     parts = max(1, min(n_draws // 1_000_000 + 1, 100_000))
-    draws = spark.range(0, n_draws, numPartitions=parts).select(
-        F.col("id").alias("_wl_draw"),
-        (F.pmod(hash_int(seeded_hash(seed, F.lit("draw"), F.col("id"))), F.lit(n_min)) + 1)
-        .alias("_wl_rn"))
-    return draws.join(ranked, "_wl_rn").drop("_wl_rn", "_wl_draw")
+    drawn = (spark.range(0, n_draws, numPartitions=parts)
+             .select((F.pmod(hash_int(seeded_hash(seed, F.lit("draw"), F.col("id"))), F.lit(n_min)) + 1).alias("_wl_rn"))
+             .groupBy("_wl_rn").agg(F.count(F.lit(1)).alias("_wl_t")))
+    return (ranked.join(drawn, "_wl_rn", "left").withColumn(out, F.coalesce("_wl_t", F.lit(0)).cast("long"))
+            .select(*[F.col(f"`{c}`") for c in df_min.columns], out))
 
 
-def oversample(df: DataFrame, label: str = "label", key: str = "encounter_id", seed: int = 42,
-               keep_original: bool = False) -> DataFrame:
-    """Random oversampling of the minority class to the majority size.
+def oversample_counts(df: DataFrame, label: str = "label", key: str = "encounter_id", seed: int = 42,
+                      keep_original: bool = False, out: str = "times") -> DataFrame:
+    """Random oversampling of the minority class to the majority size, as a
+    multiplicity: every row of ``df`` with ``out``, the times the balanced set
+    has it (1 for the majority).  No row is copied; a weighted fit reads it as
+    it is.
 
     ``keep_original=False``: the minority is replaced by n_maj draws with
-    replacement (resample-then-concat).  ``True``: all minority rows are kept
-    and n_maj - n_min draws added (the in-pipeline sampler)."""
+    replacement (resample-then-concat), so some rows have 0.  ``True``: all
+    minority rows are kept and n_maj - n_min draws added (in-pipeline sampler)."""
     lo, n_min, hi, n_maj = _minority_majority(df, label)
     mino = df.where(F.col(label) == F.lit(lo))
-    majo = df.where(F.col(label) != F.lit(lo))
-    n_draws = n_maj - n_min if keep_original else n_maj
-    drawn = _draw(mino, n_draws, n_min, key, seed).select(*df.columns)
-    out = majo.unionByName(drawn)
-    return out.unionByName(mino) if keep_original else out
+    majo = df.where(F.col(label) != F.lit(lo)).withColumn(out, F.lit(1).cast("long"))
+    drawn = draw_counts(mino, n_maj - n_min if keep_original else n_maj, n_min, key, seed, out)
+    return majo.unionByName(drawn.withColumn(out, F.col(out) + 1) if keep_original else drawn)
+
+
+def expand(df: DataFrame, times: str = "times") -> DataFrame:
+    """Each row as often as ``times`` says, for methods that take no weights."""
+    copies = F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+    return df.withColumn("_wl_copy", copies).drop("_wl_copy", times)
+
+
+def oversample(df: DataFrame, label: str = "label", key: str = "encounter_id", seed: int = 42,
+               keep_original: bool = False) -> DataFrame:
+    """The balanced rows themselves: :func:`oversample_counts`, expanded."""
+    return expand(oversample_counts(df, label, key, seed, keep_original, "_wl_times"), "_wl_times")
 
 
 def undersample(df: DataFrame, label: str = "label", key: str = "encounter_id",

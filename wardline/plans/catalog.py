@@ -483,6 +483,122 @@ def q_class_weights(spark, sf):
     return r6(sample.class_weights(train))
 
 
+@register("oversample_counts", "WITH " + SPLIT + """,
+mino AS (SELECT encounter_id, label, row_number() OVER (
+    ORDER BY md5(concat_ws(':', '42', CAST(encounter_id AS VARCHAR))), encounter_id) AS rn
+  FROM train WHERE label = 1),
+n AS (SELECT (SELECT count(*) FROM train WHERE label = 0) AS n_maj, (SELECT count(*) FROM mino) AS n_min),
+draws AS (SELECT CAST(('0x' || substr(md5(concat_ws(':', '42', 'draw', CAST(i AS VARCHAR))), 1, 15))
+                    AS BIGINT) % n_min + 1 AS rn
+          FROM (SELECT unnest(range(n_maj)) AS i, n_min FROM n)),
+t AS (SELECT rn, count(*) AS times FROM draws GROUP BY rn)
+SELECT encounter_id, label, CAST(1 AS BIGINT) AS times FROM train WHERE label = 0
+UNION ALL SELECT m.encounter_id, m.label, CAST(coalesce(t.times, 0) AS BIGINT) FROM mino m LEFT JOIN t USING (rn)""")
+def q_oversample_counts(spark, sf):
+    """How often the balanced training set has each row; no row is copied."""
+    return sample.oversample_counts(train_table(spark, sf), "label", "encounter_id", SEED)
+
+
+# ------------------------------------------------------------------ 4b. encoders of training folds
+
+K = 4
+FOLDS = SPLIT + f""",
+folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY label
+    ORDER BY md5(concat_ws(':', '42', CAST(encounter_id AS VARCHAR))), encounter_id) - 1) % {K} AS INTEGER) AS fold FROM train),
+ks AS (SELECT CAST(unnest(range({K})) AS INTEGER) AS f)"""
+
+
+def _folded(spark, sf, *cols):
+    """Columns of the train split in four stratified folds, as a table."""
+    train, _ = sample.train_test(split(spark, sf).select("encounter_id", "label", *cols, "is_test"))
+    return materialize(sample.folds_stratified(train, K, "label", "encounter_id", SEED), "folds")
+
+
+_FOLD_NUM = ["time_in_hospital", "num_medications", "number_inpatient", "number_diagnoses"]
+
+
+@register("fold_scalers", "WITH " + FOLDS + "\n" + "\nUNION ALL ".join(
+    f"""SELECT f AS fold, '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, round(avg({c}), 6) AS mean,
+  round(stddev_pop({c}), 6) AS sd FROM ks JOIN folded ON fold <> f GROUP BY f""" for c in _FOLD_NUM))
+def q_fold_scalers(spark, sf):
+    """Mean and deviation of every training fold from one scan."""
+    from wardline.operators import folds
+    return r6(folds.fold_scalers(_folded(spark, sf, *_FOLD_NUM), _FOLD_NUM))
+
+
+_FOLD_CATS = ["race", "medical_specialty", "diag_1"]
+
+
+@register("fold_vocabulary", "WITH " + FOLDS + """,
+l AS (""" + "\nUNION ALL ".join(f"SELECT DISTINCT f, '{c}' AS c, {c} AS level FROM ks JOIN folded ON fold <> f WHERE {c} IS NOT NULL"
+                                for c in _FOLD_CATS) + """)
+SELECT f AS fold, c AS "column", level, CAST(row_number() OVER (PARTITION BY f, c ORDER BY level) - 1 AS INTEGER) AS idx FROM l""")
+def q_fold_vocabulary(spark, sf):
+    """The levels each training fold knows, and their places."""
+    from wardline.operators import folds
+    f = _folded(spark, sf, *_FOLD_CATS)
+    return folds.fold_vocabulary(folds.fold_levels(f, _FOLD_CATS), K).select("fold", "column", "level", "idx")
+
+
+@register("fold_patient_share", "WITH " + FOLDS + """,
+n AS (SELECT f, count(patient_nbr) AS n FROM ks JOIN folded ON fold <> f GROUP BY f),
+s AS (SELECT f, patient_nbr, count(*) AS c FROM ks JOIN folded ON fold <> f WHERE patient_nbr IS NOT NULL GROUP BY 1, 2)
+SELECT x.encounter_id, x.fold, """ + ", ".join(
+    f"round(coalesce((SELECT c FROM s WHERE f = {i} AND s.patient_nbr = x.patient_nbr) / (SELECT n FROM n WHERE f = {i}), -1), 6) AS share_{i}"
+    for i in range(K)) + """
+FROM folded x""")
+def q_fold_patient_share(spark, sf):
+    """The patient's share of the rows outside each fold (-1: unseen there)."""
+    from wardline.operators import folds
+    f = _folded(spark, sf, "patient_nbr")
+    levels = folds.fold_levels(f, ["patient_nbr"])
+    total = folds.fold_totals(levels)["patient_nbr"]
+    w = folds.with_fold_counts(f, "patient_nbr", levels, "seen")
+    return r6(w.select("encounter_id", "fold", *[F.coalesce(folds.share("seen", total, i), F.lit(-1.0)).alias(f"share_{i}") for i in range(K)]))
+
+
+@register("fold_rare_levels", "WITH " + FOLDS + """,
+n AS (SELECT f, count(discharge_disposition_id) AS n FROM ks JOIN folded ON fold <> f GROUP BY f),
+s AS (SELECT f, discharge_disposition_id AS d FROM ks JOIN folded ON fold <> f JOIN n USING (f)
+      WHERE discharge_disposition_id IS NOT NULL GROUP BY f, d, n HAVING count(*) / n >= 0.03)
+SELECT encounter_id, """ + ", ".join(
+    f"CASE WHEN discharge_disposition_id IN (SELECT d FROM s WHERE f = {i}) THEN CAST(discharge_disposition_id AS VARCHAR) ELSE 'Other' END AS level_{i}"
+    for i in range(K)) + """
+FROM folded""")
+def q_fold_rare_levels(spark, sf):
+    """Discharge codes that hold 3 % of the rows outside each fold; the rest is
+    one level."""
+    from wardline.operators import folds
+    c = "discharge_disposition_id"
+    f = _folded(spark, sf, c)
+    levels = folds.fold_levels(f, [c])
+    total = folds.fold_totals(levels)[c]
+    w = folds.with_fold_counts(f, c, levels, "seen")
+    return w.select("encounter_id", *[folds.frequent(c, "seen", total, i, 0.03).alias(f"level_{i}") for i in range(K)])
+
+
+_SPARSE = ["race", "diag_1", "patient_nbr"]
+
+
+@register("sparse_one_hot", "WITH " + SPLIT + """,
+x AS (SELECT encounter_id, is_test, time_in_hospital, """ + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _SPARSE) + """ FROM split),
+v AS (""" + "\nUNION ALL ".join(
+    f"SELECT {i} AS k, level, row_number() OVER (ORDER BY level) - 1 AS p FROM (SELECT DISTINCT {c} AS level FROM x WHERE is_test = 0 AND {c} IS NOT NULL)"
+    for i, c in enumerate(_SPARSE)) + """),
+w AS (SELECT k, (SELECT coalesce(sum(m), 0) FROM (SELECT k AS j, count(*) - 1 AS m FROM v GROUP BY k) WHERE j < q.k) AS off FROM (SELECT DISTINCT k FROM v) q)
+SELECT encounter_id, 0 AS idx, CAST(time_in_hospital AS DOUBLE) AS value FROM x WHERE time_in_hospital <> 0
+""" + "\n".join(f"UNION ALL SELECT encounter_id, CAST(off + p AS INTEGER), 1.0 FROM x JOIN v ON v.k = {i} AND v.level = x.{c} JOIN w ON w.k = {i} WHERE p > 0"
+                for i, c in enumerate(_SPARSE)))
+def q_sparse_one_hot(spark, sf):
+    """The non-zero entries of the fitted encoding, with a column of one level
+    per patient; unknown and missing levels have none."""
+    from wardline.operators import vocab
+    sp = split_table(spark, sf, "time_in_hospital", *_SPARSE)
+    enc = vocab.fit_encoder(sp.where(F.col("is_test") == 0), _SPARSE, ["time_in_hospital"])
+    e = enc.entries(sp, "e")
+    return e.select("encounter_id", F.explode("e").alias("x")).select("encounter_id", "x.idx", "x.value")
+
+
 # ------------------------------------------------------------------ 5. metrics
 
 def _cells_sql(pred: str) -> str:
@@ -795,7 +911,7 @@ def q_fit_gbt(spark, sf):
 def q_fit_mlp(spark, sf):
     """Feed-forward network 128-64-32 on the oversampled train split."""
     from wardline.operators import models
-    return _fit_eval(spark, sf, "mlp", lambda p: models.mlp(len(p.feature_names), (128, 64, 32),
+    return _fit_eval(spark, sf, "mlp", lambda p: models.mlp(p.encoder.size, (128, 64, 32),
                                                              max_iter=100, seed=SEED), "resample")
 
 
@@ -803,18 +919,18 @@ def q_fit_mlp(spark, sf):
 
 @register("cv_scores")
 def q_cv_scores(spark, sf):
-    """Seeded random search: 4 forest configurations x 4 stratified folds on
-    the train split, oversampling inside each training fold; score F1."""
+    """Seeded random search: 4 forest configurations x 4 stratified folds of the
+    train split; encoders are fitted and the classes balanced inside each
+    training fold; score F1."""
     from wardline.operators import models, tune
-    p = _prepared(spark, sf)
-    folded = materialize(sample.folds_stratified(p.train, 4, "label", "encounter_id", SEED),
-                         "folds")
+    from wardline.plans.readmission import prepare_folds
+    enc = prepare_folds(spark, sf, 4, SEED)
     space = {"num_trees": ("int", 10, 60), "max_depth": ("int", 3, 10),
              "min_leaf": ("int", 1, 5)}
     configs = tune.draw_configs(spark, space, 4, SEED)
-    scores = tune.cv_scores(folded, configs, lambda c: models.forest(
+    scores = tune.cv_scores(enc.df, configs, lambda c: models.forest(
         c["num_trees"], c["max_depth"], c["min_leaf"], seed=SEED), "f1", "resample",
-        "encounter_id", "fold", 4, SEED)
+        "encounter_id", "fold", 4, SEED, enc.frame)
     return configs.join(tune.summarize(scores), "config")
 
 
@@ -1044,17 +1160,17 @@ def q_smote_rows(spark, sf):
 @register("readmission_end_to_end")
 def q_readmission_end_to_end(spark, sf):
     """Leak-free run: prepare (fit on train only) -> 3 stratified folds of the
-    train split -> seeded search over 3 logistic configurations with
-    oversampling inside each training fold (F1) -> best configuration ->
-    refit on the oversampled train split -> test metrics."""
+    train split, encoders fitted per fold -> seeded search over 3 logistic
+    configurations with oversampling inside each training fold (F1) -> best
+    configuration -> refit on the oversampled train split -> test metrics."""
     from wardline.operators import models, tune
-    p = _prepared(spark, sf)
-    folded = materialize(sample.folds_stratified(p.train, 3, "label", "encounter_id", SEED),
-                         "folds")
+    from wardline.plans.readmission import prepare_folds
+    enc = prepare_folds(spark, sf, 3, SEED)
     configs = tune.draw_configs(spark, {"reg": ("logfloat", 1e-4, 1e-1)}, 3, SEED)
-    scores = tune.cv_scores(folded, configs, lambda c: models.logistic(max_iter=100).setRegParam(
-        c["reg"]), "f1", "resample", "encounter_id", "fold", 3, SEED)
+    scores = tune.cv_scores(enc.df, configs, lambda c: models.logistic(max_iter=100).setRegParam(
+        c["reg"]), "f1", "resample", "encounter_id", "fold", 3, SEED, enc.frame)
     best = tune.best_config(scores).join(configs, "config").first()
+    p = _prepared(spark, sf)
     final = models.fit_balanced(p.train, models.logistic(max_iter=100).setRegParam(best["reg"]),
                                 "resample", "label", "encounter_id", SEED)
     sc = models.score(final, p.test, "encounter_id")

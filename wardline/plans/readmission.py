@@ -4,7 +4,7 @@ only and then applied to both splits.
 
     encounters -> clean (drop weight, '?' -> Unknown, gender / hospice filters)
     -> label, yes/no flags, dose ordinals, ICD groups, lookup of admission type
-    -> drop constant columns -> stratified split
+    -> stratified split -> drop dose columns that are constant in train
     -> fit on train: patient frequency, discharge rare-level bucket,
        one-hot vocabulary, population scaler
     -> apply to train and test -> feature vector
@@ -12,12 +12,14 @@ only and then applied to both splits.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators import clean, encode, lookup, sample
+from wardline.operators.folds import FoldEncoders, fit_fold_encoders
+from wardline.operators.vocab import SparseEncoder, fit_encoder
 from wardline.plans import standins as S
 from wardline.session import materialize
 from wardline.sources.tables import DRUG_COLUMNS
@@ -33,10 +35,9 @@ NUMERIC = ["time_in_hospital", "num_lab_procedures", "num_procedures", "num_medi
 
 @dataclass
 class Prepared:
-    train: DataFrame            # encounter_id, label, features (+ raw columns)
+    train: DataFrame            # encounter_id, label, features
     test: DataFrame
-    feature_names: list[str]
-    raw_columns: list[str] = field(default_factory=list)
+    encoder: SparseEncoder      # fitted on train: names, widths, vocabulary
 
 
 def without_excluded(enc: DataFrame) -> DataFrame:
@@ -60,42 +61,48 @@ def clean_encounters(enc: DataFrame, lookups: DataFrame) -> DataFrame:
     return e
 
 
-def prepare(spark: SparkSession, sf_dir: str, seed: int = 42, test_size: float = 0.3,
-            drugs_as_category: bool = True) -> Prepared:
+def clean_split(spark: SparkSession, sf_dir: str, seed: int = 42,
+                test_size: float = 0.3) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows with is_test, category columns, numeric columns): everything up to
+    the split, as a table in the shared checkpoint folder, so what is fitted on
+    it reads a short plan.  Nothing here is fitted but the choice of dose columns,
+    which looks at train alone: a constant one carries nothing."""
     enc = S.encounters(spark, sf_dir)
     lk = lookup.parse_stacked_lookup(S.lookup_lines(spark, sf_dir))
     e = clean_encounters(enc, lk)
-    e = sample.split_stratified(e, "label", "encounter_id", test_size, seed)
-    # A table in the shared checkpoint folder: a short plan for everything
-    # fitted below, computed once, and no recomputation of the cleaning when
-    # an executor is lost.
-    e = materialize(e, "clean-split")
-    e = clean.drop_constant(e, DRUGS)            # constant dose columns carry nothing
-    drugs = [d for d in DRUGS if d in e.columns]
-    train = e.where(F.col("is_test") == 0)
+    e = e.withColumns({d: F.col(f"`{d}`").cast("int").cast("string") for d in DRUGS})
+    used = [c for c in CATEGORICAL if c != "disch_reduced"] + [c for c in NUMERIC if c != "patient_freq"] + DRUGS
+    e = e.select("encounter_id", "label", "patient_nbr", "discharge_disposition_id", *[F.col(f"`{c}`") for c in used])
+    e = materialize(sample.split_stratified(e, "label", "encounter_id", test_size, seed), "clean-split")
+    constant = clean.constant_column_names(e.where(F.col("is_test") == 0), DRUGS)
+    return e.drop(*constant), CATEGORICAL + [d for d in DRUGS if d not in constant], list(NUMERIC)
+
 
-    # fitted on train only
+def prepare(spark: SparkSession, sf_dir: str, seed: int = 42, test_size: float = 0.3) -> Prepared:
+    """Both splits as sparse vectors, with everything fitted on train alone."""
+    e, cats, nums = clean_split(spark, sf_dir, seed, test_size)
+    train = e.where(F.col("is_test") == 0)
     e = encode.frequency_encode(e, "patient_nbr", "patient_freq", fit_on=train)
     e = encode.rare_bucket(e, "discharge_disposition_id", min_share=0.01, out="disch_reduced",
                            fit_on=train)
-    cats = list(CATEGORICAL)
-    nums = list(NUMERIC)
-    if drugs_as_category:
-        e = e.withColumns({d: F.col(d).cast("int").cast("string") for d in drugs})
-        cats += drugs
-    else:
-        nums += drugs
-    e = materialize(e.select("encounter_id", "label", "is_test", *nums, *cats), "encoded")
+    e = materialize(e.select("encounter_id", "label", "is_test", *nums, *[F.col(f"`{c}`") for c in cats]), "encoded")
     train = e.where(F.col("is_test") == 0)
-    stats = encode.fit_scaler(train, nums)
-    x = encode.apply_scaler(e, stats).fillna(0.0, subset=nums)
-    x = x.select("encounter_id", "label", "is_test", *nums, *cats)
-    to_vec, names = encode.fit_sparse_one_hot(x.where(F.col("is_test") == 0), cats, nums)
-    vec = to_vec(x).select("encounter_id", "label", "is_test", "features")
+    x = encode.apply_scaler(e, encode.fit_scaler(train, nums)).fillna(0.0, subset=nums)
+    enc = fit_encoder(train, cats, nums)
     # the many fits that follow read this table, not the lineage
-    vec = materialize(vec, "features")
-    tr, te = sample.train_test(vec)
-    return Prepared(tr, te, names, cats + nums)
+    tr, te = sample.train_test(enc.vectors(x, ["encounter_id", "label", "is_test"]))
+    return Prepared(tr, te, enc)
+
+
+def prepare_folds(spark: SparkSession, sf_dir: str, k: int, seed: int = 42) -> FoldEncoders:
+    """The train split in k stratified folds, with encoders fitted per fold on
+    the rows outside it: patient share, rare discharge levels, vocabulary,
+    scaler."""
+    e, cats, nums = clean_split(spark, sf_dir, seed)
+    train, _ = sample.train_test(e)
+    folded = materialize(sample.folds_stratified(train, k, "label", "encounter_id", seed), "folds")
+    return fit_fold_encoders(folded, "encounter_id", "label", cats, nums, {"patient_freq": "patient_nbr"},
+                             {"disch_reduced": ("discharge_disposition_id", 0.01)})
 
 
 RAW = ["time_in_hospital", "num_lab_procedures", "num_procedures", "num_medications", "number_outpatient",
