@@ -396,7 +396,8 @@ def remove_passages(df: DataFrame, length: int = 20, keep_text: bool = False) ->
     if length < 2:
         raise ValueError("a passage has two words at least")
     docs = numbered(df)
-    spans = repeated(docs, length).groupBy(*KEY).agg(F.collect_set(F.struct("wstart", "wn")).alias("spans"))
+    # written, so that what the streams shuffled is gone before the texts move
+    spans = materialize(repeated(docs, length).groupBy(*KEY).agg(F.collect_set(F.struct("wstart", "wn")).alias("spans")), "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
