@@ -8,13 +8,17 @@ it with one distributed ``transform`` – no driver loop per feature.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.hashing import hash_int, seeded_hash
-from wardline.operators.order import rank_within
+from wardline.operators import metrics
+from wardline.operators.order import rank_within, scan_before
+from wardline.session import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]   # adds a probability column "p"
 
@@ -49,62 +53,119 @@ def to_long(wide: DataFrame, key: str, prefix: str = "phi_") -> DataFrame:
         "feature", F.expr(f"substring(feature, {len(prefix) + 1})"))
 
 
+#: Multipliers of the donor bijection stay below this, so that a multiplier times
+#: a position fits a BIGINT up to 2^43 rows.
+MULTIPLIERS = 1 << 20
+
+
+def donor_keys(features: list[str], n_repeats: int, n: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """(feature, repeat, a, b) of every copy: the row at position x gets its value
+    from position (a * x + b) mod n.  ``a`` has no factor in common with n, so
+    each row gives its value exactly once; both come from md5 of the copy."""
+    out = []
+    for f in features:
+        for r in range(n_repeats):
+            h = hashlib.md5(f"{seed}:perm:{f}:{r}".encode()).hexdigest()
+            a = int(h[:15], 16) % min(MULTIPLIERS, max(n, 2)) + 1
+            while math.gcd(a, n) != 1:
+                a = a % min(MULTIPLIERS, max(n, 2)) + 1
+            out.append((f, r, a, int(h[15:30], 16) % max(n, 1)))
+    return out
+
+
+def permuted(df: DataFrame, features: list[str], key: str, n_repeats: int, seed: int = 42) -> DataFrame:
+    """All copies of ``df`` for permutation importance: (_wl_f, _wl_r) and the
+    columns of ``df``, with the column named by ``_wl_f`` taken from the row's
+    donor.  ``features`` are numeric columns.
+
+    Rows get a position in a seeded order once.  A copy's donor is arithmetic on
+    the position, so only (position, donor, value) move: the values of a column
+    are joined by donor, gathered per row (features x repeats of them) and put
+    into the row as it is copied."""
+    h0 = "_wl_h0"
+    base = rank_within(df.withColumn(h0, seeded_hash(seed, key)), [], [h0, key], F.substring(h0, 1, 4), "_wl_pos").drop(h0)
+    base = materialize(base.withColumn("_wl_pos", F.col("_wl_pos") - 1), "positions")
+    rows = base.count()
+    keys, n = donor_keys(features, n_repeats, rows, seed), F.lit(rows)
+    copies = F.array(*[F.struct(F.lit(features.index(f)).alias("f"), F.lit(r).alias("r"),
+                                F.pmod(F.lit(a) * F.col("_wl_pos") + F.lit(b), n).alias("donor")) for f, r, a, b in keys])
+    asks = base.select(F.col("_wl_pos").alias("pos"), F.explode(copies).alias("x")).select("pos", "x.f", "x.r", "x.donor")
+    values = base.select(F.col("_wl_pos").alias("donor"), F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in features])).alias("f", "v"))
+    got = asks.join(values, ["f", "donor"]).groupBy("pos").agg(F.collect_list(F.struct("f", "r", "v")).alias("_wl_x"))
+    whole = base.join(got, F.col("_wl_pos") == F.col("pos")).withColumn("_wl_x", F.explode("_wl_x"))
+    types = dict(df.dtypes)
+    new = {c: F.when(F.col("_wl_x.f") == i, F.col("_wl_x.v").cast(types[c])).otherwise(F.col(f"`{c}`")) for i, c in enumerate(features)}
+    return whole.select(F.array(*[F.lit(c) for c in features])[F.col("_wl_x.f")].alias("_wl_f"), F.col("_wl_x.r").alias("_wl_r"),
+                       *[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
+def _scored(df: DataFrame, score: str, label: str, threshold: float, group: list[str]) -> DataFrame:
+    """(group..., s): one score of (label, p), the higher the better."""
+    if score == "accuracy":
+        hit = ((F.col("p") > threshold).cast("int") == F.col(label)).cast("double")
+        return df.groupBy(*group).agg(F.avg(hit).alias("s"))
+    if score == "log_loss":
+        return metrics.log_loss(df, label, "p", group).select(*group, (-F.col("log_loss")).alias("s"))
+    if score == "auc":
+        return metrics.roc_auc(df, label, "p", group).select(*group, F.col("auc").alias("s"))
+    raise ValueError(f"unknown score {score!r}")
+
+
 def permutation_importance(df: DataFrame, features: list[str], scorer: Scorer,
                            key: str, label: str = "label", n_repeats: int = 10,
-                           seed: int = 42, threshold: float = 0.5) -> DataFrame:
-    """(feature, importance_mean, importance_std): drop in accuracy when one
-    feature's values are shuffled across rows, over ``n_repeats`` seeded
-    shuffles.  Every (feature, repeat) copy of the frame is built at once –
-    the shuffle is a join between the row's position and the position of its
-    donor in a seeded order – and scored in one job."""
-    h0 = "_wl_h0"
-    base = df.withColumn(h0, seeded_hash(seed, key))
-    base = rank_within(base, [], [h0, key], F.substring(h0, 1, 3), "_wl_pos").drop(h0)
-    # each row appears once per (feature, repeat)
-    ex = base.withColumn("_wl_g", F.explode(F.array(*[
-        F.struct(F.lit(f).alias("_wl_f"), F.lit(r).alias("_wl_r"))
-        for f in features for r in range(n_repeats)]))).select("*", "_wl_g.*").drop("_wl_g")
-    # donor positions: rank inside each (feature, repeat) in a seeded order,
-    # bucketed so no (feature, repeat) copy sits in one task
-    hp = seeded_hash(seed, F.lit("perm"), F.col("_wl_f"), F.col("_wl_r"), F.col(key))
-    donors = rank_within(
-        ex.select("_wl_f", "_wl_r", key, hp.alias("_wl_hp"),
-                  F.struct(*[F.col(f"`{c}`") for c in features]).alias("_wl_d")),
-        ["_wl_f", "_wl_r"], ["_wl_hp", key], F.substring("_wl_hp", 1, 2), "_wl_pos"
-    ).select("_wl_f", "_wl_r", "_wl_pos", "_wl_d")
-    j = ex.join(donors, ["_wl_f", "_wl_r", "_wl_pos"])
-    permuted = j.withColumns({c: F.when(F.col("_wl_f") == c, F.col(f"_wl_d.`{c}`"))
-                              .otherwise(F.col(f"`{c}`")) for c in features}).drop("_wl_d")
-    def acc():
-        return F.avg(((F.col("p") > threshold).cast("int") == F.col(label)).cast("double"))
-
-    base_acc = scorer(df).agg(acc().alias("a")).first()["a"]
-    per = scorer(permuted).groupBy("_wl_f", "_wl_r").agg(acc().alias("acc"))
+                           seed: int = 42, threshold: float = 0.5, score: str = "accuracy") -> DataFrame:
+    """(feature, importance_mean, importance_std): drop in ``score`` ('accuracy',
+    'log_loss' or 'auc') when one feature's values are shuffled across rows, over
+    ``n_repeats`` seeded shuffles (:func:`permuted`), all scored in one pass.
+
+    ``features`` may be 0/1 columns of a one-hot frame whose scorer turns them
+    back into levels first (``encode.inverse_one_hot``)."""
+    base = _scored(scorer(df), score, label, threshold, []).first()["s"]
+    got = scorer(permuted(df, features, key, n_repeats, seed)).select("_wl_f", "_wl_r", label, "p")
+    if score == "auc":
+        got = materialize(got, "permuted-scores")  # read by both levels of the scan
+    per = _scored(got, score, label, threshold, ["_wl_f", "_wl_r"])
     return (per.groupBy(F.col("_wl_f").alias("feature"))
-               .agg(F.avg(F.lit(base_acc) - F.col("acc")).alias("importance_mean"),
-                    F.stddev_pop(F.lit(base_acc) - F.col("acc")).alias("importance_std")))
+               .agg(F.avg(F.lit(base) - F.col("s")).alias("importance_mean"),
+                    F.stddev_pop(F.lit(base) - F.col("s")).alias("importance_std")))
+
+
+def draw_weighted(background: DataFrame, key: str, weight: str, n: int) -> tuple[DataFrame, int, int]:
+    """(rows, total weight, bucket width); the rows are ``background`` with ``_wl_lo`` and ``_wl_at``: row i is the one drawn for
+    every u in [_wl_lo, _wl_lo + weight), and once per bucket of width
+    ceil(total / n) that this range meets (inverse of the cumulative weights, so
+    heavier rows have more buckets, about two per row on average)."""
+    total = background.agg(F.sum(weight)).first()[0] or 0
+    width = max(1, -(-int(total) // max(n, 1)))
+    low = scan_before(background.where(F.col(weight) > 0), [], [key], {"_wl_lo": F.col(weight).cast("long")})
+    last = F.floor((F.col("_wl_lo") + F.col(weight) - 1) / width)
+    return low.withColumn("_wl_at", F.explode(F.sequence(F.floor(F.col("_wl_lo") / width), last))), int(total), width
 
 
 def shapley_sampled(explain: DataFrame, background: DataFrame, features: list[str],
-                    scorer: Scorer, key: str, n_perm: int = 8, seed: int = 42) -> DataFrame:
-    """(key, feature, phi): sampled-permutation Shapley values.  For each
-    explained row and each of ``n_perm`` seeded feature orders, a background
-    row is drawn; features switch from background to the row one at a time in
+                    scorer: Scorer, key: str, n_perm: int = 8, seed: int = 42,
+                    weight: str | None = None, keep_base: bool = False) -> DataFrame:
+    """(key, feature, phi[, base, full]): sampled-permutation Shapley values.
+
+    For each explained row and each of ``n_perm`` seeded feature orders, a
+    background row is drawn, uniformly or by its integer ``weight`` (centroids
+    with sizes); features switch from background to the row one at a time in
     that order and each switch's change in ``p`` is that feature's marginal
-    contribution.  Per row, the values sum to p(x) minus the mean p of its
-    drawn background rows."""
+    contribution.  Per row, the values sum to ``full``, its p, minus ``base``, the
+    mean p of its drawn background rows."""
     m = len(features)
     bgk = "_wl_bk"
-    bg = background.select(F.col(key).alias(bgk), *[F.col(f"`{c}`") for c in features])
-    bg = rank_within(bg.withColumn("_wl_h", seeded_hash(seed, F.lit("bg"), F.col(bgk))), [],
-                     ["_wl_h", bgk], F.substring("_wl_h", 1, 3), "_wl_brn").drop("_wl_h")
-    n_bg = bg.count()
-    ex = explain.select(key, *[F.col(f"`{c}`") for c in features]).withColumn(
-        "_wl_j", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    ex = ex.withColumn("_wl_brn", F.pmod(hash_int(seeded_hash(seed, F.lit("pick"), F.col(key),
-                                                              F.col("_wl_j"))), F.lit(n_bg)) + 1)
-    z = bg.select("_wl_brn", F.struct(*[F.col(f"`{c}`") for c in features]).alias("_wl_z"))
-    ex = ex.join(z, "_wl_brn")
+    cols = [F.col(f"`{c}`") for c in features]
+    bg = background.select(F.col(key).alias(bgk), *cols, (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("_wl_w"))
+    bg = materialize(bg, "background")
+    ranges, total, width = draw_weighted(bg, bgk, "_wl_w", bg.count())
+    if not total:
+        raise ValueError("the background has no rows")
+    z = ranges.select("_wl_at", "_wl_lo", (F.col("_wl_lo") + F.col("_wl_w")).alias("_wl_hi"), F.struct(*cols).alias("_wl_z"))
+    ex = explain.select(key, *cols).withColumn("_wl_j", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    u = F.pmod(hash_int(seeded_hash(seed, F.lit("pick"), F.col(key), F.col("_wl_j"))), F.lit(total))
+    ex = ex.withColumn("_wl_u", u).withColumn("_wl_at", F.floor(F.col("_wl_u") / width))
+    ex = ex.join(z, "_wl_at").where((F.col("_wl_lo") <= F.col("_wl_u")) & (F.col("_wl_u") < F.col("_wl_hi")))
     order = F.array_sort(F.array(*[F.struct(seeded_hash(seed, F.lit("ord"), F.col(key),
                                                         F.col("_wl_j"), F.lit(c)).alias("h"),
                                             F.lit(c).alias("f")) for c in features]))
@@ -115,18 +176,20 @@ def shapley_sampled(explain: DataFrame, background: DataFrame, features: list[st
         c: F.when(F.array_position("_wl_ord", F.lit(c)) <= F.col("_wl_s"), F.col(f"`{c}`"))
             .otherwise(F.col(f"_wl_z.`{c}`")) for c in features})
     scored = scorer(mixed.drop("_wl_z"))
-    w = Window.partitionBy(key, "_wl_j").orderBy("_wl_s")
-    marg = (scored.select(key, "_wl_j", "_wl_s", "_wl_ord",
-                          (F.col("p") - F.lag("p").over(w)).alias("_wl_d"))
-                  .where(F.col("_wl_s") > 0)
-                  .select(key, F.element_at("_wl_ord", F.col("_wl_s")).alias("feature"),
-                          F.col("_wl_d")))
-    return marg.groupBy(key, "feature").agg(F.avg("_wl_d").alias("phi"))
+    # the steps of one row and order: features + 1 numbers
+    walk = scored.select(key, "_wl_j", "_wl_ord", F.struct("_wl_s", "p").alias("x")).groupBy(key, "_wl_j", "_wl_ord").agg(
+        F.array_sort(F.collect_list("x")).alias("x"))
+    marg = walk.select(key, F.posexplode("_wl_ord").alias("i", "feature"), "x").select(
+        key, "feature", (F.col("x")[F.col("i") + 1]["p"] - F.col("x")[F.col("i")]["p"]).alias("d"),
+        F.col("x")[0]["p"].alias("z"), F.element_at("x", -1)["p"].alias("y"))
+    out = marg.groupBy(key, "feature").agg(F.avg("d").alias("phi"), F.avg("z").alias("base"), F.avg("y").alias("full"))
+    return out if keep_base else out.drop("base", "full")
 
 
 def kmeans_summary(df: DataFrame, k: int = 100, features: str = "features",
                    seed: int = 42) -> DataFrame:
-    """Weighted background summary: (cluster, size, centroid) of k-means."""
+    """Weighted background summary: (cluster, size, centroid) of k-means; at
+    most k rows, fewer if there are fewer distinct points."""
     from pyspark.ml.clustering import KMeans
     model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(df)
     sizes = model.transform(df).groupBy("cluster").agg(F.count(F.lit(1)).cast("long").alias("size"))
@@ -135,3 +198,10 @@ def kmeans_summary(df: DataFrame, k: int = 100, features: str = "features",
                                    for i, c in enumerate(model.clusterCenters())],
                                   "cluster int, centroid array<double>")
     return cents.join(sizes, "cluster", "left").fillna(0, subset=["size"])
+
+
+def centroid_background(summary: DataFrame, features: list[str], key: str) -> DataFrame:
+    """The centroids of :func:`kmeans_summary` as background rows: ``key`` (the
+    cluster), the feature columns and ``size``, their weight."""
+    return summary.select(F.col("cluster").cast("long").alias(key), "size",
+                          *[F.col("centroid")[i].alias(c) for i, c in enumerate(features)])

@@ -689,6 +689,35 @@ def q_threshold_sweep(spark, sf):
     return r6(metrics.threshold_sweep(_scores(spark, sf), THRESHOLDS, "label", "p"))
 
 
+_CURVE_SQL = SCORES + """,
+per AS (SELECT subgroup, p AS threshold, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+               sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS neg FROM sc WHERE p IS NOT NULL GROUP BY 1, 2),
+cum AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY subgroup) AS pp,
+               sum(neg) OVER (PARTITION BY subgroup) AS nn
+        FROM per WINDOW w AS (PARTITION BY subgroup ORDER BY threshold DESC)),
+curve AS (SELECT subgroup, threshold, pos, tp, fp, pp - tp AS fn, nn - fp AS tn,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS recall,
+  CASE WHEN 5 * tp + 4 * (pp - tp) + fp > 0 THEN 5 * tp / (5 * tp + 4 * (pp - tp) + fp) ELSE 0 END AS fbeta FROM cum)"""
+
+
+@register("pr_points", "WITH " + _CURVE_SQL + """
+SELECT subgroup, round(threshold, 6) AS threshold, """ + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("pos", "tp", "fp", "fn", "tn")) + """,
+       round(precision, 6) AS precision, round(recall, 6) AS recall, round(fbeta, 6) AS fbeta FROM curve""")
+def q_pr_points(spark, sf):
+    """Precision, recall and F2 at every distinct score, per subgroup."""
+    return r6(metrics.pr_curve(_scores(spark, sf), "label", "p", ["subgroup"], 2.0))
+
+
+@register("best_threshold", "WITH " + _CURVE_SQL + """
+SELECT subgroup, round(max_by(threshold, (fbeta, threshold)), 6) AS threshold, round(max_by(precision, (fbeta, threshold)), 6) AS precision,
+       round(max_by(recall, (fbeta, threshold)), 6) AS recall, round(max(fbeta), 6) AS fbeta,
+       round(sum(pos * precision) / sum(pos), 6) AS average_precision FROM curve GROUP BY subgroup""")
+def q_best_threshold(spark, sf):
+    """The score with the best F2 of each subgroup, and average precision."""
+    curve = metrics.pr_curve(_scores(spark, sf), "label", "p", ["subgroup"], 2.0)
+    return r6(metrics.best_threshold(curve, ["subgroup"]))
+
+
 @register("metrics_by_group", "WITH " + SCORES + """,
 c AS (SELECT subgroup, CAST(count(*) AS BIGINT) AS n, """ + _cells_sql("CAST(p > 0.5 AS INTEGER)")
     + """ FROM sc GROUP BY subgroup),
@@ -934,6 +963,25 @@ def q_cv_scores(spark, sf):
     return configs.join(tune.summarize(scores), "config")
 
 
+_SPACE = {"num_trees": ("int", 50, 1000), "subsample": ("float", 0.6, 1.0), "step": ("logfloat", 0.01, 0.3),
+          "subset": ("cat", ["sqrt", "log2", "all"])}
+
+
+def _sql_u(name: str) -> str:
+    return f"CAST(('0x' || substr(md5(concat('42:{name}:', CAST(config AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@register("draw_configs", f"""
+SELECT CAST(config AS INTEGER) AS config, CAST(least(1000, floor(50 + {_sql_u('num_trees')} * 951)) AS INTEGER) AS num_trees,
+  round(0.6 + {_sql_u('subsample')} * (1.0 - 0.6), 6) AS subsample, round(exp(ln(0.01) + {_sql_u('step')} * (ln(0.3) - ln(0.01))), 6) AS step,
+  ['sqrt', 'log2', 'all'][CAST(least(2, floor({_sql_u('subset')} * 3)) AS INTEGER) + 1] AS subset
+FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS config)""")
+def q_draw_configs(spark, sf):
+    """As many seeded configurations of a mixed search space as there are customers."""
+    from wardline.operators import tune
+    return r6(tune.draw_configs(spark, _SPACE, S.read_table(spark, sf, "customer").count(), SEED))
+
+
 _TRIALS_SQL = """SELECT CAST(user_id % 20 AS INTEGER) AS config, CAST(event_id % 4 AS INTEGER) AS fold,
        value / (value + 100.0) AS score FROM events"""
 
@@ -1028,6 +1076,130 @@ def q_permutation_importance(spark, sf):
     return r6(explain.permutation_importance(test, cols, scorer, "encounter_id", "label", 5, SEED))
 
 
+_REPEATS = 3
+_BOUND = 1 << 20
+
+
+def _sql_donors(features: list[str], repeats: int, n: str) -> str:
+    """(f, name, r, a, b) of every copy; ``n`` is the number of rows."""
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(features))
+    return f"""donors AS (
+  SELECT f, name, r, n, list_filter(list_transform(range(0, 400), lambda t: (h1 % m + t) % m + 1), lambda a: gcd(a, n) = 1)[1] AS a, h2 % n AS b
+  FROM (SELECT f, name, r, n, least({_BOUND}, greatest(n, 2)) AS m,
+          CAST(('0x' || substr(md5(concat('42:perm:', name, ':', CAST(r AS VARCHAR))), 1, 15)) AS BIGINT) AS h1,
+          CAST(('0x' || substr(md5(concat('42:perm:', name, ':', CAST(r AS VARCHAR))), 16, 15)) AS BIGINT) AS h2
+        FROM (VALUES {names}) v(f, name), (SELECT unnest(range({repeats})) AS r), (SELECT {n} AS n)))"""
+
+
+def _sql_importance(features: list[str]) -> str:
+    """From ``pos(x, <features>, ...)`` and ``donors`` to ``copies`` with each
+    feature taken from the donor in its copy."""
+    new = ", ".join(f'CASE WHEN d.name = \'{c}\' THEN q."{c}" ELSE o."{c}" END AS "{c}"' for c in features)
+    return f"""copies AS (SELECT d.name, d.r, o.label, {new}
+  FROM pos o CROSS JOIN donors d JOIN pos q ON q.x = (d.a * o.x + d.b) % d.n)"""
+
+
+def _sql_linear_p(features: list[str]) -> str:
+    terms = " + ".join(f'coalesce("w_{c}", 0.0) * ("{c}" - "m_{c}")' for c in features)
+    return f"round(least(greatest(base + ({terms}), 0.001), 0.999), 9)"
+
+
+def _sql_score_rows(src: str, keys: str) -> str:
+    """(score, keys, s) of accuracy at 0.2, log loss and AUC of ``src(keys, label, p)``."""
+    k = keys + ", " if keys else ""
+    g = f"GROUP BY {keys}" if keys else ""
+    pg = f"PARTITION BY {keys}" if keys else ""
+    return f"""SELECT 'accuracy' AS score, {k}avg(CASE WHEN CAST(p > 0.2 AS INTEGER) = label THEN 1.0 ELSE 0.0 END) AS s FROM {src} {g}
+  UNION ALL SELECT 'log_loss', {k}avg(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) FROM {src} {g}
+  UNION ALL SELECT 'auc', {k}sum(pos * (before + 0.5 * neg)) / (sum(pos) * sum(neg)) FROM (
+    SELECT *, coalesce(sum(neg) OVER ({pg} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+      SELECT {k}p, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM {src} GROUP BY {k}p)) {g}"""
+
+
+_POSITION = """row_number() OVER (ORDER BY md5(concat_ws(':', '42', CAST(encounter_id AS VARCHAR))), encounter_id) - 1 AS x"""
+
+
+def _linear_scorer(train: DataFrame, cols: list[str]):
+    """Probability from the training rate and the sum of univariate slopes."""
+    from wardline.operators import explain
+    coefs = explain.linear_coefficients(train, cols).collect()
+    base = train.agg(F.avg(F.col("label").cast("double"))).first()[0]
+
+    def scorer(df):
+        terms = [F.lit(r["weight"] or 0.0) * (F.col(f"`{r['feature']}`") - F.lit(r["mean"])) for r in coefs]
+        total = terms[0]
+        for t in terms[1:]:
+            total = total + t
+        return df.withColumn("p", F.round(F.least(F.greatest(F.lit(base) + total, F.lit(0.001)), F.lit(0.999)), 9))
+    return scorer
+
+
+@register("permutation_importance_linear", _LINEAR_SQL + """,
+pos AS (SELECT label, """ + ", ".join(f'"{c}"' for c in RAW) + f""", {_POSITION} FROM x WHERE is_test = 1),
+lin AS (SELECT cf.*, (SELECT avg(label) FROM x WHERE is_test = 0) AS base FROM cf),
+""" + _sql_donors(RAW, _REPEATS, "(SELECT count(*) FROM pos)") + ",\n" + _sql_importance(RAW) + f""",
+s0 AS (SELECT label, {_sql_linear_p(RAW)} AS p FROM pos, lin),
+s1 AS (SELECT name, r, label, {_sql_linear_p(RAW)} AS p FROM copies, lin),
+t0 AS ({_sql_score_rows("s0", "")}),
+t1 AS ({_sql_score_rows("s1", "name, r")})
+SELECT t1.score, name AS feature, round(avg(t0.s - t1.s), 6) AS importance_mean, round(stddev_pop(t0.s - t1.s), 6) AS importance_std
+FROM t1 JOIN t0 USING (score) GROUP BY t1.score, name""")
+def q_permutation_importance_linear(spark, sf):
+    """Drop in accuracy (at 0.2), log loss and AUC of a closed-form linear scorer
+    when one column is shuffled, 3 repeats, on the whole test split."""
+    from wardline.operators import explain
+    raw, cols = _raw(spark, sf)
+    scorer = _linear_scorer(raw.where(F.col("is_test") == 0), cols)
+    test = raw.where(F.col("is_test") == 1)
+    out = None
+    for score in ("accuracy", "log_loss", "auc"):
+        one = explain.permutation_importance(test, cols, scorer, "encounter_id", "label", _REPEATS, SEED, 0.2, score)
+        one = one.select(F.lit(score).alias("score"), "*")
+        out = one if out is None else out.unionByName(one)
+    return r6(out)
+
+
+_HOT = [f"race_{x}" for x in RACE_LEVELS] + ["time_in_hospital"]
+_INVERSE_SQL = "CASE " + " ".join(f"WHEN \"race_{x}\" = 1 THEN '{x}'" for x in RACE_LEVELS) + " ELSE m.mode END"
+
+
+@register("permutation_importance_onehot", "WITH " + SPLIT + """,
+x AS (SELECT encounter_id, label, is_test, """ + _RACE_SQL + """ AS race, CAST(time_in_hospital AS DOUBLE) AS time_in_hospital FROM split),
+m AS (SELECT race AS mode FROM x WHERE is_test = 0 AND race IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+rate AS (SELECT race, avg(label) AS rate FROM x WHERE is_test = 0 AND race IS NOT NULL GROUP BY 1),
+pos AS (SELECT label, time_in_hospital, """ + ", ".join(f"CAST(coalesce(race = '{x}', false) AS INTEGER) AS \"race_{x}\"" for x in RACE_LEVELS)
+    + f""", {_POSITION} FROM x WHERE is_test = 1),
+""" + _sql_donors(_HOT, 5, "(SELECT count(*) FROM pos)") + ",\n" + _sql_importance(_HOT) + f""",
+i0 AS (SELECT label, time_in_hospital, {_INVERSE_SQL} AS race FROM pos, m),
+i1 AS (SELECT name, r, label, time_in_hospital, {_INVERSE_SQL} AS race FROM copies, m),
+s0 AS (SELECT avg(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS s FROM
+  (SELECT label, round(least(greatest(rate + 0.005 * time_in_hospital, 0.001), 0.999), 9) AS p FROM i0 JOIN rate USING (race))),
+s1 AS (SELECT name, r, avg(CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS s FROM
+  (SELECT name, r, label, round(least(greatest(rate + 0.005 * time_in_hospital, 0.001), 0.999), 9) AS p FROM i1 JOIN rate USING (race)) GROUP BY 1, 2)
+SELECT name AS feature, round(avg(s0.s - s1.s), 6) AS importance_mean, round(stddev_pop(s0.s - s1.s), 6) AS importance_std
+FROM s1, s0 GROUP BY name""")
+def q_permutation_importance_onehot(spark, sf):
+    """One-hot columns shuffled one at a time; the scorer turns each row back
+    into its level (no column set: the training mode) and looks up its rate.
+    Drop in log loss, 5 repeats."""
+    from wardline.operators import explain
+    sp = clean.replace_sentinel(split_table(spark, sf, "label", "race", "time_in_hospital"), "?", "Unknown", ["race"])
+    train, test = sample.train_test(sp)
+    levels = encode.vocabulary_levels(encode.fit_vocabulary(train, ["race"]))
+    mode = report.mode_level(train, "race").first()["mode"]
+    rates = {r["race"]: r["rate"] for r in train.where("race IS NOT NULL").groupBy("race").agg(F.avg(F.col("label").cast("double")).alias("rate")).collect()}
+    wide = encode.one_hot(test.select("encounter_id", "label", F.col("time_in_hospital").cast("double").alias("time_in_hospital"), "race"),
+                          levels, drop_first=False)
+    rate = F.element_at(F.create_map(*[F.lit(x) for r, v in rates.items() for x in (r, v)]), F.col("race"))
+
+    def scorer(df):
+        raw = encode.inverse_one_hot(df, "race", levels["race"], mode)
+        p = F.round(F.least(F.greatest(rate + F.lit(0.005) * F.col("time_in_hospital"), F.lit(0.001)), F.lit(0.999)), 9)
+        return raw.withColumn("p", p)
+    hot = [f"race_{x}" for x in levels["race"]] + ["time_in_hospital"]
+    return r6(explain.permutation_importance(wide, hot, scorer, "encounter_id", "label", 5, SEED, score="log_loss"))
+
+
 @register("shapley_sampled")
 def q_shapley_sampled(spark, sf, n_explained: int = 5000, n_background: int = 100):
     """Sampled-permutation Shapley values of the logistic model for a sample of
@@ -1041,15 +1213,97 @@ def q_shapley_sampled(spark, sf, n_explained: int = 5000, n_background: int = 10
     return r6(report.top_k(report.mean_abs(phi, "feature", "phi"), 15))
 
 
+@register("shapley_forest", "WITH " + SPLIT + """
+SELECT encounter_id, 0.0 AS gap, CAST(""" + str(len(RAW)) + """ AS BIGINT) AS n_features FROM test
+ORDER BY md5(concat_ws(':', '42', CAST(encounter_id AS VARCHAR))), encounter_id LIMIT 500""")
+def q_shapley_forest(spark, sf):
+    """Shapley values of a forest for 500 test rows against 100 weighted
+    centroids of the train split; per row, how far the values are from adding up
+    to the row's score less that of its background (0)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from wardline.operators import explain, models
+    raw, cols = _raw(spark, sf)
+    train = encode.assemble(raw.where(F.col("is_test") == 0), cols)
+    model = models.fit_balanced(train.select("encounter_id", "label", "features"), models.forest(20, 6, seed=SEED), "weights",
+                                "label", "encounter_id", SEED)
+
+    def scorer(df):
+        return model.transform(encode.assemble(df, cols)).withColumn("p", vector_to_array("probability")[1]).drop(
+            "features", "rawPrediction", "probability", "prediction")
+    summary = materialize(explain.kmeans_summary(train.select("features"), 100, "features", SEED), "centroids")
+    bg = explain.centroid_background(summary, cols, "encounter_id")
+    ex = sample.sample_n(raw.where(F.col("is_test") == 1), 500, "encounter_id", SEED)
+    phi = explain.shapley_sampled(ex, bg, cols, scorer, "encounter_id", 4, SEED, weight="size", keep_base=True)
+    gap = F.abs(F.sum("phi") - (F.max("full") - F.max("base")))
+    return phi.groupBy("encounter_id").agg(F.round(gap, 6).alias("gap"), F.count("*").alias("n_features"))
+
+
 @register("kmeans_summary")
 def q_kmeans_summary(spark, sf):
-    """Background summary: 20 weighted k-means centroids of the train features."""
+    """Background summary: 100 weighted k-means centroids of the train features."""
     from wardline.operators import explain
     p = _prepared(spark, sf)
-    out = explain.kmeans_summary(p.train, 20, "features", SEED)
+    out = explain.kmeans_summary(p.train, 100, "features", SEED)
     return out.withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
+@register("kmeans_sizes", "WITH " + SPLIT + """
+SELECT CAST(100 AS BIGINT) AS n_clusters, CAST(count(*) AS BIGINT) AS n_rows FROM train""")
+def q_kmeans_sizes(spark, sf):
+    """The centroids' weights add up to the rows they stand for."""
+    from wardline.operators import explain
+    raw, cols = _raw(spark, sf)
+    s = explain.kmeans_summary(encode.assemble(raw.where(F.col("is_test") == 0), cols), 100, "features", SEED)
+    return s.agg(F.count("*").alias("n_clusters"), F.sum("size").alias("n_rows"))
+
+
+# ------------------------------------------------------------------ 10b. two models, one vote
+
+_CODES = ["diag_1_cat", "diag_2_cat", "diag_3_cat"]
+_NUMBERS = ["time_in_hospital", "num_medications", "number_inpatient", "number_emergency", "number_diagnoses"]
+
+
+def _branches(spark, sf):
+    """(train, test) with coded diagnoses and counts, and their column sets."""
+    e = encode.group_codes(split(spark, sf), ["diag_1", "diag_2", "diag_3"], fine=True)
+    e = materialize(e.select("encounter_id", "label", "is_test", *_CODES, *_NUMBERS), "branches")
+    codes, rest = clean.split_by_suffix(e, "_cat")
+    train, test = sample.train_test(e)
+    return train, test, {"codes": codes, "rest": [c for c in rest if c in _NUMBERS]}
+
+
+@register("branch_vote", "WITH " + SPLIT + """,
+x AS (SELECT encounter_id, label, is_test, """ + ", ".join(f"{_sql_fine(c[:-4])} AS {c}" for c in _CODES) + ", "
+          + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _NUMBERS) + """ FROM split),
+g AS (SELECT avg(label) AS base, """ + ", ".join(f"regr_slope(CAST(label AS DOUBLE), {c}) AS w_{c}, avg({c}) AS m_{c}" for c in _NUMBERS) + """ FROM x WHERE is_test = 0),
+""" + ",\n".join(f"r_{c} AS (SELECT {c}, avg(label) AS rate_{c} FROM x WHERE is_test = 0 GROUP BY 1)" for c in _CODES) + """,
+s AS (SELECT encounter_id, (""" + " + ".join(f"coalesce(rate_{c}, base)" for c in _CODES) + """) / 3.0 AS p_codes,
+  least(greatest(base + (""" + " + ".join(f"w_{c} * ({c} - m_{c})" for c in _NUMBERS) + """) / 5.0, 0.0), 1.0) AS p_rest
+  FROM x CROSS JOIN g """ + " ".join(f"LEFT JOIN r_{c} USING ({c})" for c in _CODES) + """ WHERE is_test = 1)
+SELECT encounter_id, round(p_codes, 6) AS p_codes, round(p_rest, 6) AS p_rest, round((0.7 * p_codes + 0.3 * p_rest) / 1.0, 6) AS p FROM s""")
+def q_branch_vote(spark, sf):
+    """Closed-form models on the diagnosis columns and on the others, scored in
+    one pass and voted 0.7 to 0.3."""
+    from wardline.operators import ensemble
+    train, test, cols = _branches(spark, sf)
+    b = ensemble.fit_branches(train, cols, {"codes": ensemble.level_rates, "rest": ensemble.linear_rates})
+    return r6(ensemble.vote(test, b, {"codes": 0.7, "rest": 0.3}).select("encounter_id", "p_codes", "p_rest", "p"))
+
+
+@register("ensemble_vote")
+def q_ensemble_vote(spark, sf):
+    """Boosted trees on the diagnosis columns and a forest on the others, fitted on one
+    balanced split and voted 0.7 to 0.3; test metrics of both and of the vote."""
+    from wardline.operators import ensemble, models
+    train, test, cols = _branches(spark, sf)
+    fits = {"codes": lambda d, c: ensemble.vector_model(d, c, models.gbt(10, 4, 0.3, seed=SEED), True, balance="resample", seed=SEED),
+            "rest": lambda d, c: ensemble.vector_model(d, c, models.forest(20, 6, seed=SEED), False, balance="resample", seed=SEED)}
+    v = ensemble.vote(test, ensemble.fit_branches(train, cols, fits), {"codes": 0.7, "rest": 0.3})
+    v = materialize(v.select("label", "p_codes", "p_rest", "p"), "votes")
+    return r6(metrics.compare_models({n: v.select("label", F.col(n).alias("p")) for n in ("p_codes", "p_rest", "p")}))
+
+
 # ------------------------------------------------------------------ sources / sinks
 
 def _scratch(spark) -> str:
@@ -1111,6 +1365,26 @@ def q_model_save_load(spark, sf):
     return spark.read.text(base + "/report")
 
 
+@register("model_reload", "WITH " + SPLIT + """
+SELECT encounter_id, CAST(1 AS INTEGER) AS same FROM test""")
+def q_model_reload(spark, sf):
+    """A saved and loaded pipeline gives every test row the score it gave before."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from wardline.operators import models
+    from wardline.sources.sinks import load_model, save_model
+    raw, cols = _raw(spark, sf)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), models.logistic()]).fit(
+        raw.where(F.col("is_test") == 0))
+    path = _scratch(spark) + "/model"
+    save_model(fitted, path)
+    test = raw.where(F.col("is_test") == 1)
+    was = models.score(fitted, test, "encounter_id").select("encounter_id", F.col("p").alias("was"))
+    now = models.score(load_model(path), test, "encounter_id")
+    return now.join(was, "encounter_id").select("encounter_id", (F.col("p") == F.col("was")).cast("int").alias("same"))
+
+
 # ------------------------------------------------------------------ 7. SMOTE
 
 _VEC = "vec AS (" + S.duck(S.VECTORS) + ")"
