@@ -71,17 +71,19 @@ def rare_bucket(df: DataFrame, col: str, min_share: float | None = 0.01,
     """Keep levels with share >= ``min_share`` (or count >= ``min_count``);
     others and missing become ``other``.  Result is a string column.
 
-    By share, at most 1/min_share levels survive, so they are broadcast.  By
-    count the kept set grows with the data and is joined with salting."""
+    By share, at most 1/min_share levels survive; they are broadcast if that is
+    a bound of at most 1/HOT_SHARE.  By count, or a smaller share, the kept set
+    grows with the data and is joined with salting."""
     out = out or col
     shares = level_shares(fit_on if fit_on is not None else df, col)
     keep_col = "_wl_keep"
-    if min_count is None:
+    if min_count is None and min_share >= HOT_SHARE:
         major = shares.where(F.col("share") >= min_share).select(
             col, _q(col).cast("string").alias(keep_col))
         j = df.join(F.broadcast(major), col, "left")
     else:
-        major = shares.where(F.col("n") >= min_count).select(
+        enough = F.col("n") >= min_count if min_count is not None else F.col("share") >= min_share
+        major = shares.where(enough).select(
             col, _q(col).cast("string").alias(keep_col))
         hot = shares.where(F.col("share") >= HOT_SHARE).select(col)
         j = hot_key_join(df, major, col, hot, "left")

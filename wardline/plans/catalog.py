@@ -186,6 +186,15 @@ def q_lookup_sections(spark, sf):
     return lookups(spark, sf).select("section", "code", "description")
 
 
+@register("lookup_files", "WITH " + LOOKUP[1:] + "\nSELECT section, code, description FROM lk")
+def q_lookup_files(spark, sf):
+    """The same sections read from stacked text files."""
+    from wardline.sources.tables import read_lookup_file
+    path = _scratch(spark) + "/lookup"
+    S.lookup_files(spark, sf, path)
+    return read_lookup_file(spark, path).select("section", "code", "description")
+
+
 @register("map_all_sections", "WITH " + BASE + "," + LOOKUP + """
 SELECT b.encounter_id, a.description AS admission_type_id, d.description AS discharge_disposition_id,
        s.description AS admission_source_id
@@ -222,6 +231,23 @@ def q_clean_sentinel(spark, sf):
     return e.select("encounter_id", *[F.col(f"`{c}`") for c in _ENC_STRINGS])
 
 
+_CATS = ["encounter_id", "patient_nbr", "admission_type_id", "discharge_disposition_id"]
+
+
+@register("as_category", "WITH " + ENC + "\nSELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _CATS) + """,
+  race, number_diagnoses FROM enc""")
+def q_as_category(spark, sf):
+    """Ids as categories, after dropping columns (unknown names are ignored)."""
+    e = clean.drop_columns(S.encounters(spark, sf), [c for c in _ENC_ALL if c not in (*_CATS, "race", "number_diagnoses")] + ["no_such"])
+    return clean.as_category(e, _CATS)
+
+
+@register("preview", "WITH " + BASE + """
+SELECT encounter_id, gender, age, label FROM base ORDER BY encounter_id LIMIT 5""")
+def q_preview(spark, sf):
+    return report.preview(base(spark, sf), 5, "encounter_id").select("encounter_id", "gender", "age", "label")
+
+
 @register("exclude_codes", "WITH " + BASE + "\nSELECT encounter_id, gender, coalesce(discharge_disposition_id, -1) AS discharge_disposition_id FROM base")
 def q_exclude_codes(spark, sf):
     return base(spark, sf).select("encounter_id", "gender", "discharge_disposition_id").fillna(-1)
@@ -944,6 +970,13 @@ def q_fit_mlp(spark, sf):
                                                              max_iter=100, seed=SEED), "resample")
 
 
+@register("fit_gbt_smote")
+def q_fit_gbt_smote(spark, sf):
+    """Boosted trees (30 rounds, depth 4) on a train split balanced by SMOTE."""
+    from wardline.operators import models
+    return _fit_eval(spark, sf, "gbt-smote", lambda p: models.gbt(30, 4, 0.3, seed=SEED), "smote")
+
+
 # ------------------------------------------------------------------ 9. tuning
 
 @register("cv_scores")
@@ -1365,6 +1398,18 @@ def q_model_save_load(spark, sf):
     return spark.read.text(base + "/report")
 
 
+@register("report_file", "WITH " + BASE + """,
+r AS (SELECT count(*) AS n_rows, sum(label) AS positives, count(DISTINCT patient_nbr) AS patients FROM base)
+SELECT 'n_rows: ' || n_rows AS value FROM r UNION ALL SELECT 'positives: ' || positives FROM r UNION ALL SELECT 'patients: ' || patients FROM r""")
+def q_report_file(spark, sf):
+    """A key/value report written as text and read back."""
+    from wardline.sources.sinks import report_frame, write_report
+    r = base(spark, sf).agg(F.count("*").alias("n_rows"), F.sum("label").alias("positives"), F.count_distinct("patient_nbr").alias("patients"))
+    path = _scratch(spark) + "/report"
+    write_report(report_frame(spark, r.first().asDict()), path)
+    return spark.read.text(path)
+
+
 @register("model_reload", "WITH " + SPLIT + """
 SELECT encounter_id, CAST(1 AS INTEGER) AS same FROM test""")
 def q_model_reload(spark, sf):

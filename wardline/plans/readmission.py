@@ -73,6 +73,8 @@ def clean_split(spark: SparkSession, sf_dir: str, seed: int = 42,
     e = e.withColumns({d: F.col(f"`{d}`").cast("int").cast("string") for d in DRUGS})
     used = [c for c in CATEGORICAL if c != "disch_reduced"] + [c for c in NUMERIC if c != "patient_freq"] + DRUGS
     e = e.select("encounter_id", "label", "patient_nbr", "discharge_disposition_id", *[F.col(f"`{c}`") for c in used])
+    # the split reads its rows several times: a table, not the cleaning, and only keys and labels of it
+    e = materialize(e, "clean")
     e = materialize(sample.split_stratified(e, "label", "encounter_id", test_size, seed), "clean-split")
     constant = clean.constant_column_names(e.where(F.col("is_test") == 0), DRUGS)
     return e.drop(*constant), CATEGORICAL + [d for d in DRUGS if d not in constant], list(NUMERIC)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.sources.tables import DRUG_COLUMNS, ENCOUNTER_SCHEMA, read_table
 
@@ -157,6 +158,15 @@ def lookup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, LOOKUP_LINES)
 
 
+def lookup_files(spark: SparkSession, sf_dir: str, path: str, buckets: int = 8) -> None:
+    """The lookup lines as text files under ``path``: the long third section is
+    dealt over all files, each with its header line."""
+    lines = lookup_lines(spark, sf_dir).withColumn("part", F.when(F.col("pos") > 101, F.col("pos") % buckets).otherwise(F.lit(0)))
+    headers = lines.where("pos = 101").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(buckets - 1).cast("long"))))
+    dealt = lines.unionByName(headers).repartition(buckets, "part").sortWithinPartitions("part", "pos")
+    dealt.select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, SCORES)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators.lookup import parse_stacked_lookup
+from wardline.operators.order import rank_in_order
 
 # Medication columns of the encounter file.
 DRUG_COLUMNS = [
@@ -51,11 +52,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str = ENCOUN
 
 
 def read_lookup_file(spark: SparkSession, path: str) -> DataFrame:
-    """A lookup file that stacks several ``code,description`` sections.
+    """Lookup files that each stack several ``code,description`` sections.
 
-    Each file is read whole (lookup files are small code tables) so line order
-    is known; lines are numbered by ``posexplode``, never by partition order."""
-    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    lines = raw.select("_file", F.posexplode(F.split(F.col("value"), r"\r?\n"))
-                       .alias("pos", "line")).where(F.length("line") > 0)
+    Files are read in Spark's usual splits.  Within a split lines come in order,
+    and splits know where in their file they start; a two-level scan turns that
+    into line numbers, so no file has to fit one task."""
+    raw = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_nth"))
+    lines = rank_in_order(raw, ["_file"], ["_start", "_nth"], "pos").where(F.length("line") > 0)
     return parse_stacked_lookup(lines, source="_file")
