@@ -108,7 +108,7 @@ def test_pieces_equal_the_library_and_round_trip(spark, edge):
     texts = ["", " ", "  a  b ", "héllo wörld 漢字 😀\n\tx", "a" * 500, "the" * 300, "▁x"]
     texts += ["".join(random.choice("aeth in on  \n\té✓😀1234.,Aß漢ing") for _ in range(random.randint(0, 150))) for _ in range(300)]
     for t in texts:
-        assert p.encode(t) == sp.encode(t)
+        assert p.encode(t).tolist() == sp.encode(t)
         if "▁" not in t:
             assert p.decode(p.encode(t)) == t
     got = pieces.encode(edge)
@@ -118,6 +118,22 @@ def test_pieces_equal_the_library_and_round_trip(spark, edge):
     assert pieces.encode(edge.limit(0)).count() == 0
 
 
+def test_window_gives_the_same_remembered_or_not(monkeypatch):
+    import random
+
+    import sentencepiece
+    monkeypatch.setattr(pieces, "REMEMBERED", 5)
+    sp, p = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Pieces()
+    r = random.Random(9)
+    for _ in range(400):
+        t = "".join(r.choice("aeinost rl ✓é漢\n.") for _ in range(r.choice([5, 40, 300])))
+        t = t.replace(" ", "") if r.random() < 0.3 else t
+        assert p.encode(t).tolist() == sp.encode(t)
+        for stretch in pieces.UNIT.findall(pieces.SPACE + t.replace(" ", pieces.SPACE)):
+            streamed = [x for part in p.stream(iter(stretch)) for x in part]
+            assert p.within(stretch) == streamed
+
+
 def test_stream_holds_a_bounded_window():
     p = pieces.Pieces()
     text = "abcdefgh" * 4000

@@ -9,15 +9,19 @@ longest piece's length are held: as soon as the backpointers of all of them
 lead to one boundary, the ids up to it are committed.
 
 A space that follows another character is such a boundary in every path, since
-no piece has an inner space; the ids between two of them are remembered, up to
-a bound, because words repeat.  Characters without a piece become byte pieces.
+no piece has an inner space.  So the window restarts at each of them, and what it
+committed for the stretch between two is remembered, up to a bound: words repeat,
+and a stretch passes the window only if it is not remembered.  Characters without
+a piece become byte pieces.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from wardline.llm.common import documents, per_text
@@ -25,7 +29,17 @@ from wardline.llm.common import documents, per_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+
+
+class _Any(dict):
+    """What may follow a character without a piece: everything."""
+
+    def get(self, key, default=None):
+        return True
+
+
+_ANY = _Any()
 
 
 class Pieces:
@@ -52,16 +66,10 @@ class Pieces:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = p
-        self._ends: dict = {}  # the same from each piece's last character backwards
-        for p in self.id:
-            node = self._ends
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = p
         self._fits: dict[str, dict[str, bool]] = {}
         self._n_fits = 0
-        self._units: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self._older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self._plain = [None if i in self.byte_of else t for i, t in enumerate(self.text)]
+        self.known = Known(self)
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best-ranked pair, leftmost first."""
@@ -79,7 +87,7 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether piece ``b`` may follow piece ``a``."""
-        if self._n_fits >= REMEMBERED:
+        if self._n_fits >= 2 * REMEMBERED:
             self._fits.clear()
             self._n_fits = 0
         ok = self._fits.setdefault(a, {})[b] = self.merge(a + b) == [a, b]
@@ -140,6 +148,31 @@ class Pieces:
         if buf:
             yield self._path(back, len(buf))
 
+    def within(self, chars: str) -> list[str]:
+        """The pass of :meth:`stream` over a text that fits the window whole:
+        nothing is read later, and all is committed at the end."""
+        back: list = [""] + [None] * len(chars)
+        fits, root, pieces = self._fits, self._trie, self.id
+        for i, last in enumerate(back):
+            if last is None or i == len(chars):
+                continue
+            node, known = root, fits.get(last) if last in pieces else _ANY
+            for j in range(i, len(chars)):
+                node = node.get(chars[j])
+                if node is None:
+                    break
+                s = node.get("")
+                if s is not None and back[j + 1] is None:
+                    ok = known.get(s) if known is not None else None
+                    if ok is None:
+                        ok = self.fits(last, s)
+                        known = fits[last]
+                    if ok:
+                        back[j + 1] = s
+            if back[i + 1] is None and chars[i] not in pieces:
+                back[i + 1] = chars[i]
+        return self._path(back, len(chars))
+
     @staticmethod
     def _common(back: list, live: list[int]) -> int:
         """The last boundary on the paths of all live nodes."""
@@ -158,74 +191,63 @@ class Pieces:
             j -= len(back[j])
         return out[::-1]
 
-    def unit(self, chars: str) -> tuple[int, ...]:
-        """Ids of one unit: spaces and the characters after them."""
-        if len(chars) > 4 * self.longest:  # more than a window
-            return tuple(i for part in self.stream(iter(chars)) for p in part for i in self.ids_of(p))
-        return self._remembered(chars)[1]
-
-    def _remembered(self, chars: str) -> tuple[str, tuple[int, ...]]:
-        """Backpointer and ids of the node that ``chars`` leads to.  Words share
-        their beginnings, so the nodes of all beginnings seen are remembered
-        and a new word only needs its own last ones."""
-        found = self._units.get(chars) or self._older.get(chars)
-        if found is None:
-            node, n = self._ends, len(chars)
-            for k in range(n - 1, -1, -1):
-                node = node.get(chars[k])
-                if node is None:
-                    break
-                s = node.get("")
-                if s is None:
-                    continue
-                if not k:
-                    found = s, (self.id[s],)
-                    break
-                last, ids = self._units.get(head := chars[:k]) or self._remembered(head)
-                if not last:
-                    continue
-                if last in self.id:
-                    known = self._fits.get(last)
-                    ok = known.get(s) if known is not None else None
-                    if not (self.fits(last, s) if ok is None else ok):
-                        continue
-                found = s, (*ids, self.id[s])
-                break
-            if found is None and chars[-1] not in self.id:
-                # a character without a piece stands alone
-                ids = self._remembered(chars[:-1])[1] if n > 1 else ()
-                found = chars[-1], (*ids, *self.ids_of(chars[-1]))
-            found = found or ("", ())  # no path ends here
-        if len(self._units) >= REMEMBERED:
-            self._older, self._units = self._units, {}
-        self._units[chars] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, committed stretch by stretch."""
         if not text:
-            return []
-        out: list[int] = []
-        for u in UNIT.findall(SPACE + text.replace(" ", SPACE)):
-            known = self._units.get(u)
-            out.extend(self.unit(u) if known is None else known[1])
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        parts, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
+            return np.zeros(0, np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, UNIT.findall(SPACE + text.replace(" ", SPACE)))), np.int32)
+
+    def decode(self, ids) -> str:
+        try:
+            t = "".join(map(self._plain.__getitem__, ids))
+        except TypeError:  # byte pieces among them
+            parts, raw = [], bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    raw.append(self.byte_of[i])
+                    continue
+                if raw:
+                    parts.append(raw.decode("utf-8", "replace"))
+                    raw.clear()
+                parts.append(self.text[i])
             if raw:
                 parts.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            parts.append(self.text[i])
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        t = "".join(parts).replace(SPACE, " ")
+            t = "".join(parts)
+        t = t.replace(SPACE, " ")
         return t[1:] if t.startswith(" ") else t
 
 
+class Known(dict):
+    """Ids, as bytes, of the stretches that the window has passed: a stretch
+    that is not here goes through the window.  Of the ``REMEMBERED`` before, those
+    that come again are taken over."""
+
+    def __init__(self, model: Pieces):
+        super().__init__()
+        self.model, self.older = model, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        m = self.model
+        if len(stretch) > 4 * m.longest:  # more than the window holds
+            return array("i", [i for part in m.stream(iter(stretch)) for p in part for i in m.ids_of(p)]).tobytes()
+        out = self.older.get(stretch)
+        if out is None:
+            get = m.id.get
+            ids: list[int] = []
+            for p in m.within(stretch):
+                i = get(p)
+                if i is None:
+                    ids += m.ids_of(p)
+                else:
+                    ids.append(i)
+            out = array("i", ids).tobytes()
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[stretch] = out
+        return out
+
+
 _loaded: dict[str, Pieces] = {}
 
 
@@ -247,7 +269,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
         def one(text: str) -> tuple:
             ids = p.encode(text)
-            return len(ids), ids, p.decode(ids) == text
+            return len(ids), ids, p.decode(ids.tolist()) == text
         return one
 
     return per_text(documents(docs), None, "n_tokens long, ids array<int>, round_trip boolean", make)
