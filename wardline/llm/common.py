@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,15 +37,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Shuffle files of the write go as soon as it ends, so the steps of an
-    operator don't add up on the executors' disks."""
+    operator don't add up on the executors' disks.  Python workers get batches
+    of ``RECORDS`` rows, so what they hold at once doesn't grow with a split."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(RELEASE, "false")
+    before = {RELEASE: spark.conf.get(RELEASE, "false"), BATCH: spark.conf.get(BATCH, "10000")}
     spark.conf.set(RELEASE, "true")
+    spark.conf.set(BATCH, RECORDS)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(RELEASE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

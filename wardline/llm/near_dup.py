@@ -3,17 +3,20 @@
 1. Each text's shingle set gives a signature, band keys and a 128-bit hash of
    the set.  Texts with equal sets are one node from here on.
 2. In each band bucket every node is paired with one leader; pairs whose sizes
-   and signatures allow the similarity are verified on the full sets.  Leaders
+   and odd sketches allow the similarity are verified on the full sets.  Leaders
    change from round to round; a round only pairs nodes that are in different
    groups so far, and rounds go on while they add a twentieth of the links.
 3. Buckets that still hold nodes of different groups (few) are finished pair by
    pair, across groups only, so no link that shares a band is lost.
+
+An odd sketch bounds from below how many elements two sets differ in.  The bound
+never errs, so no link is lost by it, and it is tight: what it lets through is
+within a point or two of the threshold.
 4. Groups are the connected components of the verified links, found by least
    labels that hop along their own labels until nothing changes.
 
-Every step is linear in the rows of a bucket except 3, which only verifies
-pairs that the signature estimates as similar but that no link connects.  With
-42 bands of 6 rows a pair of similarity 0.85 shares none with probability
+Every step is linear in the rows of a bucket except 3, which compares the
+sketches of a bucket's nodes, but only verifies pairs that pass.  With 42 bands of 6 rows a pair of similarity 0.85 shares none with probability
 2e-9, one of 0.8 with 3e-6.
 """
 
@@ -27,30 +30,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import documents, materialize
-from wardline.llm.shingles import bands, chunks, mix, shingle_sets, superminhash
+from wardline.llm.shingles import bands, chunks, mix, odd_sketch, shingle_sets, superminhash
 
 SLOTS, ROWS = 256, 6
-#: Percent that a signature's estimate may be below the threshold: over four
-#: standard deviations for large sets, over six for sets of fewer than SLOTS.
-MARGIN = 10
+#: Bytes of text that a task hashes at once.
+CHUNK = 1 << 18
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sig, keys) of every row; empty sets have n = 0."""
+    """(doc_id, n, h1, h2, odd, keys) of every row; empty sets have n = 0."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t.encode() for t in b["text"]]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK):
                 sets = shingle_sets(texts[lo:hi], width)
                 sig = superminhash(sets, SLOTS)
                 h1 = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 h2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                short = (mix(sig) >> np.uint64(56)).astype(np.uint8).view(np.int8)
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "n": [len(s) for s in sets], "h1": h1, "h2": h2,
-                                    "sig": list(short), "keys": list(bands(sig, ROWS))})
+                                    "odd": [odd_sketch(s) for s in sets], "keys": list(bands(sig, ROWS))})
 
     d = documents(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = d.mapInPandas(run, "doc_id string, n long, h1 long, h2 long, sig array<tinyint>, keys array<long>")
+    out = d.mapInPandas(run, "doc_id string, n long, h1 long, h2 long, odd array<long>, keys array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -59,7 +60,7 @@ def set_table(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t.encode() for t in b["text"]]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK):
                 sets = shingle_sets(texts[lo:hi], width)
                 same = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) == h for s, h in zip(sets, b["h1"].iloc[lo:hi])]
                 yield pd.DataFrame({"node": b["node"].iloc[lo:hi].to_numpy()[same],
@@ -69,10 +70,18 @@ def set_table(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return d.dropDuplicates(["node", "text"]).mapInPandas(run, "node long, shingles array<long>")
 
 
-def plausible(n1: Column, n2: Column, sig1: Column, sig2: Column, percent: int) -> Column:
-    """Sizes allow the similarity, and the signatures do not rule it out."""
-    equal = F.aggregate(F.zip_with(sig1, sig2, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    return sizes(n1, n2, percent) & (100 * equal >= (percent - MARGIN) * SLOTS)
+def plausible(n1: Column, n2: Column, odd1: Column, odd2: Column, percent: int) -> Column:
+    """Sizes and odd sketches allow the similarity; true for every linked pair.
+
+    Sets of sizes a and b with 100 * shared >= percent * union differ in at most
+    (a + b) * (100 - percent) / (100 + percent) elements.  Their sketches have
+    one length or one is twice as long, at these sizes."""
+    def folded(x: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+    differ = F.aggregate(F.zip_with(folded(odd1, odd2), folded(odd2, odd1), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                         F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return sizes(n1, n2, percent) & ((100 + percent) * differ <= (100 - percent) * (n1 + n2))
 
 
 def sizes(n1: Column, n2: Column, percent: int) -> Column:
@@ -141,20 +150,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     base = materialize(sketch(docs, width), "sketch")
     real = base.where("n > 0 AND doc_id IS NOT NULL")
     nodes = materialize(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
-                                                     F.first("sig").alias("sig"), F.first("keys").alias("keys")), "nodes")
-    slim = nodes.select("node", "n", "sig")
+                                                     F.first("odd").alias("odd"), F.first("keys").alias("keys")), "nodes")
+    slim = nodes.select("node", "n", "odd")
     buckets = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").select("band", "key")
     buckets = materialize(buckets.join(shared, ["band", "key"]), "buckets")
 
     def allowed(pairs: DataFrame) -> DataFrame:
-        x = slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
-        y = slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
+        x = slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("odda"))
+        y = slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("oddb"))
         return (pairs.distinct().join(x, "a").join(y, "b")
-                .where(plausible(F.col("na"), F.col("nb"), F.col("siga"), F.col("sigb"), percent)).select("a", "b"))
+                .where(plausible(F.col("na"), F.col("nb"), F.col("odda"), F.col("oddb"), percent)).select("a", "b"))
 
     label = buckets.select("node").distinct().select("node", F.col("node").alias("label"))
-    sets, tried, pivots, rounds, links = None, None, None, 0, 0
+    sets, tried, rounds, links = None, None, 0, 0
     while True:
         here = buckets.join(label, "node") if rounds else buckets.withColumn("label", F.col("node"))
         if rounds:  # only buckets that hold several groups
@@ -180,8 +189,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 more = _sets(docs, nodes, need.select(F.col("node").alias("a"), F.col("node").alias("b")), width)
                 sets, have = sets.unionByName(more), have.unionByName(need)
         scored = materialize(measure(pairs, sets, percent), "edges")
-        if pivots is None:
-            pivots = scored.groupBy("a").agg(F.min(F.struct("b", "similarity")).alias("p"))
         found = scored.where("linked")
         n = found.count()
         rounds, links = rounds + 1, links + n
@@ -190,10 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if 20 * n < links:
             break
     if rounds:
-        pivots = pivots.select(F.col("a").alias("node"), F.col("p.b").alias("pivot"), F.col("p.similarity").alias("near"))
-        known = (nodes.select("node", "n", "sig", "keys").join(pivots, "node", "left")
-                 .withColumns({"pivot": F.coalesce("pivot", "node"), "near": F.coalesce("near", F.lit(1.0))}))
-        label = _finish(docs, nodes, known, buckets, label, tried, sets, have, width, percent)
+        label = _finish(docs, nodes, buckets, label, tried, sets, have, width, percent)
     ids = nodes.select("h1", "h2", "node").join(label, "node", "left").select(
         "h1", "h2", F.coalesce("label", "node").alias("component"))
     return (base.join(ids, ["h1", "h2"], "left")
@@ -207,23 +211,19 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> Da
     return materialize(set_table(docs, nodes.join(wanted, "node"), width), "sets")
 
 
-def _finish(docs, nodes, known, buckets, label, tried, sets, have, width: int, percent: int) -> DataFrame:
+def _finish(docs, nodes, buckets, label, tried, sets, have, width: int, percent: int) -> DataFrame:
     """Pairs across groups in buckets that still hold several: each pair once,
-    in the first band that it shares, if sizes and signatures allow it.
-
-    The distance 1 - similarity is a metric, so two nodes that were measured
-    against one pivot, and whose distances to it differ by more than a link
-    may span, are not linked and need no look."""
+    in the first band that it shares, if sizes and sketches allow it."""
     here = buckets.join(label, "node")
     mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    here = here.join(mixed.select("band", "key"), ["band", "key"]).join(known, "node")
+    here = here.join(mixed.select("band", "key"), ["band", "key"]).join(nodes.select("node", "n", "odd", "keys"), "node")
     here = materialize(here, "mixed")
-    x = here.select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "sig", "keys", "pivot", "near")])
-    y = here.select("band", "key", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "sig", "keys", "pivot", "near")])
+    x = here.select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", "odd", "keys")])
+    y = here.select("band", "key", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "odd", "keys")])
     first = F.array_position(F.zip_with("x_keys", "y_keys", lambda p, q: p == q), F.lit(True)) - 1
-    apart = (F.col("x_pivot") == F.col("y_pivot")) & (F.abs(F.col("x_near") - F.col("y_near")) > 1 - percent / 100 + 1e-9)
-    pairs = (x.join(y, ["band", "key"]).where((F.col("x_label") < F.col("y_label")) & ~apart & sizes(F.col("x_n"), F.col("y_n"), percent)
-                                              & (F.col("band") == first) & plausible(F.col("x_n"), F.col("y_n"), F.col("x_sig"), F.col("y_sig"), percent))
+    pairs = (x.join(y, ["band", "key"]).where((F.col("x_label") < F.col("y_label"))
+                                              & plausible(F.col("x_n"), F.col("y_n"), F.col("x_odd"), F.col("y_odd"), percent)
+                                              & (F.col("band") == first))
              .select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")))
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "last-pairs")
     if not pairs.limit(1).count():

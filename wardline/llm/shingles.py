@@ -15,6 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 1 << 64)
+#: Entries of the permutations that are held whole, two bytes each.
+DENSE = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,8 +78,8 @@ def superminhash(sets: list[np.ndarray], m: int = 128) -> np.ndarray:
     (Fisher-Yates); at step j it offers j plus a random fraction to the slot it
     draws.  A slot keeps the least offer, so as soon as all slots of a set hold
     offers of steps up to j, later steps can't matter and the set is done.
-    The steps run for all unfinished sets at once.  Empty sets keep the
-    greatest value in all slots."""
+    The steps run for all unfinished sets at once.  A permutation is its swaps
+    until few elements are left.  Empty sets keep the greatest value in all slots."""
     full = U(2 ** 64 - 1)
     sig = np.full((len(sets), m), full, np.uint64)
     live = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
@@ -85,13 +87,23 @@ def superminhash(sets: list[np.ndarray], m: int = 128) -> np.ndarray:
         return sig
     elems = np.concatenate([sets[i] for i in live])
     owner = np.repeat(live, [len(sets[i]) for i in live])
+    drawn: list[np.ndarray] = []  # places drawn so far, while whole permutations would take too much memory
     perm = None
     for j in range(m):
+        if perm is None and len(elems) * m <= DENSE:
+            perm = np.tile(np.arange(m, dtype=np.uint16), (len(elems), 1))
+            rows = np.arange(len(elems))
+            for i, k in enumerate(drawn):
+                perm[rows, k], perm[rows, i] = perm[rows, i], perm[rows, k].copy()
+            drawn = []
         u = mix(elems + U((j * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & (2 ** 64 - 1)))
         k = (j + (u >> U(32)) % U(m - j)).astype(np.int64)
         offer = (U(j) << U(56)) | (mix(u) >> U(8))
         if perm is None:
             slot = k
+            for i in range(j - 1, -1, -1):  # what lies at place k after j swaps
+                slot = np.where(slot == i, drawn[i], np.where(slot == drawn[i], i, slot))
+            drawn.append(k.astype(np.uint16))
         else:
             rows = np.arange(len(elems))
             slot = perm[rows, k].astype(np.int64)
@@ -102,17 +114,30 @@ def superminhash(sets: list[np.ndarray], m: int = 128) -> np.ndarray:
         keep = unfilled[owner]
         if not keep.any():
             break
-        if perm is None:
-            elems, owner, first = elems[keep], owner[keep], k[keep]
-            perm = np.tile(np.arange(m, dtype=np.uint16), (len(elems), 1))
-            rows = np.arange(len(elems))
-            perm[rows, first] = 0
-            perm[rows, 0] = first
-        elif not keep.all():
-            elems, owner, perm = elems[keep], owner[keep], perm[keep]
+        if not keep.all():
+            elems, owner = elems[keep], owner[keep]
+            if perm is None:
+                drawn = [x[keep] for x in drawn]
+            else:
+                perm = perm[keep]
     return sig
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's elements over 64 * 2^k bits, 4 to 8 for each element.
+
+    Each element flips one bit, so two sketches differ in no more bits than the
+    sets differ in elements: a bound that never errs.  Folding the halves of a
+    sketch together gives the sketch of half its length."""
+    bits = 64
+    while bits < 4 * len(s):
+        bits *= 2
+    at = mix(s ^ U(0x2545F4914F6CDD1D)) & U(bits - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_xor.at(out, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+    return out.view(np.int64)
+
+
 def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     """One hash per band of ``rows`` slots, as int64; left-over slots are unused."""
     n = sig.shape[1] // rows
