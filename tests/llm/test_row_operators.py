@@ -129,11 +129,18 @@ def test_window_gives_the_same_remembered_or_not(monkeypatch):
         t = "".join(r.choice("aeinost rl ✓é漢\n.") for _ in range(r.choice([5, 40, 300])))
         t = t.replace(" ", "") if r.random() < 0.3 else t
         assert p.encode(t).tolist() == sp.encode(t)
-        for stretch in pieces.UNIT.findall(pieces.SPACE + t.replace(" ", pieces.SPACE)):
+        for stretch in p.cuts.findall(pieces.SPACE + t.replace(" ", pieces.SPACE)):
             streamed = [x for part in p.stream(iter(stretch)) for x in part]
             assert p.within(stretch) == streamed
 
 
+def test_cuts_lose_no_character_and_cross_no_piece():
+    p = pieces.Pieces()
+    assert p.cuts is pieces.FINER
+    for t in ("a1_b ▁▁x.y", "▁", "", "é\u0301漢 ½²_9\n\nA▁", "▁▁▁", "aa▁"):
+        assert "".join(p.cuts.findall(t)) == t
+
+
 def test_stream_holds_a_bounded_window():
     p = pieces.Pieces()
     text = "abcdefgh" * 4000

@@ -9,9 +9,10 @@ longest piece's length are held: as soon as the backpointers of all of them
 lead to one boundary, the ids up to it are committed.
 
 A space that follows another character is such a boundary in every path, since
-no piece has an inner space.  So the window restarts at each of them, and what it
-committed for the stretch between two is remembered, up to a bound: words repeat,
-and a stretch passes the window only if it is not remembered.  Characters without
+no piece has an inner space; so is a change between letters and other characters,
+if the vocabulary has no piece across one.  So the window restarts at each of
+them, and what it committed for the stretch between two is remembered, up to a
+bound: words repeat, and a stretch passes the window only if it is not remembered.  Characters without
 a piece become byte pieces.
 """
 
@@ -22,14 +23,18 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wardline.llm.common import documents, per_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-REMEMBERED = 300_000
+#: The same, cut between letters and other characters too.
+FINER = re.compile(rf"{SPACE}*[^\W\d_¹²³]+|{SPACE}*(?:[^\w{SPACE}]|[\d_¹²³])+|{SPACE}+")
+REMEMBERED = 200_000
 
 
 class _Any(dict):
@@ -60,6 +65,8 @@ class Pieces:
         self.longest = max(map(len, self.id))
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has an inner space; units can't be cut at spaces")
+        # boundaries in every path: no piece has letters next to other characters (but spaces before them)
+        self.cuts = FINER if all(FINER.fullmatch(p) for p in self.id) else UNIT
         self._trie: dict = {}  # by character; under "" the piece that ends there
         for p in self.id:
             node = self._trie
@@ -153,9 +160,12 @@ class Pieces:
         nothing is read later, and all is committed at the end."""
         back: list = [""] + [None] * len(chars)
         fits, root, pieces = self._fits, self._trie, self.id
-        for i, last in enumerate(back):
-            if last is None or i == len(chars):
+        for i in range(len(chars)):
+            last = back[i]
+            if last is None:
                 continue
+            if back[-1] is not None:
+                break  # the end is reached, and by one path only
             node, known = root, fits.get(last) if last in pieces else _ANY
             for j in range(i, len(chars)):
                 node = node.get(chars[j])
@@ -264,15 +274,18 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     Null and empty texts have no ids.  ``round_trip`` says whether decoding
     gives back the text; it does unless the text itself has U+2581 (the space
     mark), which decodes to a space."""
-    def make():
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(path)
+        for b in batches:
+            for lo in range(0, len(b), 256):  # ids leave the task soon
+                part = b.iloc[lo:lo + 256]
+                ids = [p.encode(t) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) for x in ids], "ids": pd.Series(ids, dtype=object, index=part.index),
+                                    "round_trip": [p.decode(x.tolist()) == t for x, t in zip(ids, part["text"])]})
 
-        def one(text: str) -> tuple:
-            ids = p.encode(text)
-            return len(ids), ids, p.decode(ids.tolist()) == text
-        return one
-
-    return per_text(documents(docs), None, "n_tokens long, ids array<int>, round_trip boolean", make)
+    d = documents(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    out = d.mapInPandas(run, "doc_id string, n_tokens long, ids array<int>, round_trip boolean")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -281,5 +294,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
         p = pieces(path)
         return lambda ids: (p.decode([] if ids is None else list(ids)),)
 
-    from pyspark.sql import functions as F
     return per_text(encoded.select("doc_id", F.col("ids").alias("text")), None, "text string", make)
