@@ -71,12 +71,12 @@ TOOLS = {
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in messages with tool calls: assistant turns call a tool about the
-    start of their text, later user turns are also given as its results."""
+    """Stand-in messages with tool calls: assistant turns call a tool about
+    their whole text, later user turns are also given as its results."""
     c = read(spark, sf_dir, "conversations")
     n = F.coalesce(F.length("text"), F.lit(0))
     name = lambda t: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    query = F.to_json(F.struct(F.substring("text", 1, 40).alias("query"), (n % 60).alias("limit")))
+    query = F.to_json(F.struct(F.col("text").alias("query"), (n % 60).alias("limit")))
     value = F.to_json(F.struct(
         F.struct(F.when(n % 11 == 0, name(F.col("turn") + 2)).otherwise(name(F.col("turn") - 2)).alias("$call")).alias("value"),
         F.element_at(F.array(F.lit("words"), F.lit("lines"), F.lit("bytes")), (n % 3 + 1).cast("int")).alias("mode")))

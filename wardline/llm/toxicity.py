@@ -7,9 +7,10 @@ exception phrase (two words, one of them in the lexicon) cancels the hit inside
 it.  The sum of weights, normalised by the logarithm of the length, goes
 through a logistic curve fitted on the same labelled texts.
 
-Bounds: at most ``max_labelled`` labelled rows are used to fit (the ones with
-the smallest hash of the id, a documented sample) and at most ``max_terms``
-lexicon entries reach the tasks; every document is scored over its whole text.
+Bound: at most ``max_labelled`` labelled rows are used to fit (the ones with
+the smallest hash of the id, a documented sample), one text for each id; the
+lexicon has every word of them that qualifies.  Every document is scored over
+its whole text.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class Matcher:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = 20_000,
-        max_terms: int = 5_000, min_docs: int = 3, min_weight: float = 2.0) -> dict:
+        min_docs: int = 3, min_weight: float = 2.0) -> dict:
     """Learn lexicon, exceptions and curve from ``labels(doc_id, <label>)``.
 
     Null labels or ids are ignored; without a labelled row of both classes the
@@ -106,7 +107,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
     picked = (labels.select("doc_id", F.col(f"`{label_col}`").cast("int").alias("y")).dropna()
               .groupBy("doc_id").agg(F.max("y").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    train = materialize(documents(docs).join(F.broadcast(picked), "doc_id").select("text", "y"), "toxicity-train")
+    train = (documents(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id")
+             .agg(F.min("text").alias("text"), F.max("y").alias("y")))  # one row for each id, however often it is repeated
+    train = materialize(train.select("text", "y"), "toxicity-train")
 
     n = {int(r["y"]): r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -125,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
     terms = (train.mapInPandas(words, "w string, n0 long, n1 long")
              .groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
              .where(F.col("n1") >= min_docs).withColumn("x", weight).where(F.col("x") >= min_weight)
-             .orderBy(F.desc("x"), "w").limit(max_terms).collect())
+             .orderBy(F.desc("x"), "w").collect())  # words of the labelled rows
     weights = {r["w"]: round(r["x"], 6) for r in terms}
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
                   train.mapInPandas(phrases, "w string, n0 long, n1 long")
                   .groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
                   .where((F.col("n0") >= min_docs) & (F.col("n1") == 0))
-                  .orderBy(F.desc("n0"), "w").limit(max_terms).collect()]
+                  .orderBy(F.desc("n0"), "w").collect()]
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matcher(weights, exceptions)
