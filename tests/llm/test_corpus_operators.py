@@ -276,7 +276,7 @@ def test_sparse_sites_shrink_and_labels_are_learnt(spark):
     assert all(got[i]["kept"] == (i % 4 != 0) for i in range(120)) and not got[500]["kept"] and got[501]["kept"]
     overall = sum(r["p"] for r in out.collect()) / len(rows)
     assert abs(got[500]["site"] - overall) < 0.15  # one document says little about its site
-    left = quality_model.reject(df, out)
+    left = quality_model.good(df, labels)
     assert left.columns == df.columns and 0 not in {r["doc_id"] for r in left.collect()}
     assert quality_model.quality(df.limit(0), labels).count() == 0
     assert all(r["kept"] for r in quality_model.quality(df, labels.limit(0)).collect())

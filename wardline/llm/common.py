@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH, RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,17 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Shuffle files of the write go as soon as it ends, so the steps of an
-    operator don't add up on the executors' disks.  Python workers get batches
-    of ``RECORDS`` rows, so what they hold at once doesn't grow with a split."""
+    operator don't add up on the executors' disks.  With ``batch``, Python
+    workers get so many rows at once (Spark's own setting is 10,000)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
-    before = {RELEASE: spark.conf.get(RELEASE, "false"), BATCH: spark.conf.get(BATCH, "10000")}
+    before = {RELEASE: spark.conf.get(RELEASE, "false")}
     spark.conf.set(RELEASE, "true")
-    spark.conf.set(BATCH, RECORDS)
+    if batch:
+        before[BATCH] = spark.conf.get(BATCH, "10000")
+        spark.conf.set(BATCH, str(batch))
     try:
         df.write.parquet(path)
     finally:
@@ -52,6 +54,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

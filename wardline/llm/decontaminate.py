@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import documents, materialize
+from wardline.llm.common import documents, free, materialize
 from wardline.llm.pii import let
 
 BLOCKS, BITS, NEAR = 4, 16, 3
@@ -143,7 +143,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int =
 
 def remove(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` without the texts that hold a window of an item."""
-    gone = leaks(docs, benchmark, **params).select(F.col("doc_id").alias("_i"), F.col("print").alias("_p")).distinct()
-    on = (docs["doc_id"].cast("long").eqNullSafe(F.col("_i"))
-          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_p")))
+    i, p = free(docs, "_i", "_p")
+    gone = leaks(docs, benchmark, **params).select(F.col("doc_id").alias(i), F.col("print").alias(p)).distinct()
+    on = (docs["doc_id"].cast("long").eqNullSafe(F.col(i))
+          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(p)))
     return docs.join(gone, on, "left_anti")

@@ -33,8 +33,8 @@ from wardline.llm.common import documents, materialize
 from wardline.llm.shingles import bands, chunks, mix, odd_sketch, shingle_sets, superminhash
 
 SLOTS, ROWS = 256, 6
-#: Bytes of text that a task hashes at once.
-CHUNK = 1 << 18
+#: Bytes of text that a task hashes at once, and rows that it is given at once.
+CHUNK, BATCH = 1 << 18, 1000
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Texts without words and rows without an id are linked with nothing (their
     component_id is their own id).  Rows that repeat an id are judged by the
     text of each, and all of them carry the id's mark."""
-    base = materialize(sketch(docs, width), "sketch")
+    base = materialize(sketch(docs, width), "sketch", BATCH)
     real = base.where("n > 0 AND doc_id IS NOT NULL")
     nodes = materialize(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
                                                      F.first("odd").alias("odd"), F.first("keys").alias("keys")), "nodes")
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return materialize(set_table(docs, nodes.join(wanted, "node"), width), "sets")
+    return materialize(set_table(docs, nodes.join(wanted, "node"), width), "sets", BATCH)
 
 
 def _finish(docs, nodes, buckets, label, tried, sets, have, width: int, percent: int) -> DataFrame:

@@ -16,10 +16,10 @@ repeated rows each gets the same spans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import documents, materialize
+from wardline.llm.common import documents, free, materialize
 
 #: The base patterns in the order of their kinds.  They match what
 #: `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`, `[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`,
@@ -242,30 +242,37 @@ def pii_digest(docs: DataFrame, **params) -> DataFrame:
     return s.select("doc_id", *n, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+def _united(spans: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, cuts): overlapping spans of a text as one, under the
+    name of the first, in order.  Rows of one text stand in one window; there is
+    one for each span, never for each character."""
+    one = spans.select("doc_id", "fingerprint", F.posexplode("spans").alias("nth", "s"))
+    text = Window.partitionBy("doc_id", "fingerprint").orderBy("nth")
+    reach = F.max("s.end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    group = F.sum("new").over(text)
+    marked = one.withColumn("new", (F.coalesce(reach, F.lit(0)) <= F.col("s.start")).cast("int")).withColumn("group", group)
+    cuts = marked.groupBy("doc_id", "fingerprint", "group").agg(
+        F.min("s.start").alias("start"), F.max("s.end").alias("end"), F.min_by("s.kind", "nth").alias("kind"))
+    return cuts.groupBy("doc_id", "fingerprint").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+
+
 def mask(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with each span of its texts replaced by ``[KIND]``; overlapping
     spans are replaced together, under the name of the first.  Rows without a
     span are unchanged."""
-    spans = (pii_spans(docs, **params).where(F.size("spans") > 0)
-             .select(F.col("doc_id").alias("_i"), F.col("fingerprint").alias("_f"), F.col("spans").alias("_s"))
-             .dropDuplicates(["_i", "_f"]))
-    on = (docs["doc_id"].cast("long").eqNullSafe(F.col("_i"))
-          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_f")))
-    # spans that begin at or after the furthest end so far open a new gap
-    reach = F.aggregate(
-        F.col("_s"), F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]),
-                            F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(
-                                F.element_at(a, -1)["start"].alias("start"),
-                                F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"),
-                                F.element_at(a, -1)["kind"].alias("kind")))))
-        .otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
-    text = docs["text"]
-    cut = F.transform(F.col("_m"), lambda s, i: F.concat(
-        F.substring(text, F.coalesce(F.get(F.col("_m"), i - 1)["end"], F.lit(0)) + 1,
-                    s["start"] - F.coalesce(F.get(F.col("_m"), i - 1)["end"], F.lit(0))),
-        F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring(text, F.element_at("_m", -1)["end"] + 1, F.length(text))
-    masked = F.when(F.col("_m").isNotNull(), F.concat(F.array_join(cut, ""), tail)).otherwise(text)
-    joined = docs.join(spans, on, "left").withColumn("_m", reach)
-    return joined.withColumn("text", masked).select(*[F.col(f"`{c}`") for c in docs.columns])
+    i, f, m, c = free(docs, "_i", "_f", "_m", "_c")
+    spans = pii_spans(docs, **params).where(F.size("spans") > 0).dropDuplicates(["doc_id", "fingerprint"])
+    cuts = _united(spans).select(F.col("doc_id").alias(i), F.col("fingerprint").alias(f), F.col("cuts").alias(m))
+    on = (docs["doc_id"].cast("long").eqNullSafe(F.col(i))
+          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f)))
+    # the text is taken apart once; what lies between two cuts is a slice of its characters
+    chars = F.when(F.col(m).isNotNull(), F.split(docs["text"], "", -1))
+    joined = docs.join(cuts, on, "left").withColumn(c, chars)
+
+    def between(lo: Column, hi: Column) -> Column:
+        return F.array_join(F.slice(c, lo + 1, hi - lo), "")
+    before = lambda k: F.when(k > 0, F.get(F.col(m), k - 1)["end"]).otherwise(F.lit(0))
+    parts = F.transform(m, lambda s, k: F.concat(between(before(k), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    tail = between(F.element_at(m, -1)["end"], F.size(c))
+    masked = F.when(F.col(m).isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
+    return joined.withColumn("text", masked).select(*[F.col(f"`{x}`") for x in docs.columns])

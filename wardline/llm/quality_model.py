@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import materialize
+from wardline.llm.common import free, materialize
 from wardline.llm.quality_rules import Text
 
 FEATURES = ("log_words", "symbols", "bars", "upper", "distinct", "repeated", "word_length", "long_words",
@@ -55,6 +55,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
               .groupBy("doc_id").agg(F.max("y").alias("y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # one row for each id, however often it is repeated
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -123,17 +124,23 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float]:
     return sites, _strength(sites), mean
 
 
+def final_score(p, s, n, prior, k: float, base: float) -> tuple:
+    """(site, score): the path's posterior without the document's own share, and
+    the document's posterior, both rounded."""
+    site = F.round((s - p + k * prior) / (n - 1 + k), 6)
+    base = min(max(base, 1e-4), 1 - 1e-4)
+    logit = lambda c: F.log(c / (1 - c))
+    z = logit(p) - F.lit(math.log(base / (1 - base))) + logit(F.least(F.greatest(site, F.lit(1e-4)), F.lit(1 - 1e-4)))
+    return site, F.round(1 / (1 + F.exp(-z)), 6)
+
+
 def posterior(scored: DataFrame, base: float, threshold: float = 0.5) -> DataFrame:
     """(doc_id, fingerprint, p, site, score, kept) for every row of ``scored``."""
     sites, k, _ = site_posteriors(scored)
     sites = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "s", "n", "prior")
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
-    site = (F.col("s") - F.col("p") + k * F.col("prior")) / (F.col("n") - 1 + k)
-    base = min(max(base, 1e-4), 1 - 1e-4)
-    logit = lambda c: F.log(c / (1 - c))
-    z = logit(F.col("p")) - F.lit(math.log(base / (1 - base))) + logit(F.least(F.greatest("site", F.lit(1e-4)), F.lit(1 - 1e-4)))
-    return (joined.withColumn("site", F.round(site, 6))
-            .withColumn("score", F.round(1 / (1 + F.exp(-z)), 6))
+    site, score = final_score(F.col("p"), F.col("s"), F.col("n"), F.col("prior"), k, base)
+    return (joined.withColumns({"site": site, "score": score})
             .select("doc_id", "fingerprint", "p", "site", "score", (F.col("score") >= threshold).alias("kept")))
 
 
@@ -147,9 +154,31 @@ def quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_c
     return posterior(scored, model["base"], threshold)
 
 
-def reject(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id and text the verdict rejects."""
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("fingerprint").alias("_f")).distinct()
-    on = (docs["doc_id"].eqNullSafe(F.col("_i"))
-          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_f")))
-    return docs.join(gone, on, "left_anti")
+def probability(model: dict):
+    """The model's probability of label 1, as a column function of the text."""
+    w, b = np.array(model["w"]), model["b"]
+
+    @F.pandas_udf("double")
+    def p(texts: pd.Series) -> pd.Series:
+        z = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES)) @ w + b
+        return pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -13, 13))), 9))
+    return p
+
+
+def good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang",
+         threshold: float = 0.5, **fit_params) -> DataFrame:
+    """``docs`` without the rows that :func:`quality` rejects.
+
+    The probability is written beside the rows, and the table of sites, which
+    Spark broadcasts where its size is known to be small, is joined to them; the
+    texts are read in order and not sorted for a verdict."""
+    model = fit(docs, labels, **fit_params)
+    mine = free(docs, "_p", "_h", "_q", "_s", "_n", "_prior")
+    p, h, q, s, n, prior = mine
+    scored = materialize(docs.withColumn(p, probability(model)(F.coalesce("text", F.lit("")))), "scored", 1000)
+    host, path = F.col(f"`{host_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")
+    sites, k, _ = site_posteriors(scored.select(host.alias("host"), path.alias("path"), F.col(p).alias("p")))
+    sites = sites.select(F.col("host").alias(h), F.col("path").alias(q), F.col("s").alias(s), F.col("n").alias(n), F.col("prior").alias(prior))
+    joined = scored.join(sites, host.eqNullSafe(F.col(h)) & path.eqNullSafe(F.col(q)), "left")
+    score = final_score(F.col(p), F.col(s), F.col(n), F.col(prior), k, model["base"])[1]
+    return joined.where(score >= threshold).drop(*mine)
