@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import decontaminate, near_dup, pieces, pii, quality_model
-from wardline.llm.common import materialize, read
+from wardline.llm.common import free, materialize, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality_model.reject(docs, quality_model.quality(docs, read(spark, sf_dir, "labels")))
+    return quality_model.good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays;
     rows that repeat an id share its fate, rows without an id stay."""
+    (i,) = free(docs, "_i")
     gone = (near_dup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept"))
-            .select(F.col("doc_id").alias("_i")).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("_i"), "left_anti")
+            .select(F.col("doc_id").alias(i)).distinct())
+    return docs.join(gone, docs["doc_id"] == F.col(i), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
