@@ -324,7 +324,7 @@ def remove_repeats(df: DataFrame, keep_text: bool = False) -> DataFrame:
     come after all others and count as one document too."""
     docs = numbered(df)
     runs = (repeated(docs).groupBy(F.col("doc").alias("d"), F.col("print").alias("p"))
-            .agg(F.collect_list(F.struct("wstart", "wn")).alias("runs")))
+            .agg(F.collect_set(F.struct("wstart", "wn")).alias("runs")))
     joined = docs.join(runs, (F.col("doc") == F.col("d")) & (F.col("print") == F.col("p")), "left").select("doc", "bytes", "runs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
