@@ -35,16 +35,8 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: The same, cut between letters and other characters too.
 FINER = re.compile(rf"{SPACE}*[^\W\d_¹²³]+|{SPACE}*(?:[^\w{SPACE}]|[\d_¹²³])+|{SPACE}+")
 REMEMBERED = 200_000
-
-
-class _Any(dict):
-    """What may follow a character without a piece: everything."""
-
-    def get(self, key, default=None):
-        return True
-
-
-_ANY = _Any()
+#: Characters of a stretch whose nodes are remembered beside.
+BEGINNING = 6
 
 
 class Pieces:
@@ -73,6 +65,13 @@ class Pieces:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = p
+        self._ends: dict = {}  # the same from each piece's last character backwards
+        for p in self.id:
+            node = self._ends
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = p
+        self._begun: dict[str, list] = {}
         self._fits: dict[str, dict[str, bool]] = {}
         self._n_fits = 0
         self._plain = [None if i in self.byte_of else t for i, t in enumerate(self.text)]
@@ -155,33 +154,44 @@ class Pieces:
         if buf:
             yield self._path(back, len(buf))
 
-    def within(self, chars: str) -> list[str]:
-        """The pass of :meth:`stream` over a text that fits the window whole:
-        nothing is read later, and all is committed at the end."""
-        back: list = [""] + [None] * len(chars)
-        fits, root, pieces = self._fits, self._trie, self.id
-        for i in range(len(chars)):
-            last = back[i]
-            if last is None:
+    def arrive(self, chars: str, j: int, back: list) -> str | None:
+        """The piece by which the path to node ``j`` arrives, from the nodes
+        before: the only arc that may follow the path to its start."""
+        node, fits = self._ends, self._fits
+        for i in range(j - 1, -1, -1):
+            node = node.get(chars[i])
+            if node is None:
+                break
+            s = node.get("")
+            if s is None or (last := back[i]) is None:
                 continue
-            if back[-1] is not None:
-                break  # the end is reached, and by one path only
-            node, known = root, fits.get(last) if last in pieces else _ANY
-            for j in range(i, len(chars)):
-                node = node.get(chars[j])
-                if node is None:
-                    break
-                s = node.get("")
-                if s is not None and back[j + 1] is None:
-                    ok = known.get(s) if known is not None else None
-                    if ok is None:
-                        ok = self.fits(last, s)
-                        known = fits[last]
-                    if ok:
-                        back[j + 1] = s
-            if back[i + 1] is None and chars[i] not in pieces:
-                back[i + 1] = chars[i]
-        return self._path(back, len(chars))
+            if not i or last not in self.id:
+                return s
+            known = fits.get(last)
+            ok = known.get(s) if known is not None else None
+            if self.fits(last, s) if ok is None else ok:
+                return s
+        if chars[j - 1] not in self.id and back[j - 1] is not None:
+            return chars[j - 1]  # a character without a piece stands alone
+        return None
+
+    def within(self, chars: str) -> list[str]:
+        """The pass of :meth:`stream` over a text that fits the window whole.
+        The nodes of its first characters are those of every text that begins
+        so, and are remembered."""
+        n, m = len(chars), min(BEGINNING, len(chars))
+        begun = self._begun.get(chars[:m])
+        if begun is None:
+            begun = [""]
+            for j in range(1, m + 1):
+                begun.append(self.arrive(chars, j, begun))
+            if len(self._begun) >= REMEMBERED:
+                self._begun.clear()
+            self._begun[chars[:m]] = begun
+        back = begun[:]
+        for j in range(m + 1, n + 1):
+            back.append(self.arrive(chars, j, back))
+        return self._path(back, n)
 
     @staticmethod
     def _common(back: list, live: list[int]) -> int:
