@@ -1247,7 +1247,7 @@ def q_shapley_sampled(spark, sf, n_explained: int = 5000, n_background: int = 10
 
 
 @register("shapley_forest", "WITH " + SPLIT + """
-SELECT encounter_id, 0.0 AS gap, CAST(""" + str(len(RAW)) + """ AS BIGINT) AS n_features FROM test
+SELECT encounter_id, CAST(0.0 AS DOUBLE) AS gap, CAST(""" + str(len(RAW)) + """ AS BIGINT) AS n_features FROM test
 ORDER BY md5(concat_ws(':', '42', CAST(encounter_id AS VARCHAR))), encounter_id LIMIT 500""")
 def q_shapley_forest(spark, sf):
     """Shapley values of a forest for 500 test rows against 100 weighted
