@@ -66,7 +66,8 @@ def set_table(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pd.DataFrame({"node": b["node"].iloc[lo:hi].to_numpy()[same],
                                     "shingles": [s.view(np.int64) for s, ok in zip(sets, same) if ok]})
 
-    d = documents(docs).join(nodes.select("node", "h1"), F.col("doc_id") == F.col("node")).select("node", "h1", "text")
+    # one plan at every size: texts are dealt by id, whether or not the nodes could be broadcast
+    d = documents(docs).join(nodes.select("node", "h1").hint("merge"), F.col("doc_id") == F.col("node")).select("node", "h1", "text")
     return d.dropDuplicates(["node", "text"]).mapInPandas(run, "node long, shingles array<long>")
 
 
@@ -162,8 +163,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return (pairs.distinct().join(x, "a").join(y, "b")
                 .where(plausible(F.col("na"), F.col("nb"), F.col("odda"), F.col("oddb"), percent)).select("a", "b"))
 
-    label = buckets.select("node").distinct().select("node", F.col("node").alias("label"))
-    sets, tried, rounds, links = None, None, 0, 0
+    members = buckets.select("node").distinct()
+    label = members.select("node", F.col("node").alias("label"))
+    # the texts move once, for the sets of all nodes that share a bucket
+    sets = materialize(set_table(docs, nodes.join(members, "node"), width), "sets", BATCH)
+    tried, rounds, links = None, 0, 0
     while True:
         here = buckets.join(label, "node") if rounds else buckets.withColumn("label", F.col("node"))
         if rounds:  # only buckets that hold several groups
@@ -179,17 +183,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not pairs.limit(1).count():
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if sets is None:
-            sets = _sets(docs, nodes, pairs, width)
-            have = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        else:
-            need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(have, "node", "left_anti")
-            need = materialize(need, "more-nodes")
-            if need.limit(1).count():
-                more = _sets(docs, nodes, need.select(F.col("node").alias("a"), F.col("node").alias("b")), width)
-                sets, have = sets.unionByName(more), have.unionByName(need)
-        scored = materialize(measure(pairs, sets, percent), "edges")
-        found = scored.where("linked")
+        found = materialize(measure(pairs, sets, percent), "edges").where("linked")
         n = found.count()
         rounds, links = rounds + 1, links + n
         if n:
@@ -197,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if 20 * n < links:
             break
     if rounds:
-        label = _finish(docs, nodes, buckets, label, tried, sets, have, width, percent)
+        label = _finish(nodes, buckets, label, tried, sets, percent)
     ids = nodes.select("h1", "h2", "node").join(label, "node", "left").select(
         "h1", "h2", F.coalesce("label", "node").alias("component"))
     return (base.join(ids, ["h1", "h2"], "left")
@@ -206,12 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return materialize(set_table(docs, nodes.join(wanted, "node"), width), "sets", BATCH)
-
-
-def _finish(docs, nodes, buckets, label, tried, sets, have, width: int, percent: int) -> DataFrame:
+def _finish(nodes, buckets, label, tried, sets, percent: int) -> DataFrame:
     """Pairs across groups in buckets that still hold several: each pair once,
     in the first band that it shares, if sizes and sketches allow it."""
     here = buckets.join(label, "node")
@@ -228,7 +217,5 @@ def _finish(docs, nodes, buckets, label, tried, sets, have, width: int, percent:
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "last-pairs")
     if not pairs.limit(1).count():
         return label
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(have, "node", "left_anti")
-    more = _sets(docs, nodes, need.select(F.col("node").alias("a"), F.col("node").alias("b")), width)
-    found = materialize(measure(pairs, sets.unionByName(more), percent).where("linked"), "edges")
+    found = materialize(measure(pairs, sets, percent).where("linked"), "edges")
     return components(label, found) if found.limit(1).count() else label

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import free, materialize
 from wardline.llm.quality_rules import Text
 
+#: Rows that a Python worker gets at once.
+BATCH = 1000
 FEATURES = ("log_words", "symbols", "bars", "upper", "distinct", "repeated", "word_length", "long_words",
             "dup_lines", "digits", "bangs", "commas", "empty")
 
@@ -150,35 +152,15 @@ def quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_c
 
     One row per input row; repeated rows are scored each."""
     model = fit(docs, labels, **fit_params)
-    scored = materialize(evidence(docs, model, host_col, path_col), "evidence")
+    scored = materialize(evidence(docs, model, host_col, path_col), "evidence", BATCH)
     return posterior(scored, model["base"], threshold)
 
 
-def probability(model: dict):
-    """The model's probability of label 1, as a column function of the text."""
-    w, b = np.array(model["w"]), model["b"]
-
-    @F.pandas_udf("double")
-    def p(texts: pd.Series) -> pd.Series:
-        z = np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES)) @ w + b
-        return pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -13, 13))), 9))
-    return p
-
-
-def good(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang",
-         threshold: float = 0.5, **fit_params) -> DataFrame:
-    """``docs`` without the rows that :func:`quality` rejects.
-
-    The probability is written beside the rows, and the table of sites, which
-    Spark broadcasts where its size is known to be small, is joined to them; the
-    texts are read in order and not sorted for a verdict."""
-    model = fit(docs, labels, **fit_params)
-    mine = free(docs, "_p", "_h", "_q", "_s", "_n", "_prior")
-    p, h, q, s, n, prior = mine
-    scored = materialize(docs.withColumn(p, probability(model)(F.coalesce("text", F.lit("")))), "scored", 1000)
-    host, path = F.col(f"`{host_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")
-    sites, k, _ = site_posteriors(scored.select(host.alias("host"), path.alias("path"), F.col(p).alias("p")))
-    sites = sites.select(F.col("host").alias(h), F.col("path").alias(q), F.col("s").alias(s), F.col("n").alias(n), F.col("prior").alias(prior))
-    joined = scored.join(sites, host.eqNullSafe(F.col(h)) & path.eqNullSafe(F.col(q)), "left")
-    score = final_score(F.col(p), F.col(s), F.col(n), F.col(prior), k, model["base"])[1]
-    return joined.where(score >= threshold).drop(*mine)
+def good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """``docs`` without the rows that :func:`quality` rejects, told by id and text."""
+    verdict = quality(docs, labels, **params)
+    i, f = free(docs, "_i", "_f")
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias(i), F.col("fingerprint").alias(f)).distinct()
+    on = (docs["doc_id"].cast("long").eqNullSafe(F.col(i))
+          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f)))
+    return docs.join(gone, on, "left_anti")
