@@ -70,6 +70,27 @@ def test_each_row_gives_its_value_once_in_each_copy(spark, n):
         assert len({tuple(sorted(v)) for v in by.values()}) == 8
 
 
+def test_values_move_once_and_nothing_is_broadcast(spark):
+    # the written table is small, its rows times features are not
+    df = spark.range(400).selectExpr("id", "cast(id % 3 as double) a", "cast(id % 5 as double) b", "id % 2 as label")
+    got = explain.permuted(df, ["a", "b"], "id", 3, 9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Join") == 1
+    assert got.count() == 400 * 2 * 3
+
+
+def test_donors_by_the_inverse_beyond_bigint_products():
+    # n near 2^41: a * x passes 2^63 unless it is taken in two steps
+    n = (1 << 41) - 21
+    for f, r, a, b in explain.donor_keys(["a", "b"], 5, n, 7):
+        inv = pow(a, -1, n)
+        high, low = divmod(inv, explain.MULTIPLIERS)
+        for y in (0, 1, n // 3, n - 1):
+            x = (y - b) % n
+            assert max(high * x, (high * x % n) * explain.MULTIPLIERS + low * x) < 1 << 63
+            assert (a * ((high * x % n * explain.MULTIPLIERS + low * x) % n) + b) % n == y
+
+
 @pytest.mark.parametrize("score", ["accuracy", "log_loss", "auc"])
 def test_importance_by_each_score(spark, score):
     rows = [(i, i % 2, float(i % 2), float(i % 3)) for i in range(120)]

@@ -12,7 +12,7 @@ import hashlib
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.hashing import hash_int, seeded_hash
@@ -73,30 +73,36 @@ def donor_keys(features: list[str], n_repeats: int, n: int, seed: int) -> list[t
     return out
 
 
+def _times(a: int, x: Column, n: int) -> Column:
+    """(a * x) mod n for 0 <= a, x < n, without leaving BIGINT up to 2^41 rows."""
+    high, low = divmod(a, MULTIPLIERS)
+    return F.pmod(F.pmod(F.lit(high) * x, F.lit(n)) * F.lit(MULTIPLIERS) + F.lit(low) * x, F.lit(n))
+
+
 def permuted(df: DataFrame, features: list[str], key: str, n_repeats: int, seed: int = 42) -> DataFrame:
     """All copies of ``df`` for permutation importance: (_wl_f, _wl_r) and the
     columns of ``df``, with the column named by ``_wl_f`` taken from the row's
     donor.  ``features`` are numeric columns.
 
-    Rows get a position in a seeded order once.  A copy's donor is arithmetic on
-    the position, so only (position, donor, value) move: the values of a column
-    are joined by donor, gathered per row (features x repeats of them) and put
-    into the row as it is copied."""
+    Rows get a position in a seeded order once.  The row at position y gives its
+    value to the position x with (a * x + b) mod n = y, which is arithmetic too,
+    so each value moves once, as (position, copy, value), to the row that is
+    copied with it.  That join is by sort: the table's size on disk says little
+    about its rows in memory, so neither side may be broadcast by it."""
     h0 = "_wl_h0"
     base = rank_within(df.withColumn(h0, seeded_hash(seed, key)), [], [h0, key], F.substring(h0, 1, 4), "_wl_pos").drop(h0)
     base = materialize(base.withColumn("_wl_pos", F.col("_wl_pos") - 1), "positions")
-    rows = base.count()
-    keys, n = donor_keys(features, n_repeats, rows, seed), F.lit(rows)
-    copies = F.array(*[F.struct(F.lit(features.index(f)).alias("f"), F.lit(r).alias("r"),
-                                F.pmod(F.lit(a) * F.col("_wl_pos") + F.lit(b), n).alias("donor")) for f, r, a, b in keys])
-    asks = base.select(F.col("_wl_pos").alias("pos"), F.explode(copies).alias("x")).select("pos", "x.f", "x.r", "x.donor")
-    values = base.select(F.col("_wl_pos").alias("donor"), F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in features])).alias("f", "v"))
-    got = asks.join(values, ["f", "donor"]).groupBy("pos").agg(F.collect_list(F.struct("f", "r", "v")).alias("_wl_x"))
-    whole = base.join(got, F.col("_wl_pos") == F.col("pos")).withColumn("_wl_x", F.explode("_wl_x"))
+    n = base.count()
+    keys = donor_keys(features, n_repeats, n, seed)
+    gives = F.array(*[F.struct(_times(pow(a, -1, n) if n > 1 else 0, F.pmod(F.col("_wl_pos") - F.lit(b), F.lit(n)), max(n, 1)).alias("pos"),
+                               F.lit(i).alias("copy"), F.col(f"`{f}`").cast("double").alias("v")) for i, (f, _, a, b) in enumerate(keys)])
+    sent = base.select(F.explode(gives).alias("x")).select(F.col("x.pos").alias("_wl_to"), F.col("x.copy").alias("_wl_c"), F.col("x.v").alias("_wl_v"))
+    whole = sent.join(base.hint("merge"), F.col("_wl_to") == F.col("_wl_pos"))
     types = dict(df.dtypes)
-    new = {c: F.when(F.col("_wl_x.f") == i, F.col("_wl_x.v").cast(types[c])).otherwise(F.col(f"`{c}`")) for i, c in enumerate(features)}
-    return whole.select(F.array(*[F.lit(c) for c in features])[F.col("_wl_x.f")].alias("_wl_f"), F.col("_wl_x.r").alias("_wl_r"),
-                       *[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+    name = F.array(*[F.lit(f) for f, _, _, _ in keys])[F.col("_wl_c")]
+    new = {c: F.when(F.col("_wl_f") == c, F.col("_wl_v").cast(types[c])).otherwise(F.col(f"`{c}`")) for c in features}
+    whole = whole.withColumns({"_wl_f": name, "_wl_r": F.array(*[F.lit(r) for _, r, _, _ in keys])[F.col("_wl_c")]})
+    return whole.select("_wl_f", "_wl_r", *[new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def _scored(df: DataFrame, score: str, label: str, threshold: float, group: list[str]) -> DataFrame:
@@ -122,9 +128,12 @@ def permutation_importance(df: DataFrame, features: list[str], scorer: Scorer,
     back into levels first (``encode.inverse_one_hot``)."""
     base = _scored(scorer(df), score, label, threshold, []).first()["s"]
     got = scorer(permuted(df, features, key, n_repeats, seed)).select("_wl_f", "_wl_r", label, "p")
-    if score == "auc":
-        got = materialize(got, "permuted-scores")  # read by both levels of the scan
-    per = _scored(got, score, label, threshold, ["_wl_f", "_wl_r"])
+    copy = ["_wl_f", "_wl_r"]
+    if score == "auc":  # read by both levels of the scan: not the copies, their distinct scores
+        per = metrics.auc_of_scores(materialize(metrics.per_score(got, label, "p", copy), "permuted-scores"), copy)
+        per = per.select(*copy, F.col("auc").alias("s"))
+    else:
+        per = _scored(got, score, label, threshold, copy)
     return (per.groupBy(F.col("_wl_f").alias("feature"))
                .agg(F.avg(F.lit(base) - F.col("s")).alias("importance_mean"),
                     F.stddev_pop(F.lit(base) - F.col("s")).alias("importance_std")))
