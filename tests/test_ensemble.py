@@ -141,3 +141,39 @@ def test_values_of_a_forest_add_up_per_row(spark):
         mine = [x for x in phi if x["id"] == i]
         assert math.isclose(sum(x["phi"] for x in mine), mine[0]["full"] - mine[0]["base"], abs_tol=1e-9)
         assert mine[0]["full"] == pytest.approx(p[i])
+
+
+def test_training_rows_are_dealt_by_their_dense_size(spark, monkeypatch):
+    rows = [(i if i % 10 else None, i % 2, float(i), float(i % 7)) for i in range(2000)]
+    df = encode.assemble(spark.createDataFrame(rows, "key long, label int, a double, b double").coalesce(1), ["a", "b"])
+    df = df.select("key", "label", "features")
+    assert models.dealt(df, key="key") is df and models.dealt(df.where("label > 5")).count() == 0
+    monkeypatch.setattr(models, "FEW_CELLS", 100)
+    monkeypatch.setattr(models, "PART_CELLS", 100)
+    cores = spark.sparkContext.defaultParallelism
+    for key in ("key", None):
+        out = models.dealt(df, key=key)
+        sizes = out.rdd.glom().map(len).collect()
+        assert len(sizes) % cores == 0 and len(sizes) >= 4000 // 100 and sum(sizes) == 2000
+        assert max(sizes) <= 4 * 2000 / len(sizes) + 20
+        assert out.exceptAll(df).count() == df.exceptAll(out).count() == 0
+    # what fits are given
+    seen = []
+
+    class Fits:
+        def hasParam(self, name):
+            return True
+
+        def getParam(self, name):
+            return name
+
+        def copy(self, extra):
+            return self
+
+        def fit(self, train):
+            seen.append(train.rdd.getNumPartitions())
+
+    keyed = df.where("key is not null")
+    for balance in ("none", "resample", "weights"):
+        models.fit_balanced(keyed, Fits(), balance, "label", "key")
+    assert min(seen) >= 3600 // 100 and len(seen) == 3
