@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.hashing import hash_int, seeded_hash
-from wardline.operators import metrics
+from wardline.operators import metrics, models
 from wardline.operators.order import rank_within, scan_before
 from wardline.session import materialize
 
@@ -200,7 +200,7 @@ def kmeans_summary(df: DataFrame, k: int = 100, features: str = "features",
     """Weighted background summary: (cluster, size, centroid) of k-means; at
     most k rows, fewer if there are fewer distinct points."""
     from pyspark.ml.clustering import KMeans
-    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(df)
+    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(models.dealt(df, features=features))
     sizes = model.transform(df).groupBy("cluster").agg(F.count(F.lit(1)).cast("long").alias("size"))
     spark = df.sparkSession
     cents = spark.createDataFrame([(i, [float(x) for x in c])
