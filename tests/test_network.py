@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.errors import PythonException
 from pyspark.ml.linalg import Vectors
 
+from wardline import session
 from wardline.operators import models, network, sample
 
 
@@ -22,20 +24,17 @@ def _rows(n, size, seed, dense=False):
     return out
 
 
-@pytest.mark.parametrize("dense", [False, True])
-def test_the_fit_is_sparks_fit_on_the_copies(spark, monkeypatch, dense):
+def test_the_fit_is_sparks_fit_on_the_copies(spark, monkeypatch):
     monkeypatch.setattr(network, "BLOCK_ROWS", 64)
-    df = spark.createDataFrame(_rows(300, 60, 5, dense), ["key", "label", "features", "weight"]).repartition(3, "key")
-    for layers, iters in (([60, 5, 4, 2], 25), ([60, 2], 8)):
+    rows = spark.createDataFrame(_rows(300, 60, 5, dense=True), ["key", "label", "features", "weight"]).coalesce(2)
+    for layers, iters, df in (([60, 5, 4, 2], 12, rows), ([60, 2], 6, rows.drop("weight"))):
         est = MultilayerPerceptronClassifier(layers=layers, maxIter=iters, seed=7, blockSize=4096)
-        mine = models.fit(est, df.drop("weight"))
+        mine = models.fit(est, df)
         # in one block Spark's loss is the mean over all rows
-        assert mine.weights.toArray() == pytest.approx(est.fit(df.coalesce(1)).weights.toArray(), abs=1e-5)
-        mine = models.fit(est, df, "weight")
-        want = est.fit(sample.expand(df, "weight").coalesce(1))
+        want = est.fit((sample.expand(df, "weight") if "weight" in df.columns else df).coalesce(1))
         assert mine.weights.toArray() == pytest.approx(want.weights.toArray(), abs=1e-5)
-        got = models.score(mine, df, "key").orderBy("key").toPandas()["p"]
-        assert got.to_numpy() == pytest.approx(models.score(want, df, "key").orderBy("key").toPandas()["p"].to_numpy(), abs=1e-5)
+        got, exp = (models.score(m, df, "key").orderBy("key").toPandas()["p"].to_numpy() for m in (mine, want))
+        assert got == pytest.approx(exp, abs=1e-5)
 
 
 def test_rows_are_not_copied(spark):
@@ -56,9 +55,19 @@ def test_steps_reach_the_minimum():
 def test_what_a_network_cannot_take(spark):
     est = MultilayerPerceptronClassifier(layers=[2, 2], maxIter=2, seed=1)
     v = Vectors.dense([1.0, 0.0])
-    for rows in ([(2, v)], [(0, Vectors.dense([1.0]))], [(None, v), (0, v)]):
-        with pytest.raises(Exception):
-            models.fit(est, spark.createDataFrame([*rows, (1, Vectors.dense([1.0, 0.0]))], ["label", "features"]) if rows[0][0] is not None
-                       else spark.createDataFrame([(1, v), *rows], ["label", "features"]))
+    for label, x in ((2, v), (0, Vectors.dense([1.0])), (None, v)):
+        with pytest.raises(PythonException):
+            models.fit(est, spark.createDataFrame([(1, v), (label, x)], ["label", "features"]))
     with pytest.raises(ValueError):
         models.fit(est, spark.createDataFrame([(1, v)], ["label", "features"]).where("label = 0"))
+
+
+def test_few_files_are_read_over_all_cores(spark, monkeypatch, tmpdir_path):
+    spark.range(50).coalesce(1).write.parquet(tmpdir_path + "/one")
+    one, cores = spark.read.parquet(tmpdir_path + "/one"), spark.sparkContext.defaultParallelism
+    assert session.spread(one) is one
+    monkeypatch.setattr(session, "FEW_ROWS", 50)
+    out = session.spread(one)
+    assert out.rdd.getNumPartitions() == cores and sorted(r["id"] for r in out.collect()) == list(range(50))
+    many = spark.range(100).repartition(cores + 1)
+    assert session.spread(many) is many
