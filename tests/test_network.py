@@ -71,3 +71,14 @@ def test_few_files_are_read_over_all_cores(spark, monkeypatch, tmpdir_path):
     assert out.rdd.getNumPartitions() == cores and sorted(r["id"] for r in out.collect()) == list(range(50))
     many = spark.range(100).repartition(cores + 1)
     assert session.spread(many) is many
+
+
+def test_a_network_is_fitted_to_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(models, "FEW_CELLS", 0)
+    monkeypatch.setattr(models, "PART_CELLS", 1)    # Spark's trees would have one cell in each
+    seen = []
+    monkeypatch.setattr(network, "fit", lambda e, rows, w=None: seen.append(rows.rdd.getNumPartitions()))
+    df = spark.createDataFrame(_rows(100, 12, 2), ["key", "label", "features", "weight"])
+    with models.Training(df, key="key") as t:
+        t.fit(MultilayerPerceptronClassifier(layers=[12, 3, 2]))
+    assert seen[0] <= spark.sparkContext.defaultParallelism
